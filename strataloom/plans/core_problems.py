@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataloom.functions.instants import epoch_us
-from strataloom.operators import balanced, clock, incremental
+from strataloom.operators import balanced, clock, entries, incremental
 from strataloom.session import scratch, table
 
 
@@ -36,6 +36,18 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = table(spark, sf_dir, "raw_entries")
+    found = entries.parse_entries(raw, "log_source_id", "byte_offset", "raw_message", "id", with_text=False)
+    return found.select("log_source_id", "byte_offset", "last_byte_offset", "log_level", "component")
+
+
+def p5_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = table(spark, sf_dir, "raw_entries")
+    found = entries.parse_entries(raw, "log_source_id", "byte_offset", "raw_message", "id")
+    return found.withColumn("variables", F.array_join(entries.variable_parts(F.col("message")), "\t"))
+
+
 def _text_instants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clock.text_instants(
         table(spark, sf_dir, "raw_entries"),
@@ -89,4 +101,4 @@ SQL = {
  WHERE r.byte_offset IS NOT NULL AND (f.start = -1 OR r.byte_offset >= f.start)""",
 }
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_counts, p3_found, p7_found, p7_readings)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_counts, p3_found, p5_found, p5_entries, p7_found, p7_readings)}
