@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataloom.functions.instants import epoch_us
-from strataloom.llm import runs
+from strataloom.llm import groups, runs, terms
 from strataloom.session import table
 
 
@@ -27,7 +27,49 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p1_runs(spark, sf_dir).select("log_source_id", "first_byte_offset", "last_byte_offset")
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return groups.linked_by_identifiers(table(spark, sf_dir, "occurrences"), "id", "pattern_id", "variables")
+
+
+def p6_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = terms.term_scores(table(spark, sf_dir, "patterns"), "id", "file_group_id", "template")
+    return scores.withColumnRenamed("key", "pattern_id").withColumnRenamed("group", "file_group_id")
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = terms.term_scores(
+        table(spark, sf_dir, "patterns"), "id", "file_group_id", "template", k1=float("inf"), b=0.0, idf="plain"
+    )
+    return terms.most_characteristic(scores.where("n_with_term > 1")).select(F.col("key").alias("pattern_id"), "term")
+
+
+_TERMS = """w AS (SELECT id, file_group_id g, regexp_extract_all(lower(template), '[\\p{L}\\p{N}]+') k FROM patterns),
+ z AS (SELECT g, count(*) n_records, avg(coalesce(len(k), 0)) m FROM w GROUP BY g),
+ u AS (SELECT id, g, len(k) l, unnest(k) term FROM w),
+ c AS (SELECT id, g, term, l, count(*) uses FROM u GROUP BY ALL),
+ d AS (SELECT g, term, count(*) n_with_term FROM c GROUP BY ALL),
+ j AS (SELECT c.*, n_records, n_with_term, m FROM c JOIN d ON d.term = c.term AND d.g IS NOT DISTINCT FROM c.g
+  JOIN z ON z.g IS NOT DISTINCT FROM c.g)"""
+
 SQL = {
+    "p6_scores": f"""WITH {_TERMS} SELECT id AS pattern_id, g AS file_group_id, term, uses, n_records, n_with_term,
+ round(uses * 2.2 / (uses + 1.2 * (0.25 + 0.75 * l / m)) * ln(1 + (n_records - n_with_term + 0.5) / (n_with_term + 0.5)), 6) AS score
+ FROM j""",
+    "p6_found": f"""WITH {_TERMS}, s AS (SELECT id, term, round(uses * ln(n_records / n_with_term), 6) score FROM j
+  WHERE n_with_term > 1), b AS (SELECT *, max(score) OVER (PARTITION BY id) best FROM s)
+ SELECT id AS pattern_id, term FROM b WHERE score = best AND score > 0""",
+    "p4_found": """WITH RECURSIVE v AS (SELECT id, pattern_id p, regexp_replace(unnest(string_split(variables, chr(9))), '^[^\\p{L}\\p{N}]+', '') x
+   FROM occurrences WHERE length(variables) >= 16),
+ y AS (SELECT id, p, regexp_replace(regexp_replace(lower(regexp_replace(x, '^[a-z]+[=:]', '')), '[^\\p{L}\\p{N}]', '', 'g'), '^0x', '') a,
+   regexp_replace(regexp_replace(lower(x), '[^\\p{L}\\p{N}]', '', 'g'), '^0x', '') b FROM v),
+ k AS (SELECT DISTINCT id, p, CASE WHEN regexp_full_match(a, '[0-9a-f]{16}') THEN a ELSE b END h FROM y
+   WHERE regexp_full_match(a, '[0-9a-f]{16}') OR regexp_full_match(b, '[0-9a-f]{16}')),
+ i AS (SELECT h, min(id) f FROM k WHERE h <> repeat(substr(h, 1, 1), 16) GROUP BY h HAVING count(DISTINCT p) > 1),
+ r AS (SELECT k.id, i.f FROM k JOIN i USING (h)),
+ e AS (SELECT DISTINCT r.f a, s.f b FROM r JOIN r s USING (id) WHERE r.f <> s.f),
+ c(a, l) AS (SELECT DISTINCT f, f FROM r UNION SELECT e.b, c.l FROM c JOIN e ON e.a = c.a WHERE c.l < e.b),
+ g AS (SELECT a, min(l) l FROM c GROUP BY a)
+ SELECT DISTINCT r.id, min(g.l) OVER (PARTITION BY r.id) AS group_id FROM r JOIN g ON g.a = r.f""",
     "p1_found": """WITH o AS (SELECT log_source_id s, byte_offset b, arg_min(pattern_id, id) p FROM occurrences
   WHERE log_source_id IS NOT NULL AND byte_offset IS NOT NULL AND pattern_id IS NOT NULL GROUP BY ALL),
  t AS (SELECT id, file_group_id g, list_filter(regexp_split_to_array(template, '\\s+'), lambda x: x <> '') k FROM patterns),
@@ -41,4 +83,4 @@ SQL = {
  HAVING count(*) >= 3""",
 }
 
-QUERIES = {f.__name__: f for f in (p1_runs, p1_found)}
+QUERIES = {f.__name__: f for f in (p1_runs, p1_found, p4_found, p6_scores, p6_found)}
