@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataloom.functions.instants import epoch_us
-from strataloom.llm import groups, runs, terms
+from strataloom.llm import groups, repetition, runs, terms
 from strataloom.session import table
 
 
@@ -43,6 +43,16 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return terms.most_characteristic(scores.where("n_with_term > 1")).select(F.col("key").alias("pattern_id"), "term")
 
 
+def p10_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = repetition.repetition(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return scored.withColumn("votes", F.array_join(F.transform("votes", lambda v: v.cast("string")), ","))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = repetition.repetition(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return repetition.repetitive(scored).select("doc_id")
+
+
 _TERMS = """w AS (SELECT id, file_group_id g, regexp_extract_all(lower(template), '[\\p{L}\\p{N}]+') k FROM patterns),
  z AS (SELECT g, count(*) n_records, avg(coalesce(len(k), 0)) m FROM w GROUP BY g),
  u AS (SELECT id, g, len(k) l, unnest(k) term FROM w),
@@ -83,4 +93,4 @@ SQL = {
  HAVING count(*) >= 3""",
 }
 
-QUERIES = {f.__name__: f for f in (p1_runs, p1_found, p4_found, p6_scores, p6_found)}
+QUERIES = {f.__name__: f for f in (p1_runs, p1_found, p4_found, p6_scores, p6_found, p10_scores, p10_found)}
