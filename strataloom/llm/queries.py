@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataloom.functions.instants import epoch_us
-from strataloom.llm import groups, repetition, runs, terms
+from strataloom.llm import groups, leaks, repetition, runs, terms
 from strataloom.session import table
 
 
@@ -43,6 +43,12 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return terms.most_characteristic(scores.where("n_with_term > 1")).select(F.col("key").alias("pattern_id"), "term")
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.leaks(
+        table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_items"), "item_id", "text"
+    )
+
+
 def p10_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = repetition.repetition(table(spark, sf_dir, "documents"), "doc_id", "text")
     return scored.withColumn("votes", F.array_join(F.transform("votes", lambda v: v.cast("string")), ","))
@@ -93,4 +99,4 @@ SQL = {
  HAVING count(*) >= 3""",
 }
 
-QUERIES = {f.__name__: f for f in (p1_runs, p1_found, p4_found, p6_scores, p6_found, p10_scores, p10_found)}
+QUERIES = {f.__name__: f for f in (p1_runs, p1_found, p4_found, p6_scores, p6_found, p8_found, p10_scores, p10_found)}
