@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strataloom.functions.instants import epoch_us
 from strataloom.llm import groups, leaks, repetition, runs, terms
+from strataloom.llm.mixture import Mixture
 from strataloom.session import table
 
 
@@ -49,6 +50,14 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def p9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets")).pieces()
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets")).shares()
+
+
 def p10_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = repetition.repetition(table(spark, sf_dir, "documents"), "doc_id", "text")
     return scored.withColumn("votes", F.array_join(F.transform("votes", lambda v: v.cast("string")), ","))
@@ -99,4 +108,4 @@ SQL = {
  HAVING count(*) >= 3""",
 }
 
-QUERIES = {f.__name__: f for f in (p1_runs, p1_found, p4_found, p6_scores, p6_found, p8_found, p10_scores, p10_found)}
+QUERIES = {f.__name__: f for f in (p1_runs, p1_found, p4_found, p6_scores, p6_found, p8_found, p9_mixture, p9_shares, p10_scores, p10_found)}
