@@ -83,105 +83,110 @@ def _hour12(h: Column, half: Column) -> Column:
 _TIME = r"(\d{1,2}):(\d\d)(?::(\d\d)(?:[.,](\d+))?)?"
 _ZONE = r"\s*(Z|z|[+-]\d\d:?\d\d|[A-Za-z]{2,5})?(?:\[.*)?$"
 
-#: Layouts of a timestamp text after padding is gone.
+#: Layouts of a timestamp text after padding is gone, each with the places of year, month, day, hour,
+#: minute, second, fraction and zone (or AM/PM) among its groups. The likeliest come first; no two fit one text.
 LAYOUTS = {
-    "ymd": r"^(\d{4})[-/](\d{1,2})[-/](\d{1,2})[T ]" + _TIME + _ZONE,
-    "slashed": r"^(\d{1,2})/(\d{1,2})/(\d{4}),? " + _TIME + r"\s*([AaPp][Mm])?$",
-    "dotted": r"^(\d{1,2})\.(\d{1,2})\.(\d{4}) " + _TIME + _ZONE,
-    "clf": r"^(\d{1,2})/([A-Za-z]{3})/(\d{4}):" + _TIME + _ZONE,
-    "rfc": r"^(?:[A-Za-z]{3}, )?(\d{1,2}) ([A-Za-z]{3}) (\d{4}) " + _TIME + _ZONE,
-    "yearless": r"^([A-Za-z]{3}) +(\d{1,2}) " + _TIME + "$",
-    "compact": r"^(\d{4})(\d\d)(\d\d)T(\d\d)(\d\d)(\d\d)?(?:[.,](\d+))?" + _ZONE,
-    "epoch": r"^(\d{9,19})(?:\.(\d+))?$",
+    "ymd": (r"^(\d{4})[-/](\d{1,2})[-/](\d{1,2})[T ]" + _TIME + _ZONE, "$1|$2|$3|$4|$5|$6|$7|$8"),
+    "epoch": (r"^(\d{9,19})(?:\.(\d+))?$", "$1||||||$2|"),
+    "yearless": (r"^([A-Za-z]{3}) +(\d{1,2}) " + _TIME + "$", "|$1|$2|$3|$4|$5|$6|"),
+    "slashed": (r"^(\d{1,2})/(\d{1,2})/(\d{4}),? " + _TIME + r"\s*([AaPp][Mm])?$", "$3|$1|$2|$4|$5|$6|$7|$8"),
+    "clf": (r"^(\d{1,2})/([A-Za-z]{3})/(\d{4}):" + _TIME + _ZONE, "$3|$2|$1|$4|$5|$6|$7|$8"),
+    "dotted": (r"^(\d{1,2})\.(\d{1,2})\.(\d{4}) " + _TIME + _ZONE, "$3|$2|$1|$4|$5|$6|$7|$8"),
+    "rfc": (r"^(?:[A-Za-z]{3}, )?(\d{1,2}) ([A-Za-z]{3}) (\d{4}) " + _TIME + _ZONE, "$3|$2|$1|$4|$5|$6|$7|$8"),
+    "compact": (r"^(\d{4})(\d\d)(\d\d)T(\d\d)(\d\d)(\d\d)?(?:[.,](\d+))?" + _ZONE, "$1|$2|$3|$4|$5|$6|$7|$8"),
 }
 
 
-def candidates(text: Column, received_us: Column, zone: Column, abbreviations: Column) -> Column:
-    """All valid readings of ``text`` as ``array<struct<layout, us, overlap>>``; empty where it gives no instant.
+def _bind(df: DataFrame, **values: Column) -> DataFrame:
+    """``df`` with computed columns that later expressions share; the optimizer would copy plain ones into each use."""
+    bound = df.select("*", F.explode(F.array(F.struct(*(v.alias(k) for k, v in values.items())))).alias("_bound"))
+    return bound.select("*", "_bound.*").drop("_bound")
 
-    Blanks, quotes and brackets around it are ignored. ``overlap`` marks a local time that occurs twice in ``zone``; the
-    earlier instant is given. A slashed date without AM/PM that is valid day first and month first has two readings.
-    A yearless text takes the year that puts it nearest to ``received_us`` and has no reading without it.
-    """
-    s = F.regexp_replace(text, r"""^[\s'"`(\[{<]+|[\s'"`)\]}>]+$""", "")
-
-    def part(layout: str, i: int) -> Column:
-        return F.regexp_extract(s, LAYOUTS[layout], i)
 
-    def to_utc(local: Column) -> Column:
-        return F.unix_micros(F.to_utc_timestamp(F.timestamp_micros(local), zone))
+def with_readings(df: DataFrame, text: str, received_us: str, zone: str, abbreviations: str) -> DataFrame:
+    """``df`` with ``readings``, all valid readings of ``text`` as ``array<struct<layout, us, overlap>>``.
 
-    def shifted(local: Column, z: Column) -> tuple[Column, Column]:
-        sign = F.when(F.substring(z, 1, 1) == "-", -1).otherwise(1)
-        digits = F.regexp_replace(z, "[^0-9]", "")
-        fixed = sign * (
-            F.substring(digits, 1, 2).try_cast("bigint") * 3600 + F.substring(digits, 3, 2).try_cast("bigint") * 60
-        )
-        named = F.when(F.upper(z).isin("Z", "UTC", "GMT"), F.lit(0)).otherwise(F.try_element_at(abbreviations, z))
-        offset = F.when(z.rlike(r"^[+-]"), fixed).otherwise(named.cast("bigint"))
-        again = to_utc(local + 3_600_000_000) - to_utc(local)
-        # a clock set back: an hour later on the clock is more than an hour later in time
-        overlap = (z == "") & (again > 3_600_000_000)
-        return F.when(z == "", to_utc(local)).otherwise(local - offset * 10**6), overlap
-
-    def reading(layout: str, name: str, local: Column, z: Column) -> Column:
-        us, overlap = shifted(local, z)
-        return F.when(
-            s.rlike(LAYOUTS[layout]) & us.isNotNull(),
-            F.struct(F.lit(name).alias("layout"), us.alias("us"), overlap.alias("overlap")),
-        )
+    Blanks, quotes and brackets around the text are ignored. ``overlap`` marks a local time that occurs twice in the
+    zone; the earlier instant is given. A slashed date without AM/PM that is valid day first and month first has two
+    readings. A yearless text takes the year that puts it nearest to ``received_us`` and has no reading without it. The
+    array is empty where the text gives no instant. Each row costs one regular expression per layout tried and one more.
+    """
+    kind = F.lit(None).cast("string")
+    for name, (pattern, _) in reversed(LAYOUTS.items()):
+        kind = F.when(F.col("_s").rlike(pattern), name).otherwise(kind)
+    parts = F.lit(None).cast("string")
+    for name, (pattern, places) in reversed(LAYOUTS.items()):
+        parts = F.when(F.col("_k") == name, F.regexp_replace("_s", pattern, places)).otherwise(parts)
+    staged = _bind(df, _s=F.regexp_replace(text, r"""^[\s'"`(\[{<]+|[\s'"`)\]}>]+$""", ""))
+    staged = _bind(_bind(staged, _k=kind), _p=F.split(parts, r"\|"))
+    y, mo, d, h, mi, s, frac, z = (F.col("_p")[i] for i in range(8))
+    k, got, at = F.col("_k"), F.col(received_us), F.col(zone)
 
-    none = F.lit("")
-    p = part
-    ymd = _local_us(*(p("ymd", i) for i in range(1, 8)))
-    half = p("slashed", 8)
-    hour = _hour12(p("slashed", 4), half)
-    rest = (hour, *(p("slashed", i) for i in (5, 6, 7)))
-    month_first = _local_us(p("slashed", 3), p("slashed", 1), p("slashed", 2), *rest)
-    day_first = F.when(half == "", _local_us(p("slashed", 3), p("slashed", 2), p("slashed", 1), *rest))
-    dotted = _local_us(p("dotted", 3), p("dotted", 2), p("dotted", 1), *(p("dotted", i) for i in range(4, 8)))
-    clf = _local_us(p("clf", 3), _month(p("clf", 2)), p("clf", 1), *(p("clf", i) for i in range(4, 8)))
-    rfc = _local_us(p("rfc", 3), _month(p("rfc", 2)), p("rfc", 1), *(p("rfc", i) for i in range(4, 8)))
-    compact = _local_us(*(p("compact", i) for i in range(1, 8)))
-    received = F.timestamp_micros(received_us)
-    years = [
-        to_utc(
-            _local_us(
-                (F.year(received) + k).cast("string"), _month(p("yearless", 1)), *(p("yearless", i) for i in range(2, 7))
-            )
+    def to_utc(local: Column) -> Column:
+        return F.unix_micros(F.to_utc_timestamp(F.timestamp_micros(local), at))
+
+    month = F.when(mo.rlike("^[A-Za-z]"), _month(mo)).otherwise(mo)
+    hour = F.when(k == "slashed", _hour12(h, z)).otherwise(h)
+    clock = (hour, mi, s, frac)
+    dated = k.isin("ymd", "slashed", "clf", "dotted", "rfc", "compact")
+    received = F.timestamp_micros(got)
+    years = {
+        f"_y{i + 1}": F.when(
+            k == "yearless", to_utc(_local_us((F.year(received) + i).cast("string"), month, d, *clock))
         )
-        for k in (-1, 0, 1)
-    ]
+        for i in (-1, 0, 1)
+    }
     near = F.array_min(
         F.array_compact(
-            F.array(*(F.when(y.isNotNull(), F.struct(F.abs(y - received_us).alias("d"), y.alias("us"))) for y in years))
+            F.array(*(F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col(c) - got), F.col(c).alias("us"))) for c in ("_y0", "_y1", "_y2")))
         )
     )["us"]
-    number = p("epoch", 1).try_cast("decimal(20,0)").cast("bigint")
-    with_fraction = p("epoch", 2) != ""
+    number = y.try_cast("decimal(20,0)").cast("bigint")
     epoch = F.when(
-        with_fraction & (epoch_unit(number) == "s"),
-        number * 10**6 + F.rpad(F.substring(p("epoch", 2), 1, 6), 6, "0").try_cast("bigint"),
+        (frac != "") & (epoch_unit(number) == "s"),
+        number * 10**6 + F.rpad(F.substring(frac, 1, 6), 6, "0").try_cast("bigint"),
     ).otherwise(epoch_us(number))
-    again = F.unix_micros(F.from_utc_timestamp(F.timestamp_micros(near + 3_600_000_000), zone)) - F.unix_micros(
-        F.from_utc_timestamp(F.timestamp_micros(near), zone)
-    )
-    return F.array_compact(
-        F.array(
-            reading("ymd", "ymd", ymd, p("ymd", 8)),
-            reading("slashed", "month first", month_first, none),
-            reading("slashed", "day first", day_first, none),
-            reading("dotted", "dotted", dotted, p("dotted", 8)),
-            reading("clf", "clf", clf, p("clf", 8)),
-            reading("rfc", "rfc", rfc, p("rfc", 8)),
-            reading("compact", "compact", compact, p("compact", 8)),
-            F.when(
-                s.rlike(LAYOUTS["yearless"]) & near.isNotNull(),
-                F.struct(F.lit("yearless").alias("layout"), near.alias("us"), (again == 0).alias("overlap")),
-            ),
-            F.when(
-                s.rlike(LAYOUTS["epoch"]) & epoch.isNotNull(),
-                F.struct(F.lit("epoch").alias("layout"), epoch.alias("us"), F.lit(False).alias("overlap")),
-            ),
-        )
+    zoned = F.when(k == "slashed", "").otherwise(z)
+    sign = F.when(F.substring(zoned, 1, 1) == "-", -1).otherwise(1)
+    digits = F.regexp_replace(zoned, "[^0-9]", "")
+    fixed = sign * (F.substring(digits, 1, 2).try_cast("bigint") * 3600 + F.substring(digits, 3, 2).try_cast("bigint") * 60)
+    named = F.when(F.upper(zoned).isin("Z", "UTC", "GMT"), F.lit(0)).otherwise(F.try_element_at(abbreviations, zoned))
+    offset = F.when(zoned.rlike("^[+-]"), fixed).otherwise(named.cast("bigint"))
+
+    staged = _bind(
+        staged,
+        _local=F.when(dated, _local_us(y, month, d, *clock)),
+        _swapped=F.when((k == "slashed") & (z == ""), _local_us(y, d, mo, *clock)),
+        _epoch=F.when(k == "epoch", epoch),
+        _zoned=zoned,
+        _offset=offset,
+        **years,
     )
+    staged = _bind(staged, _near=F.when(k == "yearless", near))
+    zoned, offset = F.col("_zoned"), F.col("_offset")
+
+    def placed(local: Column) -> Column:
+        return F.when(zoned == "", to_utc(local)).otherwise(local - offset * 10**6)
+
+    hour_us = 3_600_000_000
+
+    def twice(local: Column) -> Column:
+        # a clock set back: an hour later on the clock is more than an hour later in time
+        return (zoned == "") & (to_utc(local + hour_us) - to_utc(local) > hour_us)
+
+    def reading(name: Column, us: Column, overlap: Column) -> Column:
+        return F.when(us.isNotNull(), F.struct(name.alias("layout"), us.alias("us"), overlap.alias("overlap")))
+
+    local, swapped = F.col("_local"), F.col("_swapped")
+    wall = F.unix_micros(F.from_utc_timestamp(F.timestamp_micros(F.col("_near")), at))
+    later = F.unix_micros(F.from_utc_timestamp(F.timestamp_micros(F.col("_near") + hour_us), at))
+    readings = (
+        F.when(dated, F.array(
+            reading(F.when(k == "slashed", "month first").otherwise(k), placed(local), twice(local)),
+            reading(F.lit("day first"), placed(swapped), twice(swapped)),
+        ))
+        .when(k == "yearless", F.array(reading(k, F.col("_near"), wall == later)))
+        .when(k == "epoch", F.array(reading(k, F.col("_epoch"), F.lit(False))))
+    )
+    helpers = ["_s", "_k", "_p", "_local", "_swapped", "_y0", "_y1", "_y2", "_near", "_epoch", "_zoned", "_offset"]
+    return staged.withColumn("readings", F.array_compact(F.coalesce(readings, F.array().cast("array<struct<layout:string,us:bigint,overlap:boolean>>")))).drop(*helpers)

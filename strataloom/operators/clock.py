@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataloom.functions.instants import candidates, epoch_unit, epoch_us, zones
+from strataloom.functions.instants import epoch_unit, epoch_us, with_readings, zones
 
 #: Upper bounds, in seconds, of the classes of delay between an instant and its reception.
 DELAYS = (-86_400, -3_600, -60, 0, 60, 3_600, 86_400, 30 * 86_400)
@@ -78,11 +78,11 @@ def text_instants(
         F.unix_micros(F.col(received).cast("timestamp_ntz").cast("timestamp")).alias("received"),
     ).where("text is not null")
     at = zones(spark, source_zones)
+    zoned = slim.join(at, F.col("source") == F.col("zsid"), "left").withColumn("zone", F.coalesce("zone", F.lit("UTC")))
     read = (
-        slim.join(at, F.col("source") == F.col("zsid"), "left")
-        .withColumn("c", candidates(F.col("text"), F.col("received"), F.coalesce("zone", F.lit("UTC")), F.col("abbreviations")))
-        .where(F.size("c") > 0)
-        .select("id", "source", "received", "c")
+        with_readings(zoned, "text", "received", "zone", "abbreviations")
+        .where(F.size("readings") > 0)
+        .select("id", "source", "received", F.col("readings").alias("c"))
     )
     signed = read.withColumn(
         "signature",
