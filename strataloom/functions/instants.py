@@ -9,6 +9,8 @@ from zoneinfo import ZoneInfo, available_timezones
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strataloom.functions.bind import bind
+
 #: English month abbreviations in order.
 MONTHS = "Jan Feb Mar Apr May Jun Jul Aug Sep Oct Nov Dec".split()
 
@@ -97,12 +99,6 @@ LAYOUTS = {
 }
 
 
-def _bind(df: DataFrame, **values: Column) -> DataFrame:
-    """``df`` with computed columns that later expressions share; the optimizer would copy plain ones into each use."""
-    bound = df.select("*", F.explode(F.array(F.struct(*(v.alias(k) for k, v in values.items())))).alias("_bound"))
-    return bound.select("*", "_bound.*").drop("_bound")
-
-
 def with_readings(df: DataFrame, text: str, received_us: str, zone: str, abbreviations: str) -> DataFrame:
     """``df`` with ``readings``, all valid readings of ``text`` as ``array<struct<layout, us, overlap>>``.
 
@@ -117,8 +113,8 @@ def with_readings(df: DataFrame, text: str, received_us: str, zone: str, abbrevi
     parts = F.lit(None).cast("string")
     for name, (pattern, places) in reversed(LAYOUTS.items()):
         parts = F.when(F.col("_k") == name, F.regexp_replace("_s", pattern, places)).otherwise(parts)
-    staged = _bind(df, _s=F.regexp_replace(text, r"""^[\s'"`(\[{<]+|[\s'"`)\]}>]+$""", ""))
-    staged = _bind(_bind(staged, _k=kind), _p=F.split(parts, r"\|"))
+    staged = bind(df, _s=F.regexp_replace(text, r"""^[\s'"`(\[{<]+|[\s'"`)\]}>]+$""", ""))
+    staged = bind(bind(staged, _k=kind), _p=F.split(parts, r"\|"))
     y, mo, d, h, mi, s, frac, z = (F.col("_p")[i] for i in range(8))
     k, got, at = F.col("_k"), F.col(received_us), F.col(zone)
 
@@ -153,7 +149,7 @@ def with_readings(df: DataFrame, text: str, received_us: str, zone: str, abbrevi
     named = F.when(F.upper(zoned).isin("Z", "UTC", "GMT"), F.lit(0)).otherwise(F.try_element_at(abbreviations, zoned))
     offset = F.when(zoned.rlike("^[+-]"), fixed).otherwise(named.cast("bigint"))
 
-    staged = _bind(
+    staged = bind(
         staged,
         _local=F.when(dated, _local_us(y, month, d, *clock)),
         _swapped=F.when((k == "slashed") & (z == ""), _local_us(y, d, mo, *clock)),
@@ -162,7 +158,7 @@ def with_readings(df: DataFrame, text: str, received_us: str, zone: str, abbrevi
         _offset=offset,
         **years,
     )
-    staged = _bind(staged, _near=F.when(k == "yearless", near))
+    staged = bind(staged, _near=F.when(k == "yearless", near))
     zoned, offset = F.col("_zoned"), F.col("_offset")
 
     def placed(local: Column) -> Column:

@@ -74,9 +74,9 @@ def entry_tokens(line: Column, continuation: Column) -> Column:
 def is_variable(token: Column) -> Column:
     """Paths, long names with two dashes, and tokens of which at least 30 % of the bytes are digits."""
     size = F.octet_length(token)
-    dashes = F.length(token) - F.length(F.replace(token, F.lit("-"), F.lit("")))
-    digits = F.length(token) - F.length(F.regexp_replace(token, "[0-9]", ""))
-    return token.rlike(r"[/\\]") | ((dashes >= 2) & (size > 10)) | ((digits > 0) & (F.floor(digits * 100 / size) >= 30))
+    dashes = F.length(token) - F.length(F.translate(token, "-", ""))
+    digits = F.length(token) - F.length(F.translate(token, "0123456789", ""))
+    return token.contains("/") | token.contains("\\") | ((dashes >= 2) & (size > 10)) | ((digits > 0) & (F.floor(digits * 100 / size) >= 30))
 
 
 def mask(tokens: Column) -> Column:

@@ -6,8 +6,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strataloom.functions.bind import bind
 from strataloom.functions.stamps import extract_timestamp
 from strataloom.functions.tokens import PINNED, WILDCARD, entry_tokens, mask, render, variables
+from strataloom.session import spread
 
 #: Fixed values of the fold: similarity to join a template, similarity that ends the search, candidates looked at.
 THRESHOLD, EARLY_EXIT, MOST_CANDIDATES = 0.5, 0.9, 50
@@ -16,16 +18,10 @@ THRESHOLD, EARLY_EXIT, MOST_CANDIDATES = 0.5, 0.9, 50
 def tokenized(entries: DataFrame, group: str, source: str, offset: str, line: str, continuation: str | None = None, syslog_year: int = 2026) -> DataFrame:
     """``group, source, byte_offset, entry_timestamp, tokens, masked`` of entries that have tokens."""
     more = F.col(continuation) if continuation else F.array().cast("array<string>")
-    return (
-        entries.select(
-            F.col(group).alias("group"),
-            F.col(source).cast("string").alias("source"),
-            F.col(offset).alias("byte_offset"),
-            extract_timestamp(F.col(line), syslog_year).alias("entry_timestamp"),
-            entry_tokens(F.col(line), more).alias("tokens"),
-        )
-        .where(F.size("tokens") > 0)
-        .withColumn("masked", mask(F.col("tokens")))
+    slim = spread(entries.select(F.col(group).alias("group"), F.col(source).cast("string").alias("source"), F.col(offset).alias("byte_offset"), F.col(line).alias("line"), more.alias("more")))
+    cut_up = bind(slim, tokens=entry_tokens(F.col("line"), F.col("more"))).where(F.size("tokens") > 0)
+    return bind(cut_up, masked=mask(F.col("tokens"))).select(
+        "group", "source", "byte_offset", extract_timestamp(F.col("line"), syslog_year).alias("entry_timestamp"), "tokens", "masked"
     )
 
 

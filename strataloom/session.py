@@ -57,3 +57,12 @@ def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared folder and forget its lineage; survives the loss of executors."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where its scan has too few partitions for them (a single small file); else as it is."""
+    plan = df._jdf.queryExecution().executedPlan()
+    if plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec":  # has exchanges; to ask it would run them
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() <= cores else df
