@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from strataloom.operators.graph import components
 from strataloom.operators.rank import seconds
+from strataloom.session import cut
 
 
 def correlations(occurrences: DataFrame, patterns: DataFrame, window: int = 60, min_count: int = 10, top: int | None = 20, earliest: int | None = None, min_observed: int = 3, min_confidence: float = 1.5) -> DataFrame:
@@ -87,21 +88,24 @@ def variable_index(occurrences: DataFrame, patterns: DataFrame, top_patterns: in
     )
 
 
-def shared_value_pairs(index: DataFrame, min_shared: int = 3) -> DataFrame:
-    """``a, b, shared``: pattern pairs with at least ``min_shared`` values in common, of values that at least 2 and at
-    most half of the patterns have.
-
-    Values are first counted by the set of patterns they occur in; pairs come from the distinct sets, not the values.
-    """
+def shared_values(index: DataFrame) -> DataFrame:
+    """``value, who``: values that at least 2 and at most half of the patterns have, with those patterns."""
     patterns = index.agg(F.greatest(F.floor(F.count_distinct("pattern_id") / 2), F.lit(2)).alias("most"))
-    sets = (
+    return (
         index.groupBy("value")
         .agg(F.array_sort(F.collect_set("pattern_id")).alias("who"))  # at most the patterns asked for
         .crossJoin(F.broadcast(patterns))  # one row
         .where((F.size("who") >= 2) & (F.size("who") <= F.col("most")))
-        .groupBy("who")
-        .agg(F.count("*").alias("n"))
+        .select("value", "who")
     )
+
+
+def shared_value_pairs(values: DataFrame, min_shared: int = 3) -> DataFrame:
+    """``a, b, shared``: pattern pairs with at least ``min_shared`` shared values in common.
+
+    Values are first counted by the set of patterns they occur in; pairs come from the distinct sets, not the values.
+    """
+    sets = values.groupBy("who").agg(F.count("*").alias("n"))
     return (
         sets.select("who", "n", F.posexplode("who").alias("i", "a"))
         .select("a", "n", F.explode(F.slice("who", F.col("i") + 2, F.size("who"))).alias("b"))
@@ -114,13 +118,14 @@ def shared_value_pairs(index: DataFrame, min_shared: int = 3) -> DataFrame:
 def clusters(occurrences: DataFrame, patterns: DataFrame, min_shared: int = 3, top: int | None = 20, top_patterns: int | None = 200) -> DataFrame:
     """``cluster, n_patterns, patterns, values``: groups of patterns linked by shared values, largest first, with up to
     10 values (least first) that two members share."""
-    index = variable_index(occurrences, patterns, top_patterns)
-    pairs = shared_value_pairs(index, min_shared)
+    shared = cut(shared_values(variable_index(occurrences, patterns, top_patterns)))
+    pairs = shared_value_pairs(shared, min_shared)
     ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     member = components(ends, pairs)
     rank = W.partitionBy("component").orderBy("value")
     values = (
-        index.join(member, F.col("pattern_id") == F.col("id"))
+        shared.select("value", F.explode("who").alias("p"))
+        .join(member, F.col("p") == F.col("id"))
         .groupBy("component", "value")
         .agg(F.count("*").alias("n"))
         .where("n >= 2")

@@ -520,7 +520,7 @@ _INDEX = """top AS (SELECT id FROM patterns ORDER BY occurrence_count DESC NULLS
 @query(f"WITH {_INDEX} SELECT x.p AS a, z.p AS b, count(*) AS shared FROM x JOIN x z ON z.v = x.v AND x.p < z.p JOIN k ON k.v = x.v GROUP BY ALL HAVING count(*) >= 3")
 def shared_value_pairs(spark, sf_dir):
     index = correlate.variable_index(table(spark, sf_dir, "occurrences"), table(spark, sf_dir, "patterns"))
-    return correlate.shared_value_pairs(index)
+    return correlate.shared_value_pairs(correlate.shared_values(index))
 
 
 @query()
