@@ -19,7 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataloom.llm.words import batch_words, gram_keys, split_words
+from strataloom.llm.words import batch_words, gram_keys, portions, split_words
+from strataloom.session import spread
 
 RUN, BLOCK = 12, 16
 #: Characters of items in one index; beyond that the items are cut into shards, each with a pass over the corpus.
@@ -172,7 +173,7 @@ def _search(shared, n: int):
         index: ItemIndex = shared.value
         none = len(index.top) - 1
         cache: dict[int, np.ndarray] = {}
-        for batch in batches:
+        for batch in portions(batches, 1):
             flat, starts = batch_words(batch.column(1).to_pylist())
             if not flat:
                 continue
@@ -198,7 +199,9 @@ def leaks(
     the size of one index.
     """
     spark = documents.sparkSession
-    corpus = documents.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).where("text is not null")
+    corpus = spread(
+        documents.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).where("text is not null")
+    )
     asked = items.select(F.col(item_id).cast("bigint").alias("id"), F.col(item_text).alias("t")).where(
         "id is not null and t is not null"
     )

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from strataloom.session import cut
+from strataloom.session import cut, spread
 
 TOKENIZER = os.environ.get("STRATALOOM_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 #: Fixed value: the published pattern that cuts text into pieces before byte-pair encoding (GPT-2).
@@ -107,10 +107,11 @@ class Mixture:
         self.targets = [(r["source"], float(r["share"]), int(r["repeats"])) for r in wanted]
         names = [t[0] for t in self.targets]
         counted = (
-            documents.select(
-                F.col(doc_id).cast("bigint").alias("doc_id"), source_name(F.col(source)).alias("source"), F.col(text).alias("text")
+            spread(
+                documents.select(
+                    F.col(doc_id).cast("bigint").alias("doc_id"), source_name(F.col(source)).alias("source"), F.col(text).alias("text")
+                ).where(F.col("source").isin(names) & F.col("text").isNotNull())
             )
-            .where(F.col("source").isin(names) & F.col("text").isNotNull())
             .mapInArrow(_count_tokens(tokenizer), "doc_id bigint, source string, tokens bigint")
             .where("tokens > 0")
         )

@@ -16,8 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataloom.llm.words import batch_words, codes, covered, earlier_same
-from strataloom.session import cut
+from strataloom.llm.words import batch_words, codes, covered, earlier_same, portions
+from strataloom.session import cut, spread
 
 GRAM = 8
 
@@ -63,7 +63,7 @@ def _piece_share(text: str | None, by: re.Pattern) -> float:
 
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in portions(batches, 1):
         texts = batch.column(1).to_pylist()
         flat, starts = batch_words(texts)
         ids = codes(flat)
@@ -131,7 +131,7 @@ def repetition(documents: DataFrame, key: str, text: str) -> DataFrame:
     values; a null key is kept. Texts of any length are measured whole. The rules' votes make at most 729 patterns, of
     which the driver gets the counts.
     """
-    slim = documents.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
+    slim = spread(documents.select(F.col(key).alias("doc_id"), F.col(text).alias("text")))
     kinds = ", ".join(["doc_id bigint", "n_words bigint", *(f"{m} double" for m in MEASURES)])
     measured = slim.mapInArrow(_measure, kinds)
 

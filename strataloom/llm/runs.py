@@ -31,6 +31,8 @@ _KINDS = [
     pa.int64(), pa.string(), pa.int64(), pa.int64(),
 ]
 _NO_TIME = -(2**63)
+#: Rows whose symbols form one string.
+_BLOCK = 500_000
 _NAMES = [c.split()[0] for c in _RUNS.split(", ")]
 
 
@@ -89,20 +91,40 @@ def alike(a: str | None, b: str | None) -> bool:
     return len(x) == len(y) and all(p == q or WILDCARD in (p, q) for p, q in zip(x, y, strict=True))
 
 
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """A partition's batches as tables of about ``_BLOCK`` rows."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+        if sum(b.num_rows for b in held) >= _BLOCK:
+            yield pa.Table.from_batches(held)
+            held = []
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def _find(least: int):
-    """Spans of one sorted partition: those of ``least`` events and more, and those at its two ends (seams)."""
+    """Spans of a sorted partition, block by block: those of ``least`` events and more, and those at the two ends of a
+    block (seams)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = list(batches)
-        table = pa.Table.from_batches(held) if held else None
-        if table is None or not table.num_rows:
-            return
+        last = None
+        for table in _blocks(batches):
+            yield from spans(table, last)
+            last = tuple(table.column(i)[-1].as_py() for i in (0, 1))
+
+    def spans(table: pa.Table, last: tuple | None) -> Iterator[pa.RecordBatch]:
         source, offset, pattern, symbol = (table.column(i).to_numpy() for i in range(4))
         time = pc.fill_null(table.column(5), _NO_TIME).to_numpy()
         detail = table.column(4)
         keep = np.ones(len(source), bool)
         keep[1:] = (source[1:] != source[:-1]) | (offset[1:] != offset[:-1])  # repeated rows count once
+        if last is not None:
+            keep[: np.argmax(np.append((source != last[0]) | (offset != last[1]), True))] = False
         at = np.flatnonzero(keep)
+        if not len(at):
+            return
         source, offset, pattern, symbol, time = (x[at] for x in (source, offset, pattern, symbol, time))
         codes = np.unique(symbol, return_inverse=True)[1] % _CODES + _BASE
         codes = np.where(codes >= _SURROGATE, codes + _SURROGATES, codes)

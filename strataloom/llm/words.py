@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import re
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 
 #: A word is a maximal run of letters and digits of the lower-cased text.
 WORD = re.compile(r"[^\W_]+")
@@ -15,6 +19,16 @@ def split_words(text: str | None) -> list[str]:
     return WORD.findall(text.lower()) if text else []
 
 
+def portions(batches: Iterator[pa.RecordBatch], column: int, most: int = 8_000_000) -> Iterator[pa.RecordBatch]:
+    """The batches cut into pieces of about ``most`` bytes of text, whole rows each, to bound a worker's memory."""
+    for batch in batches:
+        size = np.array(pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0)).astype(np.int64)
+        piece = (np.cumsum(size) - size) // most
+        edges = np.flatnonzero(np.diff(piece, prepend=-1, append=-1))
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            yield batch.slice(a, b - a)
+
+
 def batch_words(texts: list[str | None]) -> tuple[list[str], np.ndarray]:
     """All words of the texts in a row, and the place of each text's first word, with the end added."""
     flat: list[str] = []
