@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataloom.functions.instants import epoch_unit, epoch_us, with_readings, zones
+from strataloom.session import ship
 
 #: Upper bounds, in seconds, of the classes of delay between an instant and its reception.
 DELAYS = (-86_400, -3_600, -60, 0, 60, 3_600, 86_400, 30 * 86_400)
@@ -71,6 +72,7 @@ def text_instants(
     twice (of these the earlier is given). Null, empty and unreadable texts give no row. A null source, zone or
     reception is allowed: the zone is then UTC, the delay unknown. Ties go to the reading listed first, month first.
     """
+    ship(spark)
     slim = df.select(
         F.col(row_id).alias("id"),
         F.col(source).alias("source"),

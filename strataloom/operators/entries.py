@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from strataloom.session import ship
+
 _PIECES = (
     "source bigint, first bigint, last bigint, head boolean, seam boolean, n_rows bigint, "
     "ts string, level string, component string, message string, unparsed array<struct<start:int,end:int>>"
@@ -86,6 +88,7 @@ def parse_entries(raw: DataFrame, source: str, offset: str, text: str, row_id: s
     entry; rows without source or offset are left out. Sources of any size are spread over tasks by offset; only the
     first rows and the last entry of a task meet again to be joined. Columns of other names are not read.
     """
+    ship(raw.sparkSession)
     slim = (
         raw.select(
             F.col(source).cast("bigint").alias("source"),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from strataloom.functions.bind import bind
 from strataloom.functions.stamps import extract_timestamp
 from strataloom.functions.tokens import PINNED, WILDCARD, entry_tokens, mask, render, variables
-from strataloom.session import spread
+from strataloom.session import ship, spread
 
 #: Fixed values of the fold: similarity to join a template, similarity that ends the search, candidates looked at.
 THRESHOLD, EARLY_EXIT, MOST_CANDIDATES = 0.5, 0.9, 50
@@ -121,6 +121,7 @@ def fold_templates(vectors: DataFrame, threshold: float = THRESHOLD, known: Data
     """
     if not 0 <= threshold <= 1:
         raise ValueError("threshold must be between 0 and 1")
+    ship(vectors.sparkSession)
 
     def folded(pdf: pd.DataFrame) -> pd.DataFrame:
         tree = PrefixTree(threshold)

@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strataloom.functions.tokens import is_indented, line_fingerprint
+from strataloom.session import ship
 
 #: Share of a source's unindented lines that the shapes of entry starts cover.
 COVERAGE = 0.9
@@ -89,6 +90,7 @@ def group_entries(lines: DataFrame, source: str, offset: str, after: str, line:
     spread by range of (source, offset), so a source of any size takes many tasks; only the pieces at the ends of tasks
     meet again.
     """
+    ship(lines.sparkSession)
     slim = lines.where(F.col(source).isNotNull() & F.col(offset).isNotNull()).select(
         F.col(source).cast("string").alias("source"),
         F.col(offset).cast("bigint").alias("at"),

@@ -437,11 +437,11 @@ def baseline_compare(spark, sf_dir):
     return compare.diff(read_baseline(spark, path), after).groupBy("kind").agg(F.count("*").alias("n"), F.sum("delta").alias("delta"))
 
 
-@query(f"""WITH {_SCORED.format('')}, {_SIDES} SELECT 'max anomaly score' AS name, 12.0 AS threshold, round(coalesce(max(score), 0), 6) AS actual,
+@query(f"""WITH {_SCORED.format('')}, {_SIDES} SELECT 'max anomaly score' AS name, 12.0::DOUBLE AS threshold, round(coalesce(max(score), 0), 6) AS actual,
   coalesce(max(score), 0) <= 12 AS passed FROM a
- UNION ALL SELECT 'max new patterns', 5.0, count(*)::DOUBLE, count(*) <= 5 FROM n WHERE b = 0 AND a > 0
- UNION ALL SELECT 'no pattern contains ''OutOfMemory''', 0.0, count(*)::DOUBLE, count(*) = 0 FROM patterns WHERE contains(template, 'OutOfMemory')
- UNION ALL SELECT 'no pattern contains ''Timeout''', 0.0, count(*)::DOUBLE, count(*) = 0 FROM patterns WHERE contains(template, 'Timeout')""")
+ UNION ALL SELECT 'max new patterns', 5.0::DOUBLE, count(*)::DOUBLE, count(*) <= 5 FROM n WHERE b = 0 AND a > 0
+ UNION ALL SELECT 'no pattern contains ''OutOfMemory''', 0.0::DOUBLE, count(*)::DOUBLE, count(*) = 0 FROM patterns WHERE contains(template, 'OutOfMemory')
+ UNION ALL SELECT 'no pattern contains ''Timeout''', 0.0::DOUBLE, count(*)::DOUBLE, count(*) = 0 FROM patterns WHERE contains(template, 'Timeout')""")
 def check_gate(spark, sf_dir):
     scores = _anomalies(spark, sf_dir, False, None)
     return compare.gate(

@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 from pyspark.sql.types import StructType
 
+from strataloom.session import ship
+
 LINES = "file_path string, byte_offset bigint, next_offset bigint, line string"
 #: Fixed value: bytes of a line that are kept.
 MAX_LINE = 65_536
@@ -199,6 +201,7 @@ class _StreamReader(DataSourceStreamReader):
 
 
 def register(spark) -> None:
+    ship(spark)
     spark.dataSource.register(LogLines)
 
 
