@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from strataloom.session import ship
+
 WILDCARD = "<*>"
 _REPEATED = re.compile(r"(.)\1+", re.DOTALL)
 #: First code point used for symbols, and the surrogates, which no string may hold.
@@ -198,6 +200,7 @@ def repeated_runs(
     pattern unknown to ``classes`` is alike to itself only; times may be null. Sources of any size are spread over tasks
     by offset; the two runs at a task's ends meet again by source and are merged in order.
     """
+    ship(events.sparkSession)
     slim = events.select(
         F.col(source).cast("bigint").alias("source"),
         F.col(offset).cast("bigint").alias("offset"),
