@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from strataloom.session import ship
+from strataloom.session import cut, ship
 
 _PIECES = (
     "source bigint, first bigint, last bigint, head boolean, seam boolean, n_rows bigint, "
@@ -137,3 +137,72 @@ def parse_entries(raw: DataFrame, source: str, offset: str, text: str, row_id: s
 def variable_parts(message):
     """Tokens of a message that look like values (with digits, a path or a lone sign), in the order of the text."""
     return F.regexp_extract_all(message, F.lit(r"[^\s()\[\]{},;'\"<>]*(?:\d|/)[^\s()\[\]{},;'\"<>]*"), F.lit(0))
+
+
+WILDCARD = "<*>"
+
+
+def _tokens(text):
+    return F.filter(F.split(text, r"\s+"), lambda x: x != "")
+
+
+def _firm(tokens, loose):
+    return F.array_join(F.transform(tokens, lambda t, i: F.when(F.array_contains(loose, i), "").otherwise(t)), " ")
+
+
+def match_patterns(found: DataFrame, patterns: DataFrame, log_sources: DataFrame) -> DataFrame:
+    """``found`` (entries with ``message``) with ``pattern_id`` and ``variables`` (TAB-joined), as occurrences have them.
+
+    A message fits a template of its source's file group if it reads the same with every ``<*>`` replaced by some text
+    without blanks. Of several that fit, the one with the fewest wildcards counts, then the least id. Where none fits,
+    ``pattern_id`` is null and ``variables`` holds the parts that look like values. Messages and templates meet by group,
+    number of tokens and the tokens at those positions where no template of that group and number has a wildcard.
+    """
+    t = (
+        patterns.where("id is not null and file_group_id is not null and template is not null")
+        .select(F.col("id").alias("t_id"), F.col("file_group_id").alias("t_group"), F.trim("template").alias("template"))
+        .withColumn("t_tokens", _tokens(F.col("template")))
+        .withColumn("t_size", F.size("t_tokens"))
+    )
+    blocks = (
+        t.select("t_group", "t_size", F.posexplode("t_tokens").alias("at", "token"))
+        .groupBy("t_group", "t_size", "at")
+        .agg(F.max(F.contains("token", F.lit(WILDCARD))).alias("loose"))
+        .groupBy(F.col("t_group").alias("b_group"), F.col("t_size").alias("b_size"))
+        .agg(F.collect_list(F.when(F.col("loose"), F.col("at"))).alias("loose"))  # at most a template's tokens
+    )
+    blocks = cut(blocks)
+    holes = F.size(F.split("template", r"<\*>")) - 1
+    quoted = F.concat(F.lit(r"^\s*\Q"), F.replace("template", F.lit(WILDCARD), F.lit("\\E(\\S*?)\\Q")), F.lit("\\E\\s*$"))
+    keyed = cut(
+        t.join(blocks, (F.col("t_group") == F.col("b_group")) & (F.col("t_size") == F.col("b_size"))).select(
+            "t_id", "t_group", "t_size", _firm(F.col("t_tokens"), F.col("loose")).alias("t_key"), holes.alias("holes"), quoted.alias("regex"),
+            F.when(holes > 0, F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(holes, F.lit(1))), lambda i: F.concat(F.lit("$"), i.cast("string"))), "\t")).otherwise("").alias("parts"),
+        )
+    )
+    group_of = log_sources.select(F.col("id").alias("s_id"), F.col("file_group_id").alias("s_group"))
+    text = F.regexp_replace("message", "\r\n", "\n")
+    e = (
+        found.withColumn("_m", text)
+        .join(group_of, F.col("log_source_id") == F.col("s_id"), "left")
+        .withColumn("_k", _tokens(F.col("_m")))
+        .join(blocks, (F.col("s_group") == F.col("b_group")) & (F.size("_k") == F.col("b_size")), "left")
+        .withColumn("_key", _firm(F.col("_k"), F.coalesce("loose", F.array().cast("array<int>"))))
+    )
+    fits = (F.col("s_group") == F.col("t_group")) & (F.size("_k") == F.col("t_size")) & (F.col("_key") == F.col("t_key"))
+    near = e.join(keyed, fits, "left")
+    hit = F.rlike("_m", F.col("regex"))
+    carried = [c for c in found.columns if c not in ("log_source_id", "byte_offset")]
+    best = near.groupBy("log_source_id", "byte_offset").agg(
+        F.min(F.when(hit, F.struct("holes", "t_id", "regex", "parts"))).alias("best"),
+        F.first("_m").alias("_m"),
+        *(F.first(c).alias(c) for c in carried),
+    )
+    return best.select(
+        *found.columns,
+        F.col("best.t_id").alias("pattern_id"),
+        F.when(F.col("best").isNull(), F.array_join(variable_parts(F.col("_m")), "\t"))
+        .when(F.col("best.parts") == "", "")
+        .otherwise(F.regexp_replace(F.col("_m"), F.col("best.regex"), F.col("best.parts")))
+        .alias("variables"),
+    )

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from strataloom.functions import tokens as tk
 from strataloom.functions.stamps import extract_timestamp
-from strataloom.operators import compare, correlate, dedup, mining, rank, search, structure, tags
+from strataloom.operators import compare, correlate, dedup, mining, rank, search, structure, tags, tickets
 from strataloom.plans.corpora import DOCUMENT_LINES_SQL, EVENT_LINES_SQL, document_lines, event_lines
 from strataloom.session import table
 
@@ -573,3 +573,56 @@ def tag_filter(spark, sf_dir):
         table(spark, sf_dir, "patterns"), table(spark, sf_dir, "tags"), min_count=50, any_of=["critical", "known-issue"], none_of=["suppress", "noise"]
     )
     return kept.select("id", "template")
+
+
+def _tickets(spark, sf_dir) -> DataFrame:
+    """A ticket per tagged pattern; those tagged critical were written at a count one lower."""
+    own = table(spark, sf_dir, "tags").groupBy("pattern_id").agg(F.max(F.lower("tag") == "critical").alias("old"))
+    p = table(spark, sf_dir, "patterns").join(own, F.col("id") == F.col("pattern_id"))
+    count = F.coalesce("occurrence_count", F.lit(0)) - F.when(F.col("old"), 1).otherwise(0)
+    marker = tickets.build_marker(F.lit("main"), F.col("id"), F.greatest(count, F.lit(0)))
+    return p.select(F.concat(F.lit("LOG-"), F.col("id").cast("string")).alias("key"), F.concat(F.lit("Seen in production.\n"), marker).alias("description"))
+
+
+_TICKETS = """k AS (SELECT pattern_id AS id, max(CASE WHEN lower(tag) = 'critical' THEN 1 ELSE 0 END) AS old FROM tags GROUP BY ALL),
+ t AS (SELECT p.id, 'LOG-' || p.id AS key, greatest(coalesce(occurrence_count, 0) - old, 0) AS n FROM patterns p JOIN k ON k.id = p.id)"""
+
+
+@query(f"WITH {_TICKETS} SELECT key, 'main' AS db, id AS pattern_id, n AS occurrences FROM t")
+def marker_parse(spark, sf_dir):
+    return tickets.ticket_map(_tickets(spark, sf_dir)).select("key", "db", "pattern_id", "occurrences")
+
+
+@query(f"""WITH {_TICKETS} SELECT p.id AS pattern_id, p.occurrence_count, t.key,
+ CASE WHEN t.key IS NULL THEN 'create' WHEN t.n = p.occurrence_count THEN 'unchanged' ELSE 'update' END AS action FROM patterns p LEFT JOIN t ON t.id = p.id""")
+def ticket_plan(spark, sf_dir):
+    return tickets.plan(table(spark, sf_dir, "patterns"), _tickets(spark, sf_dir), "main")
+
+
+@query(f"""WITH {_TICKETS}, a AS (SELECT count(*) FILTER (WHERE occurrence_count > 0) AS total FROM patterns),
+ b AS (SELECT count(*) AS with_ticket, count(*) FILTER (WHERE p.occurrence_count <> t.n) AS changed FROM t JOIN patterns p ON p.id = t.id)
+ SELECT total, with_ticket, greatest(total - with_ticket, 0) AS new, changed FROM a, b""")
+def ticket_status(spark, sf_dir):
+    return tickets.status(table(spark, sf_dir, "patterns"), _tickets(spark, sf_dir), "main")
+
+
+# The store -----------------------------------------------------------------------------------------------------------
+
+
+@query(f'WITH {_MINED} SELECT "group", template, occurrence_count FROM p')
+def store_increments(spark, sf_dir):
+    """The event log taken into a store in two steps, the later half of the month after the earlier, as a stream does."""
+    from strataloom.session import scratch
+    from strataloom.store import Store
+    from strataloom.streaming.pipeline import step
+
+    lines = event_lines(spark, sf_dir)
+    half = lines.agg(F.floor((F.min("byte_offset") + F.max("byte_offset")) / 2).alias("half"))
+    split = lines.crossJoin(F.broadcast(half))  # one row
+    store = Store(spark, scratch(spark, "store"))
+    columns = ["group", "source", "byte_offset", "next_offset", "line"]
+    step(store, split.where("byte_offset <= half").select(*columns), 0)
+    step(store, split.where("byte_offset > half").select(*columns), 1, last=True)
+    m = store.model()
+    groups = m["file_groups"].select(F.col("id").alias("gid"), F.col("name").alias("group"))
+    return m["patterns"].join(groups, F.col("file_group_id") == F.col("gid")).select("group", "template", "occurrence_count")

@@ -45,7 +45,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p5_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = table(spark, sf_dir, "raw_entries")
     found = entries.parse_entries(raw, "log_source_id", "byte_offset", "raw_message", "id")
-    return found.withColumn("variables", F.array_join(entries.variable_parts(F.col("message")), "\t"))
+    return entries.match_patterns(found, table(spark, sf_dir, "patterns"), table(spark, sf_dir, "log_sources"))
 
 
 def _text_instants(spark: SparkSession, sf_dir: str) -> DataFrame:

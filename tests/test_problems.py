@@ -206,6 +206,23 @@ def test_entries_of_nothing(spark):
     assert entries.parse_entries(raw(spark, []), "log_source_id", "byte_offset", "raw_message", "id").count() == 0
 
 
+def test_entries_match_templates(spark):
+    found = spark.createDataFrame(
+        [(1, 0, "user 7 in  zone b"), (1, 5, "user 7 out"), (1, 9, "a\r\n\tat X(3)"), (2, 0, "user 7 in"), (3, 1, "x=1 y"), (1, 11, ""), (1, 12, "cost $1 \\\\Q")],
+        "log_source_id bigint, byte_offset bigint, message string",
+    )
+    patterns = spark.createDataFrame(
+        [(1, 1, "user <*> in zone <*>"), (2, 1, "user <*> out"), (3, 1, "user <*> <*>"), (4, 1, "a\n\tat X(<*>)"), (5, 2, "user <*> out"), (6, 1, None), (7, 1, "cost $<*> \\\\Q")],
+        "id bigint, file_group_id bigint, template string",
+    )
+    sources = spark.createDataFrame([(1, 1), (2, 2), (4, 1)], "id bigint, file_group_id bigint")
+    got = {(r["log_source_id"], r["byte_offset"]): (r["pattern_id"], r["variables"]) for r in entries.match_patterns(found, patterns, sources).collect()}
+    assert got == {
+        (1, 0): (None, "7"), (1, 5): (2, "7"), (1, 9): (4, "3"), (2, 0): (None, "7"), (3, 1): (None, "x=1"), (1, 11): (None, ""), (1, 12): (7, "1"),
+    }
+    assert entries.match_patterns(found, patterns.limit(0), sources).where("pattern_id is not null").count() == 0
+
+
 # 7 -------------------------------------------------------------------------------------------------------------------
 
 
