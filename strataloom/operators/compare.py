@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strataloom.functions.tokens import percent_change
@@ -23,13 +22,14 @@ def anomalies(patterns: DataFrame, groups: DataFrame, occurrences: DataFrame, so
         p = p.join(suppressed.select(F.col("pattern_id").alias("xp")), F.col("pattern_id") == F.col("xp"), "left_anti")
     files = sources.groupBy(F.col("file_group_id").alias("fg")).agg(F.count("*").alias("n_sources"))
     seen = occurrences.select("pattern_id", "log_source_id").distinct().groupBy(F.col("pattern_id").alias("op")).agg(F.count("*").alias("seen_in"))
-    w = W.partitionBy("file_group_id")
+    spread = p.groupBy(F.col("file_group_id").alias("sg")).agg(
+        F.avg("occurrence_count").alias("mean"), F.stddev_pop("occurrence_count").alias("sigma")
+    )
     c = F.col("occurrence_count")
     scored = (
         p.join(files, F.col("file_group_id") == F.col("fg"), "left")
         .join(seen, F.col("pattern_id") == F.col("op"), "left")
-        .withColumn("mean", F.avg("occurrence_count").over(w))
-        .withColumn("sigma", F.stddev_pop("occurrence_count").over(w))
+        .join(spread, F.col("file_group_id") == F.col("sg"))
         .withColumn("lonely", (F.coalesce("n_sources", F.lit(0)) > 1) & (F.coalesce("seen_in", F.lit(1)) == 1))
         .withColumn("z", F.when(F.col("sigma") > 0, (c - F.col("mean")) / F.col("sigma")))
         .withColumn("high", F.coalesce(F.col("z") > 3.0, F.lit(False)))

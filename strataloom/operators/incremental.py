@@ -12,6 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strataloom.session import cut
+
 
 class IncrementalTable:
     """A derived table at ``path``, kept up to date partition by partition.
@@ -127,7 +129,8 @@ def entries_to_process(
     tables give no rows.
     """
     entries = raw.where("log_source_id is not null and byte_offset is not null").select("log_source_id", "byte_offset")
-    starts = source_starts(log_sources, scans).withColumnRenamed("log_source_id", "sid")
+    # materialised: it is used three times, and AQE can split a hot source only against a plain table
+    starts = cut(source_starts(log_sources, scans).withColumnRenamed("log_source_id", "sid"))
     present = (
         entries.distinct()
         .join(starts, F.col("log_source_id") == F.col("sid"))
