@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from strataloom.session import cut
+
 
 def words(text: Column) -> Column:
     """Maximal runs of letters and digits of the lower-cased text."""
@@ -31,12 +33,13 @@ def term_scores(
     size = slim.groupBy("group").agg(
         F.count("*").alias("n_records"), F.avg(F.greatest(F.size("w"), F.lit(0))).alias("mean_length")
     )
-    uses = (
+    uses = cut(
         slim.select("key", "group", F.size("w").alias("length"), F.explode("w").alias("term"))
         .groupBy("key", "group", "term")
         .agg(F.count("*").alias("uses"), F.max("length").alias("length"))
     )
-    spread = uses.groupBy(F.col("group").alias("g"), F.col("term").alias("t")).agg(F.count("*").alias("n_with_term"))
+    # plain tables on both sides of the join below, so that AQE can split a term that most records of a group hold
+    spread = cut(uses.groupBy(F.col("group").alias("g"), F.col("term").alias("t")).agg(F.count("*").alias("n_with_term")))
     n, df = F.col("n_records"), F.col("n_with_term")
     rarity = F.ln(n / df) if idf == "plain" else F.ln(1 + (n - df + 0.5) / (df + 0.5))
     if math.isinf(k1):
