@@ -8,7 +8,14 @@ from pyspark.sql import functions as F
 from strataloom.functions.tokens import percent_change
 
 
-def anomalies(patterns: DataFrame, groups: DataFrame, occurrences: DataFrame, sources: DataFrame, top: int | None = 50, suppressed: DataFrame | None = None) -> DataFrame:
+def anomalies(
+    patterns: DataFrame,
+    groups: DataFrame,
+    occurrences: DataFrame,
+    sources: DataFrame,
+    top: int | None = 50,
+    suppressed: DataFrame | None = None,
+) -> DataFrame:
     """``pattern_id, group, template, occurrence_count, score, reasons``, highest score first, ties by id.
 
     A pattern scores 2 if its group has several sources and it occurs in one only (or none), and its z-score if the
@@ -16,12 +23,14 @@ def anomalies(patterns: DataFrame, groups: DataFrame, occurrences: DataFrame, so
     suppressed ones don't. A null count is 0.
     """
     g = groups.select(F.col("id").alias("gid"), F.col("name").alias("group"))
-    p = patterns.select(F.col("id").alias("pattern_id"), "file_group_id", "template", F.coalesce("occurrence_count", F.lit(0)).alias("occurrence_count"))
+    count = F.coalesce("occurrence_count", F.lit(0)).alias("occurrence_count")
+    p = patterns.select(F.col("id").alias("pattern_id"), "file_group_id", "template", count)
     p = p.join(g, F.col("file_group_id") == F.col("gid"))
     if suppressed is not None:
         p = p.join(suppressed.select(F.col("pattern_id").alias("xp")), F.col("pattern_id") == F.col("xp"), "left_anti")
     files = sources.groupBy(F.col("file_group_id").alias("fg")).agg(F.count("*").alias("n_sources"))
-    seen = occurrences.select("pattern_id", "log_source_id").distinct().groupBy(F.col("pattern_id").alias("op")).agg(F.count("*").alias("seen_in"))
+    pairs = occurrences.select("pattern_id", "log_source_id").distinct()
+    seen = pairs.groupBy(F.col("pattern_id").alias("op")).agg(F.count("*").alias("seen_in"))
     spread = p.groupBy(F.col("file_group_id").alias("sg")).agg(
         F.avg("occurrence_count").alias("mean"), F.stddev_pop("occurrence_count").alias("sigma")
     )
@@ -64,13 +73,16 @@ def diff(before: DataFrame, after: DataFrame) -> DataFrame:
     ``new``: counted after, not there before; ``resolved``: counted before, not there after; ``changed``: counted in
     both, by more than a factor of two. One full join on (group, template).
     """
-    b = before.select(F.col("group").alias("bg"), F.col("template").alias("bt"), F.coalesce("occurrence_count", F.lit(0)).alias("b"))
-    a = after.select("group", "template", F.coalesce("occurrence_count", F.lit(0)).alias("a"))
+    counted = F.coalesce("occurrence_count", F.lit(0))
+    b = before.select(F.col("group").alias("bg"), F.col("template").alias("bt"), counted.alias("b"))
+    a = after.select("group", "template", counted.alias("a"))
     both = a.join(b, (F.col("group") == F.col("bg")) & (F.col("template") == F.col("bt")), "full")
     kind = (
         F.when(F.col("bg").isNull() & (F.col("a") > 0), "new")
         .when(F.col("group").isNull() & (F.col("b") > 0), "resolved")
-        .when((F.col("a") > 0) & (F.col("b") > 0) & ((F.col("a") > 2 * F.col("b")) | (2 * F.col("a") < F.col("b"))), "changed")
+        .when(
+            (F.col("a") > 0) & (F.col("b") > 0) & ((F.col("a") > 2 * F.col("b")) | (2 * F.col("a") < F.col("b"))), "changed"
+        )
     )
     return (
         both.withColumn("kind", kind)
@@ -87,7 +99,22 @@ def diff(before: DataFrame, after: DataFrame) -> DataFrame:
     )
 
 
-def gate(scores: DataFrame, differences: DataFrame | None, templates: DataFrame, max_score: float | None = None, max_new: int | None = None, needles: tuple[str, ...] = ()) -> DataFrame:
+_GATE = "name string, threshold double, actual double, passed boolean"
+
+
+def _limit(name: str, actual: DataFrame, most: float) -> DataFrame:
+    passed = (F.col("actual") <= most).alias("passed")
+    return actual.select(F.lit(name).alias("name"), F.lit(float(most)).alias("threshold"), "actual", passed)
+
+
+def gate(
+    scores: DataFrame,
+    differences: DataFrame | None,
+    templates: DataFrame,
+    max_score: float | None = None,
+    max_new: int | None = None,
+    needles: tuple[str, ...] = (),
+) -> DataFrame:
     """``name, threshold, actual, passed`` of each check asked for.
 
     The greatest anomaly score, the number of new patterns (passed with a note where there is no baseline), and the
@@ -96,18 +123,23 @@ def gate(scores: DataFrame, differences: DataFrame | None, templates: DataFrame,
     spark = scores.sparkSession
     out = []
     if max_score is not None:
-        actual = F.coalesce(F.max("score"), F.lit(0.0))
-        out.append(scores.agg(F.round(actual, 6).alias("actual")).select(F.lit("max anomaly score").alias("name"), F.lit(float(max_score)).alias("threshold"), "actual", (F.col("actual") <= max_score).alias("passed")))
+        greatest = scores.agg(F.round(F.coalesce(F.max("score"), F.lit(0.0)), 6).alias("actual"))
+        out.append(_limit("max anomaly score", greatest, max_score))
     if max_new is not None and differences is not None:
         new = differences.where("kind = 'new'").agg(F.count("*").cast("double").alias("actual"))
-        out.append(new.select(F.lit("max new patterns").alias("name"), F.lit(float(max_new)).alias("threshold"), "actual", (F.col("actual") <= max_new).alias("passed")))
+        out.append(_limit("max new patterns", new, max_new))
     elif max_new is not None:
-        out.append(spark.createDataFrame([("max new patterns (skipped: no baseline)", float(max_new), 0.0, True)], "name string, threshold double, actual double, passed boolean"))
+        out.append(spark.createDataFrame([("max new patterns (skipped: no baseline)", float(max_new), 0.0, True)], _GATE))
     if needles:
-        counts = templates.agg(*(F.count_if(F.contains("template", F.lit(x))).cast("double").alias(f"n{i}") for i, x in enumerate(needles)))
-        rows = F.explode(F.array(*(F.struct(F.lit(f"no pattern contains {x!r}").alias("name"), F.col(f"n{i}").alias("actual")) for i, x in enumerate(needles)))).alias("r")
-        out.append(counts.select(rows).select("r.name", F.lit(0.0).alias("threshold"), "r.actual", (F.col("r.actual") == 0).alias("passed")))
-    result = out[0] if out else spark.createDataFrame([], "name string, threshold double, actual double, passed boolean")
+        found = [F.count_if(F.contains("template", F.lit(x))).cast("double").alias(f"n{i}") for i, x in enumerate(needles)]
+        each = [
+            F.struct(F.lit(f"no pattern contains {x!r}").alias("name"), F.col(f"n{i}").alias("actual"))
+            for i, x in enumerate(needles)
+        ]
+        counts = templates.agg(*found).select(F.explode(F.array(*each)).alias("r"))
+        passed = (F.col("r.actual") == 0).alias("passed")
+        out.append(counts.select("r.name", F.lit(0.0).alias("threshold"), "r.actual", passed))
+    result = out[0] if out else spark.createDataFrame([], _GATE)
     for other in out[1:]:
         result = result.unionByName(other)
     return result

@@ -11,7 +11,16 @@ from strataloom.operators.rank import seconds
 from strataloom.session import cut
 
 
-def correlations(occurrences: DataFrame, patterns: DataFrame, window: int = 60, min_count: int = 10, top: int | None = 20, earliest: int | None = None, min_observed: int = 3, min_confidence: float = 1.5) -> DataFrame:
+def correlations(
+    occurrences: DataFrame,
+    patterns: DataFrame,
+    window: int = 60,
+    min_count: int = 10,
+    top: int | None = 20,
+    earliest: int | None = None,
+    min_observed: int = 3,
+    min_confidence: float = 1.5,
+) -> DataFrame:
     """``a, b, observed, expected, confidence, median_lag`` of pattern pairs of different groups.
 
     Observed are pairs of occurrences at most ``window`` seconds apart; expected is c_a c_b window / span, one-sided as
@@ -34,16 +43,20 @@ def correlations(occurrences: DataFrame, patterns: DataFrame, window: int = 60,
     span = timed.agg(F.greatest(F.max("ts") - F.min("ts"), F.lit(1)).alias("span"))
     per_second = timed.groupBy("pid", "grp", "ts").agg(F.count("*").alias("n"))
     width = max(window, 1)
+    bin_of = F.floor(F.col("ts") / width)
     first = per_second.select(
-        F.col("pid").alias("p1"), F.col("grp").alias("g1"), F.col("ts").alias("t1"), F.col("n").alias("n1"), F.floor(F.col("ts") / width).alias("bin")
+        F.col("pid").alias("p1"), F.col("grp").alias("g1"), F.col("ts").alias("t1"), F.col("n").alias("n1"), bin_of.alias("bin")
     )
     second = per_second.select(
         F.col("pid").alias("p2"), F.col("grp").alias("g2"), F.col("ts").alias("t2"), F.col("n").alias("n2"),
-        F.explode(F.array(F.floor(F.col("ts") / width), F.floor(F.col("ts") / width) - 1)).alias("bin2"),
+        F.explode(F.array(bin_of, bin_of - 1)).alias("bin2"),
     )
     later = (F.col("t2") > F.col("t1")) | ((F.col("t2") == F.col("t1")) & (F.col("p1") < F.col("p2")))
     lags = (
-        first.join(second, (F.col("bin") == F.col("bin2")) & (F.col("g1") != F.col("g2")) & later & (F.col("t2") - F.col("t1") <= window))
+        first.join(
+            second,
+            (F.col("bin") == F.col("bin2")) & (F.col("g1") != F.col("g2")) & later & (F.col("t2") - F.col("t1") <= window),
+        )
         .groupBy(F.least("p1", "p2").alias("a"), F.greatest("p1", "p2").alias("b"), (F.col("t2") - F.col("t1")).alias("lag"))
         .agg(F.sum(F.col("n1") * F.col("n2")).alias("n"))
     )
@@ -56,13 +69,15 @@ def correlations(occurrences: DataFrame, patterns: DataFrame, window: int = 60,
         F.max("observed").alias("observed"),
         F.min(F.when(F.col("upto") > F.floor(F.col("observed") / 2), F.col("lag"))).alias("median_lag"),
     )
-    ca, cb = counts.select(F.col("pid").alias("ia"), F.col("c").alias("ca")), counts.select(F.col("pid").alias("ib"), F.col("c").alias("cb"))
+    ca = counts.select(F.col("pid").alias("ia"), F.col("c").alias("ca"))
+    cb = counts.select(F.col("pid").alias("ib"), F.col("c").alias("cb"))
+    ratio = F.when(F.col("expected") > 0, F.col("observed") / F.col("expected")).otherwise(F.col("observed").cast("double"))
     out = (
         summed.join(ca, F.col("a") == F.col("ia"))
         .join(cb, F.col("b") == F.col("ib"))
         .crossJoin(F.broadcast(span))  # one row
         .withColumn("expected", F.col("ca") * F.col("cb") * float(window) / F.col("span"))
-        .withColumn("confidence", F.when(F.col("expected") > 0, F.col("observed") / F.col("expected")).otherwise(F.col("observed").cast("double")))
+        .withColumn("confidence", ratio)
         .where((F.col("observed") >= min_observed) & (F.col("confidence") >= min_confidence))
         .select("a", "b", "observed", "expected", "confidence", "median_lag")
         .orderBy(F.desc("confidence"), "a", "b")
@@ -115,7 +130,13 @@ def shared_value_pairs(values: DataFrame, min_shared: int = 3) -> DataFrame:
     )
 
 
-def clusters(occurrences: DataFrame, patterns: DataFrame, min_shared: int = 3, top: int | None = 20, top_patterns: int | None = 200) -> DataFrame:
+def clusters(
+    occurrences: DataFrame,
+    patterns: DataFrame,
+    min_shared: int = 3,
+    top: int | None = 20,
+    top_patterns: int | None = 200,
+) -> DataFrame:
     """``cluster, n_patterns, patterns, values``: groups of patterns linked by shared values, largest first, with up to
     10 values (least first) that two members share."""
     shared = cut(shared_values(variable_index(occurrences, patterns, top_patterns)))

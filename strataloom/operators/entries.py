@@ -79,7 +79,9 @@ def _pieces(with_text: bool):
     return run
 
 
-def parse_entries(raw: DataFrame, source: str, offset: str, text: str, row_id: str, with_text: bool = True) -> DataFrame:
+def parse_entries(
+    raw: DataFrame, source: str, offset: str, text: str, row_id: str, with_text: bool = True
+) -> DataFrame:
     """One row per log entry: ``log_source_id, byte_offset, last_byte_offset, n_rows, ts, log_level, component`` and,
     with ``with_text``, ``message``; ``unparsed`` holds the spans that no grammar rule covers.
 
@@ -105,11 +107,8 @@ def parse_entries(raw: DataFrame, source: str, offset: str, text: str, row_id: s
     place = F.when(~F.col("seam"), F.col("first"))
     w = W.partitionBy("source", "seam", "place").orderBy("first")
     numbered = pieces.withColumn("place", place).withColumn("entry", F.sum(F.col("head").cast("int")).over(w))
-    text_of = (
-        [F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("first", "message"))), lambda x: x["message"]), "\n").alias("message")]
-        if with_text
-        else []
-    )
+    in_order = F.array_sort(F.collect_list(F.struct("first", "message")))
+    text_of = [F.array_join(F.transform(in_order, lambda x: x["message"]), "\n").alias("message")] if with_text else []
     return (
         numbered.where("entry > 0")
         .groupBy("source", "seam", "place", "entry")
@@ -174,10 +173,13 @@ def match_patterns(found: DataFrame, patterns: DataFrame, log_sources: DataFrame
     blocks = cut(blocks)
     holes = F.size(F.split("template", r"<\*>")) - 1
     quoted = F.concat(F.lit(r"^\s*\Q"), F.replace("template", F.lit(WILDCARD), F.lit("\\E(\\S*?)\\Q")), F.lit("\\E\\s*$"))
+    dollars = F.transform(
+        F.sequence(F.lit(1), F.greatest(holes, F.lit(1))), lambda i: F.concat(F.lit("$"), i.cast("string"))
+    )
     keyed = cut(
         t.join(blocks, (F.col("t_group") == F.col("b_group")) & (F.col("t_size") == F.col("b_size"))).select(
             "t_id", "t_group", "t_size", _firm(F.col("t_tokens"), F.col("loose")).alias("t_key"), holes.alias("holes"), quoted.alias("regex"),
-            F.when(holes > 0, F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(holes, F.lit(1))), lambda i: F.concat(F.lit("$"), i.cast("string"))), "\t")).otherwise("").alias("parts"),
+            F.when(holes > 0, F.array_join(dollars, "\t")).otherwise("").alias("parts"),
         )
     )
     group_of = log_sources.select(F.col("id").alias("s_id"), F.col("file_group_id").alias("s_group"))

@@ -11,13 +11,24 @@ from strataloom.functions.tokens import csv_cell
 from strataloom.operators.rank import ranked, samples
 
 
-def export_rows(patterns: DataFrame, groups: DataFrame, occurrences: DataFrame, sources: DataFrame, suppressed: DataFrame | None = None, top: int = 500, n_samples: int = 5, filters: list[str] | None = None, in_groups: list[str] | None = None) -> DataFrame:
+def export_rows(
+    patterns: DataFrame,
+    groups: DataFrame,
+    occurrences: DataFrame,
+    sources: DataFrame,
+    suppressed: DataFrame | None = None,
+    top: int = 500,
+    n_samples: int = 5,
+    filters: list[str] | None = None,
+    in_groups: list[str] | None = None,
+) -> DataFrame:
     """``id, group, template, occurrence_count, sample_1..n``. Suppressed patterns drop out after the top ones are
     chosen; missing samples are empty."""
     best = ranked(patterns, groups, top, filters, in_groups)
     if suppressed is not None:
         best = best.join(suppressed.select(F.col("pattern_id").alias("_x")), F.col("pattern_id") == F.col("_x"), "left_anti")
-    wanted = occurrences.join(F.broadcast(best.select(F.col("pattern_id").alias("_k"))), F.col("pattern_id") == F.col("_k"), "left_semi")  # top rows
+    keys = F.broadcast(best.select(F.col("pattern_id").alias("_k")))  # top rows
+    wanted = occurrences.join(keys, F.col("pattern_id") == F.col("_k"), "left_semi")
     shown = samples(wanted, patterns, sources, n_samples).groupBy(F.col("pattern_id").alias("sp")).agg(
         *(F.max(F.when(F.col("rank") == i, F.col("text"))).alias(f"sample_{i}") for i in range(1, n_samples + 1))
     )

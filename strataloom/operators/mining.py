@@ -15,10 +15,26 @@ from strataloom.session import ship, spread
 THRESHOLD, EARLY_EXIT, MOST_CANDIDATES = 0.5, 0.9, 50
 
 
-def tokenized(entries: DataFrame, group: str, source: str, offset: str, line: str, continuation: str | None = None, syslog_year: int = 2026) -> DataFrame:
+def tokenized(
+    entries: DataFrame,
+    group: str,
+    source: str,
+    offset: str,
+    line: str,
+    continuation: str | None = None,
+    syslog_year: int = 2026,
+) -> DataFrame:
     """``group, source, byte_offset, entry_timestamp, tokens, masked`` of entries that have tokens."""
     more = F.col(continuation) if continuation else F.array().cast("array<string>")
-    slim = spread(entries.select(F.col(group).alias("group"), F.col(source).cast("string").alias("source"), F.col(offset).alias("byte_offset"), F.col(line).alias("line"), more.alias("more")))
+    slim = spread(
+        entries.select(
+            F.col(group).alias("group"),
+            F.col(source).cast("string").alias("source"),
+            F.col(offset).alias("byte_offset"),
+            F.col(line).alias("line"),
+            more.alias("more"),
+        )
+    )
     cut_up = bind(slim, tokens=entry_tokens(F.col("line"), F.col("more"))).where(F.size("tokens") > 0)
     return bind(cut_up, masked=mask(F.col("tokens"))).select(
         "group", "source", "byte_offset", extract_timestamp(F.col("line"), syslog_year).alias("entry_timestamp"), "tokens", "masked"
@@ -133,7 +149,12 @@ def fold_templates(vectors: DataFrame, threshold: float = THRESHOLD, known: Data
         return pd.DataFrame({"group": rows["group"], "masked": rows["masked"], "template": [tree.templates[i] for i in at]})
 
     slim = vectors.select(
-        "group", "masked", "n", F.col("first.source").alias("first_source"), F.col("first.byte_offset").alias("first_offset"), F.lit("").alias("seed_text")
+        "group",
+        "masked",
+        "n",
+        F.col("first.source").alias("first_source"),
+        F.col("first.byte_offset").alias("first_offset"),
+        F.lit("").alias("seed_text"),
     )
     if known is not None:
         slim = slim.unionByName(

@@ -18,7 +18,13 @@ def like_any(text: Column, terms: list[str]) -> Column:
     return out
 
 
-def ranked(patterns: DataFrame, groups: DataFrame, top: int | None = None, filters: list[str] | None = None, in_groups: list[str] | None = None) -> DataFrame:
+def ranked(
+    patterns: DataFrame,
+    groups: DataFrame,
+    top: int | None = None,
+    filters: list[str] | None = None,
+    in_groups: list[str] | None = None,
+) -> DataFrame:
     """``pattern_id, group, template, occurrence_count`` of patterns with occurrences, most frequent first, ties by id."""
     g = groups.select(F.col("id").alias("gid"), F.col("name").alias("group"))
     p = patterns.where("occurrence_count > 0")
@@ -116,14 +122,25 @@ def samples(occurrences: DataFrame, patterns: DataFrame, sources: DataFrame, n:
     )
 
 
-def report(patterns: DataFrame, groups: DataFrame, occurrences: DataFrame, sources: DataFrame, tags: DataFrame | None = None, top: int = 500, n_samples: int = 5, bucket: str = "auto", suppressed: DataFrame | None = None) -> DataFrame:
+def report(
+    patterns: DataFrame,
+    groups: DataFrame,
+    occurrences: DataFrame,
+    sources: DataFrame,
+    tags: DataFrame | None = None,
+    top: int = 500,
+    n_samples: int = 5,
+    bucket: str = "auto",
+    suppressed: DataFrame | None = None,
+) -> DataFrame:
     """The ranked patterns with ``samples``, ``trend``, ``distribution``, ``tags`` and ``suppressed`` in one plan.
 
     Only the occurrences of the ranked patterns are bucketed. ``trend`` is the time series, or the distribution if no
     occurrence has a time.
     """
     best = ranked(patterns, groups, top)
-    wanted = occurrences.join(F.broadcast(best.select(F.col("pattern_id").alias("k"))), F.col("pattern_id") == F.col("k"), "left_semi")  # top rows
+    keys = F.broadcast(best.select(F.col("pattern_id").alias("k")))  # top rows
+    wanted = occurrences.join(keys, F.col("pattern_id") == F.col("k"), "left_semi")
     series = time_series(wanted, bucket).groupBy(F.col("pattern_id").alias("tp")).agg(
         F.array_sort(F.collect_list(F.struct("bucket", "n"))).alias("series")
     )
