@@ -36,6 +36,12 @@ def epoch_us(n: Column) -> Column:
     )
 
 
+def ntz_us(t: Column) -> Column:
+    """Microseconds of a timestamp without zone as UTC, whatever the session's zone is."""
+    seconds = F.unix_date(t.cast("date")).cast("bigint") * 86400 + F.hour(t) * 3600 + F.minute(t) * 60
+    return seconds * 10**6 + (F.extract(F.lit("SECOND"), t) * 10**6).cast("bigint")
+
+
 @cache
 def zone_table() -> tuple[tuple[str, dict[str, int]], ...]:
     """Every IANA zone with the abbreviations it uses (2000 to 2040) and their offsets in seconds; about 600 rows."""

@@ -61,7 +61,7 @@ def per_key_profile(
     """One row per key: rows, first, last, least and greatest time, steps back in time and the longest step ahead.
 
     Columns: ``key, n_rows, n_timed, first_us, last_us, min_us, max_us, steps_back, longest_step_us, n_chunks,
-    largest_chunk``. Times are compared along ``order`` between successive rows that have one. A null key is a key of
+    largest_chunk, n_all`` (rows of all keys). Times are compared along ``order`` between successive rows that have one. A null key is a key of
     its own; a key without any time has null times and 0 steps; an empty input gives no rows. Other columns of ``df``
     are not read, whatever their names.
     """
@@ -106,18 +106,17 @@ def per_key_profile(
             F.count("*").alias("n_chunks"),
             F.max("n").alias("largest_chunk"),
         )
+        .withColumn("n_all", F.lit(total))
         .withColumnRenamed("k", key)
     )
 
 
 def against_stored(profile: DataFrame, stored: DataFrame, key: str, stored_key: str, stored_count: str) -> DataFrame:
     """``profile`` with ``share`` of all rows, ``stored_count`` and ``count_delta`` (rows less stored; null is 0)."""
-    total = profile.agg(F.sum("n_rows").alias("total"))
     side = stored.select(F.col(stored_key).alias("_k"), F.col(stored_count).alias("stored_count"))
     return (
         profile.join(side, F.col(key) == F.col("_k"), "left")
-        .crossJoin(F.broadcast(total))  # one row
-        .withColumn("share", F.col("n_rows") / F.col("total"))
+        .withColumn("share", F.col("n_rows") / F.col("n_all"))
         .withColumn("count_delta", F.col("n_rows") - F.coalesce("stored_count", F.lit(0)))
-        .drop("_k", "total")
+        .drop("_k")
     )

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataloom.functions.instants import epoch_unit, epoch_us, with_readings, zones
+from strataloom.functions.instants import epoch_unit, epoch_us, ntz_us, with_readings, zones
 from strataloom.session import cut, ship
 
 #: Upper bounds, in seconds, of the classes of delay between an instant and its reception.
@@ -73,11 +73,12 @@ def text_instants(
     reception is allowed: the zone is then UTC, the delay unknown. Ties go to the reading listed first, month first.
     """
     ship(spark)
+    got = F.unix_micros(received) if dict(df.dtypes)[received] == "timestamp" else ntz_us(F.col(received))
     slim = df.select(
         F.col(row_id).alias("id"),
         F.col(source).alias("source"),
         F.col(text).alias("text"),
-        F.unix_micros(F.col(received).cast("timestamp_ntz").cast("timestamp")).alias("received"),
+        got.alias("received"),
     ).where("text is not null")
     at = cut(zones(spark, source_zones))  # a plain table, so that AQE can split a source with many rows
     zoned = slim.join(at, F.col("source") == F.col("zsid"), "left").withColumn("zone", F.coalesce("zone", F.lit("UTC")))

@@ -40,7 +40,7 @@ def correlations(
     counts = timed.groupBy("pid").agg(F.count("*").alias("c"))
     if earliest is not None:
         timed = timed.orderBy("ts", "id").limit(earliest)
-    span = timed.agg(F.greatest(F.max("ts") - F.min("ts"), F.lit(1)).alias("span"))
+    span = timed.agg(F.greatest(F.max("ts") - F.min("ts"), F.lit(1))).scalar()
     per_second = timed.groupBy("pid", "grp", "ts").agg(F.count("*").alias("n"))
     width = max(window, 1)
     bin_of = F.floor(F.col("ts") / width)
@@ -75,8 +75,7 @@ def correlations(
     out = (
         summed.join(ca, F.col("a") == F.col("ia"))
         .join(cb, F.col("b") == F.col("ib"))
-        .crossJoin(F.broadcast(span))  # one row
-        .withColumn("expected", F.col("ca") * F.col("cb") * float(window) / F.col("span"))
+        .withColumn("expected", F.col("ca") * F.col("cb") * float(window) / span)
         .withColumn("confidence", ratio)
         .where((F.col("observed") >= min_observed) & (F.col("confidence") >= min_confidence))
         .select("a", "b", "observed", "expected", "confidence", "median_lag")
@@ -105,12 +104,11 @@ def variable_index(occurrences: DataFrame, patterns: DataFrame, top_patterns: in
 
 def shared_values(index: DataFrame) -> DataFrame:
     """``value, who``: values that at least 2 and at most half of the patterns have, with those patterns."""
-    patterns = index.agg(F.greatest(F.floor(F.count_distinct("pattern_id") / 2), F.lit(2)).alias("most"))
+    most = index.agg(F.greatest(F.floor(F.count_distinct("pattern_id") / 2), F.lit(2))).scalar()
     return (
         index.groupBy("value")
         .agg(F.array_sort(F.collect_set("pattern_id")).alias("who"))  # at most the patterns asked for
-        .crossJoin(F.broadcast(patterns))  # one row
-        .where((F.size("who") >= 2) & (F.size("who") <= F.col("most")))
+        .where((F.size("who") >= 2) & (F.size("who") <= most))
         .select("value", "who")
     )
 

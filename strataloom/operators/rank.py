@@ -42,7 +42,7 @@ def ranked(
 def summary(patterns: DataFrame, sources: DataFrame) -> DataFrame:
     """One row: ``n_patterns, n_occurrences, n_sources``."""
     p = patterns.agg(F.count("*").alias("n_patterns"), F.coalesce(F.sum("occurrence_count"), F.lit(0)).alias("n_occurrences"))
-    return p.crossJoin(sources.agg(F.count("*").alias("n_sources")))  # one row each
+    return p.select("n_patterns", "n_occurrences", sources.agg(F.count("*")).scalar().alias("n_sources"))
 
 
 def by_group(groups: DataFrame, patterns: DataFrame, only_seen: bool) -> DataFrame:
@@ -90,9 +90,8 @@ def time_series(occurrences: DataFrame, bucket: str = "auto") -> DataFrame:
     elif bucket == "day":
         label = day
     else:
-        span = time_range(occurrences).select(((F.col("last_ts") - F.col("first_ts")) < 48 * 3600).alias("short"))
-        timed = timed.crossJoin(F.broadcast(span))  # one row
-        label = F.when(F.col("short"), hour).otherwise(day)
+        short = time_range(occurrences).select((F.col("last_ts") - F.col("first_ts")) < 48 * 3600).scalar()
+        label = F.when(short, hour).otherwise(day)
     return timed.groupBy("pattern_id", label.alias("bucket")).agg(F.count("*").alias("n"))
 
 

@@ -72,7 +72,8 @@ def status(patterns: DataFrame, tickets: DataFrame, db: str) -> DataFrame:
     held = known.join(patterns.select("id", "occurrence_count"), F.col("tp") == F.col("id"), "left").agg(
         F.count("tp").alias("with_ticket"), F.count_if(F.col("occurrence_count") != F.col("occurrences")).alias("changed")
     )
-    return total.crossJoin(held).select(  # one row each
+    counted = held.select(total.scalar().alias("total"), "with_ticket", "changed")
+    return counted.select(
         "total", "with_ticket", F.greatest(F.col("total") - F.col("with_ticket"), F.lit(0)).alias("new"), "changed"
     )
 

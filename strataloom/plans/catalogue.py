@@ -617,12 +617,10 @@ def store_increments(spark, sf_dir):
     from strataloom.streaming.pipeline import step
 
     lines = event_lines(spark, sf_dir)
-    half = lines.agg(F.floor((F.min("byte_offset") + F.max("byte_offset")) / 2).alias("half"))
-    split = lines.crossJoin(F.broadcast(half))  # one row
+    half = lines.agg(F.floor((F.min("byte_offset") + F.max("byte_offset")) / 2)).first()[0]
     store = Store(spark, scratch(spark, "store"))
-    columns = ["group", "source", "byte_offset", "next_offset", "line"]
-    step(store, split.where("byte_offset <= half").select(*columns), 0)
-    step(store, split.where("byte_offset > half").select(*columns), 1, last=True)
+    step(store, lines.where(F.col("byte_offset") <= half), 0)
+    step(store, lines.where(F.col("byte_offset") > half), 1, last=True)
     m = store.model()
     groups = m["file_groups"].select(F.col("id").alias("gid"), F.col("name").alias("group"))
     return m["patterns"].join(groups, F.col("file_group_id") == F.col("gid")).select("group", "template", "occurrence_count")
