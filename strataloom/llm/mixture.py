@@ -183,10 +183,9 @@ class Mixture:
         listed = self.spark.createDataFrame(
             rows, "name string, target_share double, max_repeats int, available_tokens bigint, quota_blocks bigint"
         )
-        whole = used.agg(F.sum("tokens").alias("whole"))
+        whole = used.agg(F.sum("tokens")).scalar()
         return (
             listed.join(used, F.col("name") == F.col("source"), "left")
-            .crossJoin(F.broadcast(whole))  # one row
             .select(
                 F.col("name").alias("source"),
                 "target_share",
@@ -194,7 +193,7 @@ class Mixture:
                 "available_tokens",
                 "quota_blocks",
                 F.coalesce("tokens", F.lit(0)).alias("tokens"),
-                F.round(F.coalesce(F.col("tokens") / F.col("whole"), F.lit(0.0)), 6).alias("share_reached"),
+                F.round(F.coalesce(F.col("tokens") / whole, F.lit(0.0)), 6).alias("share_reached"),
                 F.coalesce("most_uses", F.lit(0)).alias("most_uses"),
             )
         )
