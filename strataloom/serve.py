@@ -50,7 +50,17 @@ class Api:
             g = m["file_groups"]
             if split("group"):
                 g = g.where(F.col("name").isin(split("group")))
-            report = rank.report(p, g, m["occurrences"], m["log_sources"], m["tags"], int(args.get("top", 100)), 5)
+            hidden = tags.suppressed(m["tags"])
+            report = rank.report(
+                p, g, m["occurrences"], m["log_sources"], m["tags"], int(args.get("top", 100)), 5, suppressed=hidden
+            )
+            if args.get("tag"):
+                report = report.where(F.array_contains("tags", args["tag"]))
+            if args.get("hide_suppressed") == "1":
+                report = report.where("not suppressed")
+            order = {"template": ["template"], "group": ["group", F.desc("occurrence_count")]}.get(args.get("sort", ""))
+            if order:
+                report = report.orderBy(*order, "pattern_id")
             timed = not m["occurrences"].where("entry_timestamp is not null").isEmpty()
             return 200, "application/json", json.dumps({"has_timestamps": timed, "patterns": rows(report)})
         if path == "/api/anomalies":

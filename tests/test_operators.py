@@ -41,7 +41,7 @@ def test_components(spark):
 
 
 def lines(count):
-    """The end-to-end generator of the reference tests, as (offset, next, line)."""
+    """A synthetic log of three kinds of entries, one of them with a stack trace."""
     out = []
     for i in range(count):
         level = "ERROR" if i % 5 == 0 else "WARN" if i % 3 == 0 else "INFO"

@@ -140,6 +140,7 @@ def test_command_line_and_server(spark, tmp_path):
         body = json.dumps({"pattern_id": found[0]["pattern_id"], "tags": ["x"]}).encode()
         urllib.request.urlopen(urllib.request.Request(url + "/api/tags", body))
         assert ["x"] in [p["tags"] for p in get("/api/patterns")["patterns"] if p.get("tags")]
+        assert [p["tags"] for p in get("/api/patterns?tag=x&sort=template")["patterns"]] == [["x"]]
         assert isinstance(get("/api/anomalies"), list) and get("/api/export?format=json")
         with pytest.raises(urllib.error.HTTPError):
             get("/api/export?format=csv")
