@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -43,7 +45,9 @@ def ship(spark: SparkSession) -> None:
     if app in _shipped:
         return
     home = Path(__file__).resolve().parent
-    archive = os.path.join(tempfile.mkdtemp(prefix="strataloom-code-"), f"{home.name}.zip")
+    folder = tempfile.mkdtemp(prefix="strataloom-code-")  # on the driver, which serves it to the executors
+    atexit.register(shutil.rmtree, folder, True)
+    archive = os.path.join(folder, f"{home.name}.zip")
     with zipfile.ZipFile(archive, "w") as z:
         for f in sorted(home.rglob("*.py")):
             z.write(f, f.relative_to(home.parent))
