@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import argparse
 import json
+import shutil
+import subprocess
 import sys
+import tempfile
 import time
 
 from pyspark.sql import DataFrame
@@ -51,6 +54,23 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
+def spool(stream) -> str:
+    """Standard input as a file."""
+    with tempfile.NamedTemporaryFile(prefix="stdin-", suffix=".log", delete=False) as f:
+        shutil.copyfileobj(stream, f)
+    return f.name
+
+
+def desktop_note(title: str, text: str) -> bool:
+    """A notification by whatever the desktop offers; False if it offers nothing."""
+    if tool := shutil.which("notify-send"):
+        return subprocess.run([tool, title, text], check=False).returncode == 0
+    if tool := shutil.which("osascript"):
+        script = f"display notification {json.dumps(text)} with title {json.dumps(title)}"
+        return subprocess.run([tool, "-e", script], check=False).returncode == 0
+    return False
+
+
 def show(df: DataFrame, out) -> None:
     """Rows of a bounded result as JSON lines."""
     for r in df.select(F.to_json(F.struct(*df.columns))).collect():
@@ -69,6 +89,8 @@ def run(argv: list[str], spark=None, out=None) -> int:
     spark = spark or local_session()
     store = Store(spark, c.store)
     if a.command in ("process", "watch"):
+        if a.files == ["-"]:
+            a.files, a.group_name = [spool(sys.stdin.buffer)], getattr(a, "group_name", None) or "stdin"
         good, warnings = valid_files([f for p in a.files for f in expand(p)])
         for w in warnings:
             print("warning: " + w, file=sys.stderr)
@@ -78,7 +100,12 @@ def run(argv: list[str], spark=None, out=None) -> int:
             return 0
         notify = None
         if a.alert is not None:
-            notify = lambda found: show(found.where(F.col("score") >= a.alert), out)
+
+            def notify(found: DataFrame) -> None:
+                for r in found.where(F.col("score") >= a.alert).collect():  # 10 rows at most
+                    print(json.dumps(r.asDict()), file=out)
+                    desktop_note("Log anomaly", f"{r['score']:.1f} {r['template'][:100]}")
+
         q = pipeline.watch(spark, store, ",".join(good), a.checkpoint, None, c.threshold, time.gmtime().tm_year, alert=notify)
         q.awaitTermination(a.seconds)
         q.stop()

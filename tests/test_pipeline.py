@@ -99,6 +99,14 @@ def test_rotation_and_repeated_step(spark, tmp_path):
     assert view(store) == before
 
 
+def test_standard_input(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("sys.stdin", io.TextIOWrapper(io.BytesIO("\n".join(lines(20)).encode())))
+    out = io.StringIO()
+    assert cli.run(["-d", str(tmp_path / "s"), "process", "-"], spark, out) == 0
+    assert json.loads(out.getvalue())["n_occurrences"] == 23
+    assert [g["name"] for g in Store(spark, str(tmp_path / "s")).model()["file_groups"].collect()] == ["stdin"]
+
+
 def test_command_line_and_server(spark, tmp_path):
     folder = tmp_path / "logs"
     folder.mkdir()
