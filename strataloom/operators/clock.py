@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataloom.functions.instants import epoch_unit, epoch_us, ntz_us, with_readings, zones
-from strataloom.session import cut, ship
+from strataloom.session import cut, ship, small
 
 #: Upper bounds, in seconds, of the classes of delay between an instant and its reception.
 DELAYS = (-86_400, -3_600, -60, 0, 60, 3_600, 86_400, 30 * 86_400)
@@ -80,7 +80,8 @@ def text_instants(
         F.col(text).alias("text"),
         got.alias("received"),
     ).where("text is not null")
-    at = cut(zones(spark, source_zones))  # a plain table, so that AQE can split a source with many rows
+    # sent to all tasks if small; else a plain table, against which AQE can split a source with many rows
+    at = small(cut(zones(spark, source_zones)))
     zoned = slim.join(at, F.col("source") == F.col("zsid"), "left").withColumn("zone", F.coalesce("zone", F.lit("UTC")))
     read = (
         with_readings(zoned, "text", "received", "zone", "abbreviations")

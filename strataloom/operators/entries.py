@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from strataloom.session import cut, ship
+from strataloom.session import cut, ship, small
 
 _PIECES = (
     "source bigint, first bigint, last bigint, head boolean, seam boolean, n_rows bigint, "
@@ -170,7 +170,7 @@ def match_patterns(found: DataFrame, patterns: DataFrame, log_sources: DataFrame
         .groupBy(F.col("t_group").alias("b_group"), F.col("t_size").alias("b_size"))
         .agg(F.collect_list(F.when(F.col("loose"), F.col("at"))).alias("loose"))  # at most a template's tokens
     )
-    blocks = cut(blocks)
+    blocks = small(cut(blocks))
     holes = F.size(F.split("template", r"<\*>")) - 1
     quoted = F.concat(F.lit(r"^\s*\Q"), F.replace("template", F.lit(WILDCARD), F.lit("\\E(\\S*?)\\Q")), F.lit("\\E\\s*$"))
     dollars = F.transform(

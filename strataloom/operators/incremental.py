@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataloom.session import cut
+from strataloom.session import cut, small
 
 
 class IncrementalTable:
@@ -129,8 +129,8 @@ def entries_to_process(
     tables give no rows.
     """
     entries = raw.where("log_source_id is not null and byte_offset is not null").select("log_source_id", "byte_offset")
-    # materialised: it is used three times, and AQE can split a hot source only against a plain table
-    starts = cut(source_starts(log_sources, scans).withColumnRenamed("log_source_id", "sid"))
+    # sent to all tasks if small; else a plain table, against which AQE can split a source with many rows
+    starts = small(cut(source_starts(log_sources, scans).withColumnRenamed("log_source_id", "sid")))
     present = (
         entries.distinct()
         .join(starts, F.col("log_source_id") == F.col("sid"))
