@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from strataloom.session import cut, ship
+from strataloom.session import cut, ship, small
 
 WILDCARD = "<*>"
 _REPEATED = re.compile(r"(.)\1+", re.DOTALL)
@@ -208,8 +208,8 @@ def repeated_runs(
         F.col(row_id).alias("row_id"),
         time.cast("bigint").alias("time"),
     ).where("source is not null and offset is not null and pattern is not null")
-    # classes as a plain table: AQE can then split a pattern that holds a large part of all rows
-    marked = slim.join(cut(classes), F.col("pattern") == F.col("key"), "left").select(
+    # sent to all tasks if small; else a plain table, against which AQE can split a pattern with many rows
+    marked = slim.join(small(cut(classes)), F.col("pattern") == F.col("key"), "left").select(
         "source",
         "offset",
         "row_id",
