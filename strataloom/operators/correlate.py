@@ -6,10 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from strataloom.operators.graph import components
+from strataloom.operators.graph import components, forest
 from strataloom.operators.rank import seconds
 from strataloom.session import cut
 
+#: Parts into which the patterns are divided for counting pairs, per core; every set of patterns is sent once to each part.
+PARTS_PER_CORE = 4
+
 
 def correlations(
     occurrences: DataFrame,
@@ -84,9 +87,9 @@ def correlations(
     return out if top is None else out.limit(top)
 
 
-def variable_index(occurrences: DataFrame, patterns: DataFrame, top_patterns: int | None = 200) -> DataFrame:
-    """``pattern_id, value``: distinct variable values of the most frequent patterns, without noise (single bytes and
-    numbers below 1,000)."""
+def variable_index(occurrences: DataFrame, patterns: DataFrame, top_patterns: int | None = None) -> DataFrame:
+    """``pattern_id, value``: distinct variable values of the patterns, without noise (single bytes and numbers below
+    1,000). ``top_patterns`` (off by default) keeps only so many by their stored count."""
     best = patterns.select(F.col("id").alias("k"), "occurrence_count").orderBy(F.desc("occurrence_count"), "k")
     if top_patterns is not None:
         best = best.limit(top_patterns)
@@ -107,7 +110,7 @@ def shared_values(index: DataFrame) -> DataFrame:
     most = index.agg(F.greatest(F.floor(F.count_distinct("pattern_id") / 2), F.lit(2))).scalar()
     return (
         index.groupBy("value")
-        .agg(F.array_sort(F.collect_set("pattern_id")).alias("who"))  # at most the patterns asked for
+        .agg(F.array_sort(F.collect_set("pattern_id")).alias("who"))  # a number per pattern at most
         .where((F.size("who") >= 2) & (F.size("who") <= most))
         .select("value", "who")
     )
@@ -116,15 +119,23 @@ def shared_values(index: DataFrame) -> DataFrame:
 def shared_value_pairs(values: DataFrame, min_shared: int = 3) -> DataFrame:
     """``a, b, shared``: pattern pairs with at least ``min_shared`` shared values in common.
 
-    Values are first counted by the set of patterns they occur in; pairs come from the distinct sets, not the values.
+    Values are first counted by the set of patterns they occur in; pairs come from the distinct sets, not the values. The
+    patterns are divided into parts, and a part's task pairs its own members of every set with those after them. So a set
+    of many patterns is split over all tasks, and pairs are counted where they arise and never shuffled.
     """
     sets = values.groupBy("who").agg(F.count("*").alias("n"))
+    parts = PARTS_PER_CORE * values.sparkSession.sparkContext.defaultParallelism
+    part_of = lambda p: F.pmod(F.xxhash64(p), F.lit(parts)).cast("int")
     return (
-        sets.select("who", "n", F.posexplode("who").alias("i", "a"))
-        .select("a", "n", F.explode(F.slice("who", F.col("i") + 2, F.size("who"))).alias("b"))
-        .groupBy("a", "b")
+        sets.select("who", "n", F.explode(F.array_distinct(F.transform("who", part_of))).alias("part"))
+        .repartition(parts, "part")
+        .select("part", "who", "n", F.posexplode("who").alias("i", "a"))
+        .where(part_of(F.col("a")) == F.col("part"))
+        .select("part", "a", "n", F.explode(F.slice("who", F.col("i") + 2, F.size("who"))).alias("b"))
+        .groupBy("part", "a", "b")
         .agg(F.sum("n").alias("shared"))
         .where(F.col("shared") >= min_shared)
+        .select("a", "b", "shared")
     )
 
 
@@ -133,12 +144,12 @@ def clusters(
     patterns: DataFrame,
     min_shared: int = 3,
     top: int | None = 20,
-    top_patterns: int | None = 200,
+    top_patterns: int | None = None,
 ) -> DataFrame:
     """``cluster, n_patterns, patterns, values``: groups of patterns linked by shared values, largest first, with up to
     10 values (least first) that two members share."""
     shared = cut(shared_values(variable_index(occurrences, patterns, top_patterns)))
-    pairs = shared_value_pairs(shared, min_shared)
+    pairs = cut(forest(shared_value_pairs(shared, min_shared)))
     ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     member = components(ends, pairs)
     rank = W.partitionBy("component").orderBy("value")

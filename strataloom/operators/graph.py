@@ -2,10 +2,42 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataloom.session import cut
+from strataloom.session import cut, ship
+
+
+def forest(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """``a, b``: edges with the same components as ``edges``, fewer than its nodes from each partition (union-find)."""
+    ship(edges.sparkSession)
+
+    def spanning(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            top = x
+            while (up := parent.setdefault(top, top)) != top:
+                top = up
+            while parent[x] != top:
+                parent[x], x = top, parent[x]
+            return top
+
+        for batch in batches:
+            kept = []
+            for x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                rx, ry = root(x), root(y)
+                if rx != ry:
+                    parent[max(rx, ry)] = min(rx, ry)
+                    kept.append((x, y))
+            if kept:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*kept, strict=True)], ["a", "b"])
+
+    ends = edges.select(F.col(a).cast("bigint").alias("a"), F.col(b).cast("bigint").alias("b"))
+    return ends.where("a is not null and b is not null").mapInArrow(spanning, "a bigint, b bigint")
 
 
 def components(nodes: DataFrame, edges: DataFrame, node: str = "id", a: str = "a", b: str = "b") -> DataFrame:

@@ -517,8 +517,19 @@ _INDEX = """top AS (SELECT id FROM patterns ORDER BY occurrence_count DESC NULLS
  k AS (SELECT v FROM x GROUP BY v HAVING count(*) BETWEEN 2 AND (SELECT greatest(count(DISTINCT p) // 2, 2) FROM x))"""
 
 
+_INDEX_ALL = _INDEX.replace(" ORDER BY occurrence_count DESC NULLS LAST, id LIMIT 200", "")
+
+
 @query(f"WITH {_INDEX} SELECT x.p AS a, z.p AS b, count(*) AS shared FROM x JOIN x z ON z.v = x.v AND x.p < z.p JOIN k ON k.v = x.v GROUP BY ALL HAVING count(*) >= 3")
 def shared_value_pairs(spark, sf_dir):
+    """Parity with the reference's command, whose default are the 200 patterns of the highest stored counts."""
+    index = correlate.variable_index(table(spark, sf_dir, "occurrences"), table(spark, sf_dir, "patterns"), 200)
+    return correlate.shared_value_pairs(correlate.shared_values(index))
+
+
+@query(f"WITH {_INDEX_ALL} SELECT x.p AS a, z.p AS b, count(*) AS shared FROM x JOIN x z ON z.v = x.v AND x.p < z.p JOIN k ON k.v = x.v GROUP BY ALL HAVING count(*) >= 3")
+def shared_value_pairs_all(spark, sf_dir):
+    """Pairs among all patterns."""
     index = correlate.variable_index(table(spark, sf_dir, "occurrences"), table(spark, sf_dir, "patterns"))
     return correlate.shared_value_pairs(correlate.shared_values(index))
 

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strataloom.operators import compare, correlate, dedup, graph, mining, rank, search, structure, tags, tickets
+from strataloom.session import cut
 from strataloom.operators.export import csv_lines, read_baseline, render_page, save_baseline
 
 
@@ -239,6 +240,39 @@ def test_clusters(spark):
     assert [(g["cluster"], g["patterns"], g["values"]) for g in got] == [(1, [1, 2], ["value1", "value2"]), (3, [3, 4], ["value4"])]
 
 
+def test_shared_values_of_all_patterns(spark):
+    """The rarest of 260 patterns share values as much as any; one value is held by 130 of them."""
+    held = {i: {"common"} if i <= 130 else set() for i in range(1, 261)}
+    for a, b in ((1, 2), (220, 250), (250, 260)):
+        for x in (held[a], held[b]):
+            x |= {f"link{a}-{b}-{k}" for k in range(3)}
+    held = {i: v or {f"own{i}"} for i, v in held.items()}
+    o = spark.createDataFrame([(i, i, "\t".join(v)) for i, v in held.items()], "id bigint, pattern_id bigint, variables string")
+    p = spark.createDataFrame([(i, 1000 - i) for i in held], "id bigint, occurrence_count bigint")
+    shared = correlate.shared_values(correlate.variable_index(o, p))
+    for least in (1, 3):
+        want = {(a, b): n for a, b in combinations(held, 2) if (n := len(held[a] & held[b])) >= least}
+        assert {(g["a"], g["b"]): g["shared"] for g in correlate.shared_value_pairs(shared, least).collect()} == want
+    assert [g["patterns"] for g in correlate.clusters(o, p).collect()] == [[220, 250, 260], [1, 2]]
+    assert correlate.variable_index(o, p, 200).agg(F.max("pattern_id")).first()[0] == 200
+
+
+def test_forest_keeps_components(spark):
+    r = random.Random(5)
+    edges = [(r.randrange(300), r.randrange(300)) for _ in range(400)] + [(1, None)]
+
+    def parts(pairs):
+        of = {i: {i} for i in range(300)}
+        for x, y in pairs:
+            if y is not None and of[x] is not of[y]:
+                of[x] |= of[y]
+                of.update(dict.fromkeys(of[y], of[x]))
+        return sorted({tuple(sorted(v)) for v in of.values()})
+
+    kept = [tuple(e) for e in graph.forest(spark.createDataFrame(edges, "a bigint, b bigint").repartition(1)).collect()]
+    assert set(kept) <= set(edges) and len(kept) == 300 - len(parts(edges)) and parts(kept) == parts(edges)
+
+
 # Comparison ----------------------------------------------------------------------------------------------------------
 
 
