@@ -143,6 +143,9 @@ RULES = [
 
 NEEDED = ("ts", "lv", "co")
 
+#: Keys of a shape's result and of a row's end in the trie, which no token class can be.
+RESULT, END = object(), object()
+
 #: Nodes of the trie of known shapes at which it is begun anew; this costs time only.
 MOST_NODES = 500_000
 
@@ -164,13 +167,13 @@ class Grammar:
         ``whole``: it must take up all of them. Remembered by shape.
         """
         node = self.trie
-        path = [*symbols, "$"] if whole else symbols
+        path = [*symbols, END] if whole else symbols
         for s in path:
             node = node.get(s)
             if node is None:
                 break
-            if "=" in node:
-                return node["="]
+            if RESULT in node:
+                return node[RESULT]
         best, seen = self.parse(symbols, whole)
         self.room -= seen
         if self.room < 0:
@@ -179,7 +182,7 @@ class Grammar:
         for s in path[: len(path) if whole else seen]:
             node = node.setdefault(s, {})
         if whole or seen < len(symbols):
-            node["="] = best
+            node[RESULT] = best
         return best
 
     def parse(self, symbols: list[str], whole: bool) -> tuple[tuple | None, int]:

@@ -153,6 +153,22 @@ def test_no_header(text):
     assert HeaderParser()(text) is None
 
 
+@pytest.mark.parametrize("first", ["a = b", "x = 1 y", "[ = ]", "token=abc== x=1", "k==v", "{=", "= $ ="])
+def test_equals_signs_leave_other_shapes_alone(first):
+    parse = HeaderParser()
+    assert parse(first) is None and parse(first + " =") is None
+    for text, level, component, message in ROWS:
+        got = parse(text)
+        assert (got["level"], got["component"], got["message"]) == (level, component, message)
+    for text in ("a b = c", "a c d e f", "x = 1 y", "[ x ]", "k=v k=w k=z", "token=abc== x=2", "{ x"):
+        assert parse(text) is None
+
+
+def test_dollar_sign_is_no_end_of_a_row():
+    parse, text = HeaderParser(), '{"ts": 1, "level": "info", "logger": "a"}'
+    assert parse(text)["component"] == "a" and parse(text + "$") is None
+
+
 def test_levels_are_known():
     assert {"TRACE", "DEBUG", "INFO", "WARN", "ERROR", "FATAL"} == set(LEVELS.values())
 
