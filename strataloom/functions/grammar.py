@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 #: Level names, synonyms, initials and numbers.
@@ -52,9 +53,6 @@ JSON = re.compile(
 )
 PAIRS = re.compile(rf"(?P<k>[@\w.-]+)=|(?P<q>{_STRING})|(?P<s>\s+)|(?P<w>[^\s\"=]+)|(?P<x>.)", re.DOTALL)
 
-#: Header tokens after which a layout can't begin any more.
-LONGEST = 48
-
 
 @dataclass(frozen=True)
 class Rule:
@@ -150,6 +148,24 @@ RESULT, END = object(), object()
 MOST_NODES = 500_000
 
 
+class Tokens:
+    """Token classes of a row and their places, cut as far as they are asked for."""
+
+    def __init__(self, found: Iterator[tuple[str, tuple[int, int]]]):
+        self.found = found
+        self.symbols: list[str] = []
+        self.places: list[tuple[int, int]] = []
+
+    def has(self, i: int) -> bool:
+        while len(self.symbols) <= i:
+            symbol, place = next(self.found, (None, None))
+            if place is None:
+                return False
+            self.symbols.append(symbol)
+            self.places.append(place)
+        return True
+
+
 @dataclass
 class Grammar:
     rules: list[Rule] = field(default_factory=lambda: RULES)
@@ -161,40 +177,44 @@ class Grammar:
         self.trie: dict = {}
         self.room = MOST_NODES
 
-    def header(self, symbols: list[str], whole: bool) -> tuple[float, int, dict[str, tuple[int, int]]] | None:
-        """Score, length in tokens and fields (as token spans) of the best header that begins ``symbols``.
+    def header(self, tokens: Tokens, whole: bool) -> tuple[float, int, dict[str, tuple[int, int]]] | None:
+        """Score, length in tokens and fields (as token spans) of the best header that begins ``tokens``.
 
         ``whole``: it must take up all of them. Remembered by shape.
         """
-        node = self.trie
-        path = [*symbols, END] if whole else symbols
-        for s in path:
-            node = node.get(s)
+        node, at, more = self.trie, 0, True
+        while more:
+            more = tokens.has(at)
+            if not more and not whole:
+                break
+            node = node.get(tokens.symbols[at] if more else END)
             if node is None:
                 break
             if RESULT in node:
                 return node[RESULT]
-        best, seen = self.parse(symbols, whole)
+            at += 1
+        best, seen = self.parse(tokens, whole)
         self.room -= seen
         if self.room < 0:
             self.trie, self.room = {}, MOST_NODES
         node = self.trie
-        for s in path[: len(path) if whole else seen]:
+        for s in [*tokens.symbols, END] if whole else tokens.symbols[:seen]:
             node = node.setdefault(s, {})
-        if whole or seen < len(symbols):
+        if whole or tokens.has(seen):
             node[RESULT] = best
         return best
 
-    def parse(self, symbols: list[str], whole: bool) -> tuple[tuple | None, int]:
+    def parse(self, tokens: Tokens, whole: bool) -> tuple[tuple | None, int]:
         """Earley with best derivations. Returns the result and how many symbols it depends on."""
         # an item is (rule, dot, origin); kept are its best score and where that came from
         charts: list[dict[tuple[int, int, int], tuple[float, tuple]]] = [{}]
         best: tuple | None = None
         for i in self.by_head["Entry"]:
             charts[0][(i, 0, 0)] = (self.rules[i].weight, ())
-        n, at = len(symbols), 0
+        at = 0
         while at < len(charts):
             chart = charts[at]
+            symbol = tokens.symbols[at] if tokens.has(at) else None
             work = list(chart)
             while work:
                 item = work.pop()
@@ -207,7 +227,7 @@ class Grammar:
                         pbody = self.rules[pr].body
                         if pdot < len(pbody) and pbody[pdot] == head:
                             self._add(chart, work, (pr, pdot + 1, porigin), pscore + score, (*pback, (item, at)))
-                    if head == "Entry" and origin == 0 and (not whole or at == n):
+                    if head == "Entry" and origin == 0 and (not whole or symbol is None):
                         spans = self._fields(charts, item, at)
                         if all(k in spans for k in NEEDED) and (best is None or (score, at) > best[:2]):
                             best = (score, at, spans)
@@ -216,12 +236,12 @@ class Grammar:
                         self._add(chart, work, (i, 0, at), self.rules[i].weight, ())
                         if not self.rules[i].body:
                             self._add(chart, work, (r, dot + 1, origin), score + self.rules[i].weight, (*back, None))
-                elif at < n and body[dot] == symbols[at]:
+                elif symbol is not None and body[dot] == symbol:
                     if len(charts) == at + 1:
                         charts.append({})
                     self._add(charts[at + 1], None, (r, dot + 1, origin), score, (*back, at))
             at += 1
-        return best, min(n, len(charts))
+        return best, min(len(tokens.symbols), len(charts))
 
     def _add(self, chart: dict, work: list | None, item: tuple, score: float, back: tuple) -> None:
         old = chart.get(item)
@@ -250,37 +270,41 @@ class Grammar:
 _SPACE = re.compile(r"\s*")
 
 
-def _cut(text: str) -> tuple[str, list[str], list[tuple[int, int]], bool]:
-    """Kind of row, token classes and their places, and whether the header must take up the whole row."""
-    symbols: list[str] = []
-    places: list[tuple[int, int]] = []
-    if text[:1] == "{":
-        for m in JSON.finditer(text):
-            kind = m.lastgroup
-            if kind == "s":
-                continue
-            if kind == "k":
-                symbols.append("k" + FIELD_OF.get(m["k"][1:-1].lower(), ""))
-                places.append(m.span("k"))
-            else:
-                symbols.append(m[0] if kind == "x" else kind)
-                places.append(m.span())
-        return "object", symbols, places, True
-    if re.match(r"[@\w.-]+=\S", text):
-        end = len(text.rstrip())
-        for m in PAIRS.finditer(text, 0, end):
-            kind = m.lastgroup
-            symbols.append("k" + FIELD_OF.get(m["k"].lower(), "") if kind == "k" else m[0] if kind == "x" else kind)
-            places.append(m.span())
-        return "pairs", symbols, places, True
+def _objects(text: str) -> Iterator[tuple[str, tuple[int, int]]]:
+    for m in JSON.finditer(text):
+        kind = m.lastgroup
+        if kind == "k":
+            yield "k" + FIELD_OF.get(m["k"][1:-1].lower(), ""), m.span("k")
+        elif kind != "s":
+            yield m[0] if kind == "x" else kind, m.span()
+
+
+def _pairs(text: str) -> Iterator[tuple[str, tuple[int, int]]]:
+    for m in PAIRS.finditer(text, 0, len(text.rstrip())):
+        kind = m.lastgroup
+        yield "k" + FIELD_OF.get(m["k"].lower(), "") if kind == "k" else m[0] if kind == "x" else kind, m.span()
+
+
+def _line(text: str) -> Iterator[tuple[str, tuple[int, int]]]:
     stop = text.find("\n")
     for m in PLAIN.finditer(text, 0, stop if stop >= 0 else len(text)):
-        kind = m.lastgroup
-        symbols.append(m[0] if kind == "x" else kind)
-        places.append(m.span())
-        if len(symbols) == LONGEST:
-            break
-    return "line", symbols, places, False
+        yield m[0] if m.lastgroup == "x" else m.lastgroup, m.span()
+
+
+def _cut(text: str) -> tuple[str, Tokens, bool]:
+    """Kind of row, its tokens, and whether the header must take up the whole row.
+
+    Rows that it must take up are cut to their end at once, others only as far as the grammar goes.
+    """
+    if text[:1] == "{":
+        kind, tokens = "object", Tokens(_objects(text))
+    elif re.match(r"[@\w.-]+=\S", text):
+        kind, tokens = "pairs", Tokens(_pairs(text))
+    else:
+        return "line", Tokens(_line(text)), False
+    while tokens.has(len(tokens.symbols)):
+        pass
+    return kind, tokens, True
 
 
 def _plain(token: str) -> str:
@@ -305,8 +329,9 @@ class HeaderParser:
         """
         if not text:
             return None
-        kind, symbols, places, whole = _cut(text)
-        found = self.grammar.header(symbols, whole)
+        kind, tokens, whole = _cut(text)
+        found = self.grammar.header(tokens, whole)
+        places = tokens.places
         if found is None:
             return None
         _, length, spans = found

@@ -179,6 +179,13 @@ def test_long_texts_parse_in_reasonable_time():
     assert HeaderParser()("2026-04-05 05:20:07|info|a|" + "x [( " * 200_000)["component"] == "a"
 
 
+@pytest.mark.parametrize("words", [5, 19, 36, 400])
+def test_long_thread_names(words):
+    thread = " ".join(["Lane"] * words)
+    got = HeaderParser()(f"2025-12-25 13:45:18,617 *INFO* [{thread}] a.B - m")
+    assert (got["level"], got["component"], got["message"]) == ("INFO", "a.B", "m")
+
+
 def raw(spark, rows):
     df = spark.createDataFrame(rows, "id bigint, log_source_id bigint, byte_offset bigint, raw_message string")
     return df.withColumns({c: F.lit(1) for c in ("source", "offset", "first", "head", "seam", "place", "level")})
