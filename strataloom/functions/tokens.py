@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 WILDCARD = "<*>"
-#: Tokens of an entry, pinned tokens of a template, characters of a token's shape.
+#: Tokens of an entry in parity with the reference, pinned tokens of a template, characters of a token's shape.
 MAX_TOKENS, PINNED, SHAPE_CHARS = 1024, 14, 20
 #: ASCII white space on which lines are split; a vertical tab is none.
 BLANK = r"[ \t\n\f\r]"
@@ -65,10 +65,12 @@ def tokenize(line: Column) -> Column:
     return F.when(simple, plain).otherwise(nested)
 
 
-def entry_tokens(line: Column, continuation: Column) -> Column:
-    """Tokens of an entry, ``\\n`` before those of each further line, 1,024 at most."""
+def entry_tokens(line: Column, continuation: Column, most: int | None = None) -> Column:
+    """Tokens of an entry, ``\\n`` before those of each further line; of them the first ``most`` (off by default, parity
+    with the reference is ``MAX_TOKENS``)."""
     more = F.flatten(F.transform(continuation, lambda c: F.concat(F.array(F.lit("\n")), tokenize(c))))
-    return F.slice(F.concat(tokenize(line), more), 1, MAX_TOKENS)
+    tokens = F.concat(tokenize(line), more)
+    return tokens if most is None else F.slice(tokens, 1, most)
 
 
 def is_variable(token: Column) -> Column:

@@ -19,7 +19,7 @@ from pyspark.sql.types import StructType
 from strataloom.session import ship
 
 LINES = "file_path string, byte_offset bigint, next_offset bigint, line string"
-#: Fixed value: bytes of a line that are kept.
+#: Bytes of a line that are kept unless another bound, or none, is asked for.
 MAX_LINE = 65_536
 SPLIT_BYTES, BATCH_LINES = 64 << 20, 8_192
 
@@ -73,17 +73,24 @@ class ByteRange(InputPartition):
     start: int
     end: int
     begins_line: bool
+    most: int | None = MAX_LINE
 
     def __hash__(self) -> int:
         return hash((self.path, self.start, self.end))
 
 
-def clean_line(raw: bytes) -> str:
-    """A line without its end: one CR less, 64 KiB at most, empty if it isn't UTF-8 (also if the cut splits a sign)."""
+def clean_line(raw: bytes, most: int | None = MAX_LINE) -> str:
+    """A line without its end: one CR less, ``most`` bytes at most (None: all), empty if what is kept isn't UTF-8. A sign
+    that the cut would split is left out."""
     if raw.endswith(b"\r"):
         raw = raw[:-1]
+    if most is not None and len(raw) > most:
+        end = most
+        while end > max(0, most - 3) and raw[end] & 0xC0 == 0x80:
+            end -= 1
+        raw = raw[:end]
     try:
-        return raw[:MAX_LINE].decode("utf-8")
+        return raw.decode("utf-8")
     except UnicodeDecodeError:
         return ""
 
@@ -105,7 +112,7 @@ def read_range(part: ByteRange) -> Iterator[pa.RecordBatch]:
             if not raw:
                 break
             after = at + len(raw)
-            rows.append((part.path, at, after, clean_line(raw[:-1] if raw.endswith(b"\n") else raw)))
+            rows.append((part.path, at, after, clean_line(raw[:-1] if raw.endswith(b"\n") else raw, part.most)))
             at = after
             if len(rows) == BATCH_LINES:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], schema=schema)
@@ -114,13 +121,13 @@ def read_range(part: ByteRange) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
 
-def ranges(path: str, start: int, end: int, split: int) -> list[ByteRange]:
-    return [ByteRange(path, a, min(a + split, end), a == start) for a in range(start, end, split)]
+def ranges(path: str, start: int, end: int, split: int, most: int | None = MAX_LINE) -> list[ByteRange]:
+    return [ByteRange(path, a, min(a + split, end), a == start, most) for a in range(start, end, split)]
 
 
 class LogLines(DataSource):
     """``spark.read.format("loglines").option("paths", ...)``; options ``positions`` (JSON, path -> byte from which to
-    read) and ``split`` (bytes of a task)."""
+    read), ``split`` (bytes of a task) and ``max_line`` (bytes of a line that are kept; 0 keeps whole lines)."""
 
     @classmethod
     def name(cls) -> str:
@@ -141,12 +148,13 @@ class _BatchReader(DataSourceReader):
         self.paths = expand(options.get("paths", options.get("path", "")))
         self.positions = json.loads(options.get("positions", "{}"))
         self.split = int(options.get("split", SPLIT_BYTES))
+        self.most = int(options.get("max_line", MAX_LINE)) or None
 
     def partitions(self) -> list[ByteRange]:
         out = []
         for p in self.paths:
             size, at = file_size(p), int(self.positions.get(p, 0))
-            out += ranges(p, 0 if size < at else at, size, self.split)
+            out += ranges(p, 0 if size < at else at, size, self.split, self.most)
         return out or [ByteRange("", 0, 0, True)]
 
     def read(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
@@ -160,6 +168,7 @@ class _StreamReader(DataSourceStreamReader):
         self.paths = options.get("paths", options.get("path", ""))
         self.positions = json.loads(options.get("positions", "{}"))
         self.split = int(options.get("split", SPLIT_BYTES))
+        self.most = int(options.get("max_line", MAX_LINE)) or None
 
     def initialOffset(self) -> dict:  # noqa: N802
         return {"files": json.dumps(self.positions)}
@@ -190,7 +199,7 @@ class _StreamReader(DataSourceStreamReader):
         out = []
         for p, size in now.items():
             at = int(before.get(p, 0))
-            out += ranges(p, 0 if size < at else at, size, self.split)
+            out += ranges(p, 0 if size < at else at, size, self.split, self.most)
         return out
 
     def read(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
@@ -205,12 +214,13 @@ def register(spark) -> None:
     spark.dataSource.register(LogLines)
 
 
-def read_lines(spark, paths: str, positions: dict[str, int] | None = None, split: int = SPLIT_BYTES):
+def read_lines(spark, paths: str, positions: dict[str, int] | None = None, split: int = SPLIT_BYTES, max_line: int | None = MAX_LINE):
     register(spark)
     return (
         spark.read.format("loglines")
         .option("paths", paths)
         .option("positions", json.dumps(positions or {}))
         .option("split", str(split))
+        .option("max_line", str(max_line or 0))
         .load()
     )

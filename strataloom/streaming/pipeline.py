@@ -130,7 +130,7 @@ def placed_lines(lines: DataFrame, group: str | None = None) -> DataFrame:
 def process(spark: SparkSession, store: Store, paths: str, group: str | None = None, threshold: float = mining.THRESHOLD, syslog_year: int = 2026) -> None:
     """Read what files hold beyond the positions reached, and let the step finish all entries."""
     positions = {r["source"]: r["position"] for r in store.read("sources").collect()}  # one row per file
-    lines = placed_lines(read_lines(spark, paths, positions), group)
+    lines = placed_lines(read_lines(spark, paths, positions, max_line=None), group)
     step(store, lines, store.next_version(), True, threshold, syslog_year)
 
 
@@ -158,7 +158,7 @@ def watch(
     register(spark)
     positions = {r["source"]: r["position"] for r in store.read("sources").collect()}  # one row per file
     first = _first_version(spark, store, checkpoint)
-    lines = spark.readStream.format("loglines").option("paths", paths).option("positions", json.dumps(positions)).load()
+    lines = spark.readStream.format("loglines").option("paths", paths).option("positions", json.dumps(positions)).option("max_line", "0").load()
 
     def take(batch: DataFrame, batch_id: int) -> None:
         step(store, placed_lines(batch, group), first + batch_id, False, threshold, syslog_year)

@@ -42,6 +42,17 @@ def test_lines_with_offsets(spark, tmp_path):
     assert sorted(r["byte_offset"] for r in resumed.collect()) == [w[0] for w in want if w[0] >= 5]
 
 
+def test_long_lines_are_kept_whole(spark, tmp_path):
+    """By the pipeline, up to their last token; a cut line ends at a character."""
+    assert logs.clean_line("é".encode() * 40_000 + b"a") == "é" * 32_768
+    assert logs.clean_line(b"a" + "é".encode() * 40_000) == "a" + "é" * 32_767 and logs.clean_line(b"\xff" * 70_000) == ""
+    long = "2026-01-01 00:00:00 " + "word " * 30_000 + "last=1234567"
+    store = Store(spark, str(tmp_path / "store"))
+    pipeline.process(spark, store, write(tmp_path / "a.log", long + "\n"))
+    assert store.model()["patterns"].first()["template"].count("word") == 30_000
+    assert store.model()["occurrences"].first()["variables"].endswith("last=1234567")
+
+
 def test_valid_files(tmp_path):
     good = write(tmp_path / "a.log", "x\n")
     empty = write(tmp_path / "b.log", "")
