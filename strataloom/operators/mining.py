@@ -11,7 +11,8 @@ from strataloom.functions.stamps import extract_timestamp
 from strataloom.functions.tokens import PINNED, WILDCARD, entry_tokens, mask, render, variables
 from strataloom.session import ship, spread
 
-#: Fixed values of the fold: similarity to join a template, similarity that ends the search, candidates looked at.
+#: Fixed values of the fold: similarity to join a template, similarity that ends the search; templates of a leaf looked at in
+#: parity with the reference.
 THRESHOLD, EARLY_EXIT, MOST_CANDIDATES = 0.5, 0.9, 50
 
 
@@ -79,10 +80,12 @@ def strict_templates(vectors: DataFrame) -> DataFrame:
 
 
 class PrefixTree:
-    """Templates of one token count, by their first tokens; a token that isn't there falls back on the wildcard."""
+    """Templates of one token count, by their first tokens; a token that isn't there falls back on the wildcard.
 
-    def __init__(self, threshold: float = THRESHOLD):
-        self.threshold, self.root, self.templates = threshold, {}, []
+    ``most`` (off by default, parity is ``MOST_CANDIDATES``) bounds the templates of a leaf that are looked at."""
+
+    def __init__(self, threshold: float = THRESHOLD, most: int | None = None):
+        self.threshold, self.most, self.root, self.templates = threshold, most, {}, []
 
     def _leaf(self, vector: list[str]) -> list[int] | None:
         node = self.root
@@ -94,7 +97,7 @@ class PrefixTree:
 
     def match(self, vector: list[str]) -> int | None:
         best, best_score = None, 0.0
-        for i in (self._leaf(vector) or [])[:MOST_CANDIDATES]:
+        for i in (self._leaf(vector) or [])[: self.most]:
             score = self._score(vector, self.templates[i])
             if score >= EARLY_EXIT:
                 return i

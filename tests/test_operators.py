@@ -138,6 +138,14 @@ def test_fold_of_distinct_equals_fold_of_all():
     assert sorted(map(tuple, a.templates)) == sorted(map(tuple, b.templates))
 
 
+def test_all_templates_of_a_leaf_are_looked_at():
+    head = [f"w{i}" for i in range(14)]
+    vectors = [[*head, *(f"x{i}-{k}" for k in range(20))] for i in range(60)]
+    t, parity = mining.PrefixTree(), mining.PrefixTree(most=mining.MOST_CANDIDATES)
+    assert [t.add(v) for v in vectors] == list(range(60)) == [t.add(v) for v in vectors]
+    assert [parity.add(v) for v in vectors * 2] == [*range(60), *range(50), *range(60, 70)]
+
+
 def test_line_breaks_keep_templates_apart():
     t = mining.PrefixTree()
     head = [f"w{i}" for i in range(14)]
