@@ -93,23 +93,22 @@ def _beyond_one_task(forest: DataFrame, parts: int) -> DataFrame:
             return forest
 
 
+#: A dotted decimal address, with or without a port: two numbers side by side, whose digits are no one identifier.
+_ADDRESS = r"^[0-9]{1,3}(\.[0-9]{1,3}){3}([^\p{L}\p{N}]+[0-9]{1,5})?[^\p{L}\p{N}]*$"
+
+
 def identifiers(variables: Column) -> Column:
     """Distinct identifiers among TAB-joined variables, as ``array<bigint>``.
 
     An identifier is a variable that, without letter case, punctuation, a label (lower-case letters before ``=`` or
-    ``:``) and a leading ``0x``, is 16 hexadecimal digits, not all the same. What is 16 digits only with its label kept
-    is one too. Null or empty variables give an empty array.
+    ``:``) and a leading ``0x``, is 16 hexadecimal digits, not all the same. Network addresses with their ports aren't
+    identifiers, whatever the number of their digits. Null or empty variables give an empty array.
     """
 
-    def digits(x: Column) -> Column:
-        return F.regexp_replace(F.regexp_replace(F.lower(x), r"[^\p{L}\p{N}]", ""), "^0x", "")
-
     def one(v: Column) -> Column:
-        bare = F.regexp_replace(v, r"^[^\p{L}\p{N}]+", "")
-        unlabelled = digits(F.regexp_replace(bare, "^[a-z]+[=:]", ""))
-        kept = digits(bare)
-        ok = r"^(?!(.)\1{15}$)[0-9a-f]{16}$"
-        found = F.when(unlabelled.rlike(ok), unlabelled).when(kept.rlike(ok), kept)
+        bare = F.regexp_replace(v, r"^[^\p{L}\p{N}]*([a-z]+[=:])?[^\p{L}\p{N}]*", "")
+        digits = F.regexp_replace(F.regexp_replace(F.lower(bare), r"[^\p{L}\p{N}]", ""), "^0x", "")
+        found = F.when(digits.rlike(r"^(?!(.)\1{15}$)[0-9a-f]{16}$") & ~bare.rlike(_ADDRESS), digits)
         return F.conv(found, 16, -10).cast("bigint")
 
     long = F.filter(F.split(variables, "\t"), lambda v: F.length(v) >= 16)

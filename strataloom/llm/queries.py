@@ -83,12 +83,13 @@ SQL = {
     "p6_found": f"""WITH {_TERMS}, s AS (SELECT id, term, round(uses * ln(n_records / n_with_term), 6) score FROM j
   WHERE n_with_term > 1), b AS (SELECT *, max(score) OVER (PARTITION BY id) best FROM s)
  SELECT id AS pattern_id, term FROM b WHERE score = best AND score > 0""",
-    "p4_found": """WITH RECURSIVE v AS (SELECT id, pattern_id p, regexp_replace(unnest(string_split(variables, chr(9))), '^[^\\p{L}\\p{N}]+', '') x
-   FROM occurrences WHERE length(variables) >= 16),
- y AS (SELECT id, p, regexp_replace(regexp_replace(lower(regexp_replace(x, '^[a-z]+[=:]', '')), '[^\\p{L}\\p{N}]', '', 'g'), '^0x', '') a,
-   regexp_replace(regexp_replace(lower(x), '[^\\p{L}\\p{N}]', '', 'g'), '^0x', '') b FROM v),
- k AS (SELECT DISTINCT id, p, CASE WHEN regexp_full_match(a, '[0-9a-f]{16}') THEN a ELSE b END h FROM y
-   WHERE regexp_full_match(a, '[0-9a-f]{16}') OR regexp_full_match(b, '[0-9a-f]{16}')),
+    "p4_found": """WITH RECURSIVE v AS (SELECT id, pattern_id p, regexp_extract(unnest(string_split(variables, chr(9))),
+   '^[^\\p{L}\\p{N}]*(?:[a-z]+[=:])?((?s:.*))$', 1) x FROM occurrences),
+ y AS (SELECT id, p, x, regexp_extract_all(x, '[\\p{L}\\p{N}]+') w FROM v WHERE length(x) >= 16),
+ z AS (SELECT id, p, lower(array_to_string(w, '')) t FROM y
+   WHERE NOT (x LIKE '%.%.%.%' AND len(list_filter(w[1:4], lambda q: try_cast(q AS UTINYINT) IS NOT NULL)) = 4)),
+ k AS (SELECT DISTINCT id, p, CASE WHEN t LIKE '0x%' THEN substr(t, 3) ELSE t END h FROM z
+   WHERE length(CASE WHEN t LIKE '0x%' THEN substr(t, 3) ELSE t END) = 16 AND trim(CASE WHEN t LIKE '0x%' THEN substr(t, 3) ELSE t END, '0123456789abcdef') = ''),
  i AS (SELECT h, min(id) f FROM k WHERE h <> repeat(substr(h, 1, 1), 16) GROUP BY h HAVING count(DISTINCT p) > 1),
  r AS (SELECT k.id, i.f FROM k JOIN i USING (h)),
  e AS (SELECT DISTINCT r.f a, s.f b FROM r JOIN r s USING (id) WHERE r.f <> s.f),

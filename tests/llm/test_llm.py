@@ -156,7 +156,8 @@ def test_components_of_nothing(spark):
     [
         ("0c42646011e67317", 1), ('"0c42646011e67317"', 1), ("{DFF309DF62AC6C3B}", 1), ("0x6d40a5fb6b9d5405", 1), ("4A2A73C5:EAFC0C61", 1),
         ("trace:e4e124d075c71f4f", 1), ("[corr=9D13AC7A445AD4B1]", 1), ("c97a-4806-dc58-c34b", 1), ("1111111111111111", 0), ("0c42646011e6731", 0),
-        ("0c42646011e673170", 0), ("198.51.100.182:47768", 1), ("0C42646011E67317\t0x0c42646011e67317", 1), ("0c42646011e67317\t0c42646011e67318", 2),
+        ("0c42646011e673170", 0), ("198.51.100.182:47768", 0), ("host=198.51.100.182:47768", 0), ("[198.51.100.182]:47768", 0),
+        ("deadbeef:01234567", 0), ("0c42.6460.11e6.7317", 1), ("[trace:0x0c42646011e67317]", 1), ('req="0C42-6460-11E6-7317"', 1), ("0C42646011E67317\t0x0c42646011e67317", 1), ("0c42646011e67317\t0c42646011e67318", 2),
         ("", 0), (None, 0), ("req=0x6d40a5fb6b9d5405", 1), ("0c42646011e6731g", 0), ("ffffffffffffffff", 0), ("fffffffffffffffe", 1),
     ],
 )
