@@ -14,14 +14,19 @@ from pyspark.sql import functions as F
 
 from strataloom.session import cut, small
 
+#: Partitions at least and at most (whose numbers reach the driver), and rows that one should hold about.
+LEAST_PARTS, MOST_PARTS, PART_ROWS = 64, 16_384, 4_000_000
+
 
 class IncrementalTable:
     """A derived table at ``path``, kept up to date partition by partition.
 
-    ``keys`` assign rows to ``parts`` partitions by hash; only the numbers of changed partitions reach the driver.
+    ``keys`` assign rows to ``parts`` partitions by hash; only the numbers of changed partitions reach the driver. Every
+    row carries the run that wrote it, ``_run``, and the state the run that last computed each partition, so what a
+    partition held before is never read again, also where it came out empty.
     """
 
-    def __init__(self, spark: SparkSession, path: str, keys: list[str], parts: int = 64):
+    def __init__(self, spark: SparkSession, path: str, keys: list[str], parts: int = LEAST_PARTS):
         self.spark, self.path, self.keys, self.parts = spark, path, keys, parts
 
     def placed(self, df: DataFrame) -> DataFrame:
@@ -49,22 +54,23 @@ class IncrementalTable:
         )
 
     def stored(self) -> DataFrame | None:
-        """Fingerprints of the last committed run."""
+        """Fingerprints of the last committed run: ``_part, n, h1, h2, made``."""
         runs = self._runs()
         return self.spark.read.parquet(f"{self.path}/_state/run={runs[-1]}") if runs else None
 
-    def run(
+    def prepare(
         self, current: DataFrame, compute: Callable[[DataFrame], DataFrame], prior: DataFrame | None = None
     ) -> list[int]:
-        """Bring the table up to ``current``; returns the partitions recomputed.
+        """Recompute the partitions in which ``current`` differs from the last committed run; returns their numbers.
 
-        ``prior`` stands in for the stored fingerprints where the state of the last run is kept elsewhere. ``compute``
-        gets whole partitions, with the column ``_part``, which it must keep.
+        ``prior`` stands in for the stored fingerprints where no run has been committed. ``compute`` gets whole
+        partitions, with the column ``_part``, which it must keep. Nothing is committed: until ``commit``, the next call
+        does the same again.
         """
-        now = self.fingerprints(current)
-        before = prior if prior is not None else self.stored()
-        runs = self._runs()
-        version = (runs[-1] if runs else 0) + 1
+        stored = self.stored()
+        self.version = max(self._runs(), default=0) + 1
+        now = cut(self.fingerprints(current))
+        before = stored if stored is not None else prior
         if before is None:
             changed = [r[0] for r in now.select("_part").collect()]
         else:
@@ -72,22 +78,51 @@ class IncrementalTable:
             new = now.select("_part", F.struct("n", "h1", "h2").alias("is"))
             differ = new.join(old, F.col("_part") == F.col("p"), "full").where(~F.col("is").eqNullSafe(F.col("was")))
             changed = [r[0] for r in differ.select(F.coalesce("_part", "p")).collect()]
-        if changed or not runs:
+        if changed or stored is None:
             rows = compute(self.placed(current).where(F.col("_part").isin(changed)))
-            (
-                rows.write.mode("overwrite")
-                .option("partitionOverwriteMode", "dynamic")
-                .partitionBy("_part")
-                .parquet(f"{self.path}/data")
+            self.replace("data", rows)
+        made = F.when(F.col("_part").isin(changed), F.lit(self.version))
+        if stored is None:
+            self.state = now.withColumn("made", F.coalesce(made, F.lit(0)))
+        else:
+            last = stored.select(F.col("_part").alias("p"), F.col("made").alias("before"))
+            self.state = now.join(last, F.col("_part") == F.col("p"), "left").select(
+                *now.columns, F.coalesce(made, "before", F.lit(0)).alias("made")
             )
-        now.write.mode("overwrite").parquet(f"{self.path}/_state/run={version}")
         return sorted(changed)
 
-    def read(self, schema) -> DataFrame:
-        """Rows of the partitions that the last committed run knows; partitions that vanished are left out."""
-        rows = self.spark.read.schema(schema).parquet(f"{self.path}/data")
-        live = self.stored().select(F.col("_part").alias("p"))
-        return rows.join(F.broadcast(live), F.col("_part") == F.col("p"), "left_semi")  # at most ``parts`` rows
+    def replace(self, name: str, rows: DataFrame) -> None:
+        """Write ``rows`` as those of their partitions in the table ``name``, each replaced as a whole."""
+        (
+            rows.withColumn("_run", F.lit(self.version))
+            .write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
+            .partitionBy("_part")
+            .parquet(f"{self.path}/{name}")
+        )
+
+    def commit(self) -> None:
+        """Make the prepared run the last successful one."""
+        self.state.write.mode("overwrite").parquet(f"{self.path}/_state/run={self.version}")
+
+    def run(
+        self, current: DataFrame, compute: Callable[[DataFrame], DataFrame], prior: DataFrame | None = None
+    ) -> list[int]:
+        """Bring the table up to ``current``; returns the partitions recomputed."""
+        changed = self.prepare(current, compute, prior)
+        self.commit()
+        return changed
+
+    def rows(self, name: str, schema: str, state: DataFrame) -> DataFrame:
+        """Rows of a table as ``state`` knows them, with ``_run``; partitions that vanished or are older are left out."""
+        rows = self.spark.read.schema(f"{schema}, _run int").parquet(f"{self.path}/{name}")
+        live = state.select(F.col("_part").alias("p"), F.col("made").cast("int").alias("m"))
+        # a row per partition, at most MOST_PARTS
+        return rows.join(F.broadcast(live), (F.col("_part") == F.col("p")) & (F.col("_run") == F.col("m")), "left_semi")
+
+    def read(self, schema: str) -> DataFrame:
+        """The derived table as the last committed run left it."""
+        return self.rows("data", schema, self.stored()).drop("_run")
 
 
 def bare_hash(col):
@@ -119,36 +154,82 @@ def source_starts(log_sources: DataFrame, scans: DataFrame) -> DataFrame:
     )
 
 
-def entries_to_process(
-    spark: SparkSession, raw: DataFrame, log_sources: DataFrame, scans: DataFrame, path: str, parts: int = 64
-) -> DataFrame:
-    """``log_source_id, byte_offset`` of the distinct entries added or changed since the last successful run.
+class PendingEntries:
+    """The entries added or changed since the last successful run, kept at ``path``.
 
-    The entries before a source's start are what the last run left; their fingerprints are the prior state, those of
-    all entries of reliably scanned sources the present one. Entries without source or offset are left out. Empty
-    tables give no rows.
+    ``rows``: ``log_source_id, byte_offset``, each entry once. Due are the entries that ``source_starts`` leaves to be
+    processed, and those whose content is another than that which the last committed run saw at their place. ``commit``
+    makes this run the last successful one; without it the next one gives the same rows again, and with it none twice
+    once ``log_sources`` has the new positions. Entries without source or offset are left out; of repeated rows of an
+    entry the greatest content hash stands for all. Empty tables give no rows.
+
+    Before the first commit the entries before a source's start are taken as seen; their fingerprints are the prior
+    state. ``parts``, by default from the number of entries, is fixed by the first commit.
     """
-    entries = raw.where("log_source_id is not null and byte_offset is not null").select("log_source_id", "byte_offset")
-    # sent to all tasks if small; else a plain table, against which AQE can split a source with many rows
-    starts = small(cut(source_starts(log_sources, scans).withColumnRenamed("log_source_id", "sid")))
-    present = (
-        entries.distinct()
-        .join(starts, F.col("log_source_id") == F.col("sid"))
-        .withColumn("done", F.coalesce(F.col("byte_offset") < F.col("start"), F.lit(False)))
-    )
-    # a block of a source, not a source, is the unit: one source may hold a third of all rows
-    block = F.floor(F.col("byte_offset") / F.lit(1 << 22)).alias("block")
-    keyed = present.select("log_source_id", "byte_offset", "done", block)
-    work = IncrementalTable(spark, path, ["log_source_id", "block"], parts)
-    cols = ["log_source_id", "byte_offset", "block"]
-    prior = work.fingerprints(keyed.where("done").select(*cols))
-    work.run(
-        keyed.select(*cols),
-        lambda rows: rows.join(
-            starts.withColumnRenamed("sid", "s2"), F.col("log_source_id") == F.col("s2")
+
+    def __init__(
+        self, spark: SparkSession, raw: DataFrame, log_sources: DataFrame, scans: DataFrame, path: str, content: str = "raw_message",
+        parts: int | None = None,
+    ):
+        entries = (
+            raw.where("log_source_id is not null and byte_offset is not null")
+            .groupBy("log_source_id", "byte_offset")
+            .agg(F.max(F.xxhash64(content)).alias("content"))
         )
-        .where(~F.coalesce(F.col("byte_offset") < F.col("start"), F.lit(False)))
-        .select("log_source_id", "byte_offset", "_part"),
-        prior,
-    )
-    return work.read("log_source_id bigint, byte_offset bigint, _part int").select("log_source_id", "byte_offset")
+        # sent to all tasks if small; else a plain table, against which AQE can split a source with many rows
+        starts = small(cut(source_starts(log_sources, scans).withColumnRenamed("log_source_id", "sid")))
+        # a block of a source, not a source, is the unit: one source may hold a third of all rows
+        self.keyed = entries.join(starts, F.col("log_source_id") == F.col("sid")).select(
+            "log_source_id", "byte_offset", "content", F.coalesce(F.col("byte_offset") < F.col("start"), F.lit(False)).alias("done"),
+            F.floor(F.col("byte_offset") / F.lit(1 << 22)).alias("block"),
+        )
+        self.work = IncrementalTable(spark, path, ["log_source_id", "block"])
+        stored = self.work.stored()
+        if stored is not None:
+            parts = stored.select(F.max("parts")).first()[0] or parts
+        if parts is None:
+            parts = min(MOST_PARTS, max(LEAST_PARTS, -(-raw.count() // PART_ROWS)))
+        self.work.parts = parts
+        seen = None
+        if stored is not None:
+            seen = self.work.rows("seen", _SEEN, stored.withColumn("made", F.col("seen"))).select(
+                F.col("log_source_id").alias("s"), F.col("byte_offset").alias("o"), F.col("content").alias("was"), F.col("_part").alias("p")
+            )
+
+        def due(rows: DataFrame) -> DataFrame:
+            if seen is None:
+                found = rows.where("not done").withColumn("moved", F.lit(True))
+            else:
+                held = rows.join(seen, (F.col("_part") == F.col("p")) & (F.col("log_source_id") == F.col("s")) & (F.col("byte_offset") == F.col("o")), "left")
+                found = held.withColumn("moved", ~F.col("done")).where("moved or content <> was")
+            return found.select("log_source_id", "byte_offset", "moved", "_part")
+
+        prior = None if stored is not None else self.work.fingerprints(self.keyed.where("done"))
+        self.changed = self.work.prepare(self.keyed, due, prior)
+        rows = self.work.rows("data", "log_source_id bigint, byte_offset bigint, moved boolean, _part int", self.work.state)
+        # what an earlier run found changed in place is due again only if its partition was computed anew
+        self.rows = rows.where(F.col("moved") | (F.col("_run") == self.work.version)).select("log_source_id", "byte_offset")
+
+    def commit(self) -> None:
+        work, stored = self.work, self.work.stored()
+        placed = work.placed(self.keyed).select("log_source_id", "byte_offset", "content", "_part")
+        fresh = F.lit(True) if stored is None else F.col("_part").isin(self.changed)
+        work.replace("seen", placed.where(fresh))
+        seen = F.when(fresh, F.lit(work.version))
+        if stored is None:
+            work.state = work.state.withColumn("seen", seen)
+        else:
+            last = stored.select(F.col("_part").alias("p"), F.col("seen").alias("s"))
+            work.state = work.state.join(last, F.col("_part") == F.col("p"), "left").withColumn("seen", F.coalesce(seen, "s")).drop("p", "s")
+        work.state = work.state.withColumn("parts", F.lit(work.parts))
+        work.commit()
+
+
+_SEEN = "log_source_id bigint, byte_offset bigint, content bigint, _part int"
+
+
+def entries_to_process(
+    spark: SparkSession, raw: DataFrame, log_sources: DataFrame, scans: DataFrame, path: str, parts: int | None = None
+) -> DataFrame:
+    """``log_source_id, byte_offset`` of the entries that ``PendingEntries`` finds due, without committing the run."""
+    return PendingEntries(spark, raw, log_sources, scans, path, parts=parts).rows

@@ -59,7 +59,7 @@ def changed(spark, raw, sources, scans):
     df = lambda rows, schema: spark.createDataFrame(rows, schema)
     found = incremental.entries_to_process(
         spark,
-        df(raw, "log_source_id bigint, byte_offset bigint, block string, _part string"),
+        df(raw, "log_source_id bigint, byte_offset bigint, raw_message string, block string, _part string"),
         df(sources, "id bigint, last_processed_position bigint, file_hash string"),
         df(scans, "scan_id bigint, log_source_id bigint, scanned_at timestamp_ntz, status string, file_size bigint, file_hash string"),
         scratch(spark, "test"),
@@ -70,7 +70,8 @@ def changed(spark, raw, sources, scans):
 
 def test_changed_entries(spark):
     at = lambda d: datetime(2026, 1, d)
-    raw = [(s, o, "x", "y") for s in range(1, 8) for o in (0, 10, 20)] + [(1, 20, "x", "y"), (None, 1, "", ""), (1, None, "", "")]
+    raw = [(s, o, "m", "x", "y") for s in range(1, 8) for o in (0, 10, 20)]
+    raw += [(1, 20, "m", "x", "y"), (2, 20, None, "x", "y"), (None, 1, "", "", ""), (1, None, "", "", "")]
     sources = [(1, 15, "AB"), (2, 15, "md5:ab"), (3, 15, "zz"), (4, 50, None), (5, None, None), (6, 15, None)]
     scans = [
         (1, 1, at(1), "complete", 30, "sha:ab"),  # same hash, spelled otherwise
@@ -115,6 +116,70 @@ def test_incremental_table(spark, tmp_path):
     assert read() == [(1, 2)]  # partitions that vanished are gone
 
 
+def pending(spark, path, rows, position, hash_=None):
+    df = lambda rows, schema: spark.createDataFrame(rows, schema)
+    return incremental.PendingEntries(
+        spark,
+        df([(1, o, t) for o, t in rows], "log_source_id bigint, byte_offset bigint, raw_message string"),
+        df([(1, position, "ab")], "id bigint, last_processed_position bigint, file_hash string"),
+        df([(1, 1, datetime(2026, 1, 1), "complete", 99, hash_)], "scan_id bigint, log_source_id bigint, scanned_at timestamp_ntz, status string, file_size bigint, file_hash string"),
+        path,
+        parts=4,
+    )
+
+
+def test_runs_in_a_row(spark):
+    path = scratch(spark, "rows")
+    offsets = lambda p: sorted(r["byte_offset"] for r in p.rows.collect())
+    rows = [(0, "a"), (10, "b")]
+    first = pending(spark, path, rows, 0)
+    assert offsets(first) == [0, 10]
+    assert offsets(pending(spark, path, rows, 0)) == [0, 10]  # not committed: the same again
+    first.commit()
+    assert offsets(pending(spark, path, rows, 20)) == []  # the position went on, nothing is new
+    pending(spark, path, rows, 20).commit()
+    more = [*rows, (20, "c"), (30, None)]
+    grown = pending(spark, path, more, 20)
+    assert offsets(grown) == [20, 30]
+    assert offsets(pending(spark, path, list(reversed(more)), 20)) == [20, 30]  # failed before the commit
+    grown.commit()
+    settled = pending(spark, path, more, 40)
+    assert offsets(settled) == []
+    settled.commit()
+    edited = [(0, "a"), (10, "B"), *more[2:]]
+    found = pending(spark, path, edited, 40)
+    assert offsets(found) == [10]  # changed in place
+    assert offsets(pending(spark, path, edited, 40)) == [10]
+    found.commit()
+    quiet = pending(spark, path, edited, 40)
+    assert offsets(quiet) == []
+    quiet.commit()
+    assert offsets(pending(spark, path, edited, 40, "cd")) == [0, 10, 20, 30]  # another file under the name
+    assert offsets(pending(spark, path, [], 40)) == []  # every partition vanished
+
+
+def test_partition_that_comes_out_empty(spark, tmp_path):
+    t = incremental.IncrementalTable(spark, str(tmp_path / "t"), ["k"], 1)
+    keep = lambda d: d.where("v > 0").select("k", "_part")
+    make = lambda rows: spark.createDataFrame(rows, "k bigint, v bigint")
+    t.run(make([(1, 1), (2, 1)]), keep)
+    assert sorted(r["k"] for r in t.read("k bigint, _part int").collect()) == [1, 2]
+    assert t.run(make([(1, 0), (2, 0)]), keep) == [0]
+    assert t.read("k bigint, _part int").count() == 0
+
+
+def test_failure_between_data_and_state(spark, tmp_path):
+    t = incremental.IncrementalTable(spark, str(tmp_path / "t"), ["k"], 2)
+    copy = lambda d: d.select("k", "v", "_part")
+    make = lambda rows: spark.createDataFrame(rows, "k bigint, v bigint")
+    read = lambda: sorted((r["k"], r["v"]) for r in t.read("k bigint, v bigint, _part int").collect())
+    t.run(make([(i, 0) for i in range(9)]), copy)
+    t.prepare(make([(i, 1) for i in range(9)]), copy)  # and then the run is lost
+    assert set(read()) <= {(i, 0) for i in range(9)}  # nothing of a run that isn't committed
+    t.run(make([(i, 1) for i in range(9)]), copy)
+    assert read() == [(i, 1) for i in range(9)]
+
+
 # 5 -------------------------------------------------------------------------------------------------------------------
 
 ROWS = [
