@@ -39,7 +39,7 @@ _ZONE = rf"(?: ?(?:[+-]\d\d:?\d\d|Z\b)| (?!(?:{_WORDS})\b)[A-Z]{{3,5}}(?=[\]\)|
 PLAIN = re.compile(
     rf"(?P<t>\d{{4}}[-/]\d\d[-/]\d\d[T ]{_CLOCK}{_ZONE}|\d\d/\d\d/\d{{4}},? {_CLOCK}(?: ?[AP]M\b)?"
     rf"|\d\d\.\d\d\.\d{{4}} {_CLOCK}{_ZONE}|\d\d/{_MON}/\d{{4}}:{_CLOCK}(?: [+-]\d{{4}})?"
-    rf"|(?:[A-Z][a-z]{{2}}, )?\d\d? {_MON} \d{{4}} {_CLOCK}{_ZONE}|{_MON} [ \d]\d {_CLOCK}|\d{{8}}T\d{{6}}Z?)"
+    rf"|(?:[A-Z][a-z]{{2}}, )?\d\d?[ -]{_MON}[ -]\d{{4}} {_CLOCK}{_ZONE}|{_MON} [ \d]\d {_CLOCK}|\d{{8}}T\d{{6}}Z?)"
     rf"|(?P<g>[TDIWEF](?=\d{{4}} \d\d:\d\d:\d\d))|(?P<m>(?<=^.)\d{{4}} \d\d:\d\d:\d\d(?:\.\d+)?)"
     rf"|(?P<e>(?:\d{{19}}|\d{{16}}|\d{{13}}|\d{{10}})(?:\.\d+)?(?![\w.:-]))"
     rf"|(?P<l>(?:{_WORDS})\b(?![.\w-]))|(?P<i>[TDIWEF](?![\w.-]))|(?P<n>\d+(?![\w.-]))"
@@ -113,6 +113,28 @@ RULES = [
     rule("Line", "When~ts Pad | Pad Level~lv Pad | Pad Part~co Pad | Pad", 2),
     # 1763397029.354 F component: message
     rule("Line", "When~ts s Level~lv s Part~co : s", 1),
+    # any other line of such parts: when, level, thread and component in their usual orders, brackets and separators free
+    *(rule("Stamp", b) for b in ("When~ts", "[ When~ts ]", "( When~ts )")),
+    *(rule("Grade", b) for b in ("Level~lv", "[ Pad Level~lv Pad ]", "( Level~lv )", "< Level~lv >", "* Level~lv *")),
+    *(rule("Lane", b) for b in ("[ Words~th ]", "( Words~th )")),
+    *(rule("Origin", b) for b in ("Part~co", "[ Pad Part~co Pad ]", "Part~co [ Pid~pi ]", "Part~co : n~ln")),
+    *(rule("Gap", b) for b in ("s", "s - s", "Pad | Pad")),
+    *(rule("End", b) for b in ("s - s", ": s", "s : s", "Pad | Pad")),
+    rule("Line", "Stamp Gap Grade Gap Origin End", -1),
+    rule("Line", "Stamp Gap Grade Gap Lane Gap Origin End"),
+    rule("Line", "Stamp Gap Lane Gap Grade Gap Origin End"),
+    rule("Line", "Stamp Gap Lane Gap Origin Gap Grade End"),
+    rule("Line", "Stamp Gap Origin Gap Grade End", -1),
+    rule("Line", "Grade Gap Stamp Gap Origin End", -1),
+    rule("Line", "Grade Gap Stamp Gap Lane Gap Origin End"),
+    rule("Line", "Stamp Gap Grade Gap [ Pad Part~co Pad ] s", -3),
+    # when LEVEL 12345 --- [thread] component : message
+    rule("Line", "Stamp s Grade s n~pi s - - - s Lane s Part~co s : s", 1),
+    # when host component: LEVEL message
+    rule("Line", "Stamp s Host~ho s Part~co : s Grade s", -1),
+    rule("Line", "Stamp s Host~ho s Part~co : s Grade : s"),
+    # when [level] 12#34: message, for logs whose program names no component
+    rule("Line", "Stamp s Grade s n~pi # n : s", -1),
     # {"time": ..., "level": ..., "component": ..., "message": ...} in any order
     rule("Object", "{ Members }", 1),
     rule("Members", "Member"),
@@ -168,7 +190,10 @@ class Tokens:
 
 @dataclass
 class Grammar:
+    """``needed``: roles that a header must have."""
+
     rules: list[Rule] = field(default_factory=lambda: RULES)
+    needed: tuple[str, ...] = NEEDED
 
     def __post_init__(self) -> None:
         self.by_head: dict[str, list[int]] = {}
@@ -229,7 +254,7 @@ class Grammar:
                             self._add(chart, work, (pr, pdot + 1, porigin), pscore + score, (*pback, (item, at)))
                     if head == "Entry" and origin == 0 and (not whole or symbol is None):
                         spans = self._fields(charts, item, at)
-                        if all(k in spans for k in NEEDED) and (best is None or (score, at) > best[:2]):
+                        if all(k in spans for k in self.needed) and (best is None or (score, at) > best[:2]):
                             best = (score, at, spans)
                 elif body[dot] in self.by_head:
                     for i in self.by_head[body[dot]]:
@@ -336,8 +361,8 @@ class HeaderParser:
             return None
         _, length, spans = found
         got = {r: text[places[a][0] : places[b - 1][1]] for r, (a, b) in spans.items()}
-        level = LEVELS.get(_plain(got["lv"]).strip().upper())
-        if level is None:
+        level = LEVELS.get(_plain(got.get("lv", "")).strip().upper())
+        if level is None and "lv" in self.grammar.needed:
             return None
         if kind == "line":
             message = text[places[length - 1][1] :]
@@ -346,9 +371,9 @@ class HeaderParser:
         tail = text[places[length - 1][1] :] if whole else ""
         unparsed = [(len(text) - len(tail), len(text))] if tail.strip() else []
         return {
-            "ts": _plain(got["ts"]),
+            "ts": _plain(got["ts"]) if "ts" in got else None,
             "level": level,
-            "component": _plain(got["co"]).strip(),
+            "component": _plain(got["co"]).strip() if "co" in got else None,
             "message": message,
             "unparsed": unparsed,
         }

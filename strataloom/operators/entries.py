@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from strataloom.functions.grammar import NEEDED, Grammar, HeaderParser
 from strataloom.session import cut, ship, small
 
 _PIECES = (
@@ -17,14 +18,12 @@ _PIECES = (
 )
 
 
-def _pieces(with_text: bool):
+def _pieces(with_text: bool, needed: tuple[str, ...]):
     """Entries of one sorted partition. The first rows may continue an entry of the partition before, the last entry
     may go on in the next: these two are marked as seams."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from strataloom.functions.grammar import HeaderParser
-
-        parse = HeaderParser()
+        parse = HeaderParser(Grammar(needed=needed))
         names = ["source", "first", "last", "head", "seam", "n_rows", "ts", "level", "component", "message", "unparsed"]
         kinds = [pa.int64()] * 3 + [pa.bool_()] * 2 + [pa.int64()] + [pa.string()] * 4
         kinds.append(pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
@@ -80,7 +79,7 @@ def _pieces(with_text: bool):
 
 
 def parse_entries(
-    raw: DataFrame, source: str, offset: str, text: str, row_id: str, with_text: bool = True
+    raw: DataFrame, source: str, offset: str, text: str, row_id: str, with_text: bool = True, needed: tuple[str, ...] = NEEDED
 ) -> DataFrame:
     """One row per log entry: ``log_source_id, byte_offset, last_byte_offset, n_rows, ts, log_level, component`` and,
     with ``with_text``, ``message``; ``unparsed`` holds the spans that no grammar rule covers.
@@ -88,7 +87,8 @@ def parse_entries(
     Rows are taken in order of (source, offset), of repeated ones that with a text and the least id. A row without a
     header continues the entry before it, also a null or empty one; rows before a source's first header belong to no
     entry; rows without source or offset are left out. Sources of any size are spread over tasks by offset; only the
-    first rows and the last entry of a task meet again to be joined. Columns of other names are not read.
+    first rows and the last entry of a task meet again to be joined. Columns of other names are not read. ``needed`` are
+    the fields a header must have: without ``co``, lines of programs that name no component are headers too.
     """
     ship(raw.sparkSession)
     slim = (
@@ -102,7 +102,7 @@ def parse_entries(
         .repartitionByRange("source", "offset")
         .sortWithinPartitions("source", "offset", F.col("text").isNull(), "row_id")
     )
-    pieces = slim.select("source", "offset", "text").mapInArrow(_pieces(with_text), _PIECES)
+    pieces = slim.select("source", "offset", "text").mapInArrow(_pieces(with_text, needed), _PIECES)
     # whole entries stay apart; the seams, two per task, meet by source
     place = F.when(~F.col("seam"), F.col("first"))
     w = W.partitionBy("source", "seam", "place").orderBy("first")

@@ -7,7 +7,7 @@ from zoneinfo import ZoneInfo
 import pytest
 from pyspark.sql import functions as F
 
-from strataloom.functions.grammar import LEVELS, HeaderParser
+from strataloom.functions.grammar import LEVELS, Grammar, HeaderParser
 from strataloom.operators import balanced, clock, entries, incremental
 from strataloom.session import scratch
 
@@ -210,9 +210,45 @@ def test_headers(text, level, component, message):
     assert (got["level"], got["component"], got["message"]) == (level, component, message)
 
 
+OTHER_ROWS = [
+    ("2025-12-25 13:45:18,617 INFO com.x - hello", "INFO", "com.x", "hello"),
+    ("2025-12-25 13:45:18,617 [main] INFO com.x.Y - hello", "INFO", "com.x.Y", "hello"),
+    ("2025-12-25 13:45:18.617 DEBUG [http-nio-8080-exec-1] com.x.Y: hello", "DEBUG", "com.x.Y", "hello"),
+    ("2025-12-25 13:45:18,617 - mod.name - WARNING - a - b", "WARN", "mod.name", "a - b"),
+    ("2025-12-25 13:45:18.617  INFO 12345 --- [           main] c.e.Demo          : hello", "INFO", "c.e.Demo", "hello"),
+    ("25-Dec-2025 13:45:18.617 INFO [main] org.x.X - hi", "INFO", "org.x.X", "hi"),
+    ("[ERROR] 2026-01-01 10:00:00 [main] com.x - m", "ERROR", "com.x", "m"),
+    ("2026-01-15 08:00:05.005 *ERROR* [pool-thread-5] com.app.Service - Operation completed in 35ms for request-5", "ERROR", "com.app.Service", "Operation completed in 35ms for request-5"),
+    ("2026-01-15 08:00:20.020 *WARN* [scheduler-0] com.app.Retry - Retry attempt 2 for task-20", "WARN", "com.app.Retry", "Retry attempt 2 for task-20"),
+    ("2026-01-15T08:00:05Z ERROR [worker 3] com.app: x", "ERROR", "com.app", "x"),
+    ("2025-12-25 13:45:18,617 [com.x] INFO: hello", "INFO", "com.x", "hello"),
+    ("Jan 21 17:10:13 node-x cron: ERROR: m", "ERROR", "cron", "m"),
+    ("2025-12-25 13:45:18 | INFO | mod.fn:42 - hello", "INFO", "mod.fn", "hello"),
+    ("2025-12-25 13:45:18,617 INFO com.x - hello\nsecond", "INFO", "com.x", "hello\nsecond"),
+]
+
+
+@pytest.mark.parametrize(("text", "level", "component", "message"), OTHER_ROWS)
+def test_headers_of_parts(text, level, component, message):
+    got = HeaderParser()(text)
+    assert (got["level"], got["component"], got["message"]) == (level, component, message)
+
+
+def test_headers_without_component():
+    text = "2026/01/15 08:00:00 [error] 1234#5678: *90 connect() failed"
+    got = HeaderParser(Grammar(needed=("ts", "lv")))(text)
+    assert (got["ts"], got["level"], got["component"], got["message"]) == ("2026/01/15 08:00:00", "ERROR", None, "*90 connect() failed")
+    assert HeaderParser()(text) is None
+
+
+def test_message_length_is_kept():
+    long = "x" * 300_000
+    assert HeaderParser()("2025-12-25 13:45:18,617 INFO com.x - " + long)["message"] == long
+
+
 @pytest.mark.parametrize(
     "text",
-    [None, "", "\tat a.B(C.java:1)", "  last ERROR at 2026-02-16 06:12:44 in x", "Caused by: x", "---", "{", '{"level": "INFO"}', "x=1 y=2", "ERROR only"],
+    [None, "", "2025-12-25 13:45:18,617 ERROR in x", "13:00 INFO x - m", "INFO x - m", "\tat a.B(C.java:1)", "  last ERROR at 2026-02-16 06:12:44 in x", "Caused by: x", "---", "{", '{"level": "INFO"}', "x=1 y=2", "ERROR only"],
 )
 def test_no_header(text):
     assert HeaderParser()(text) is None
