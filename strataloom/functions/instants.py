@@ -92,7 +92,7 @@ _TIME = r"(\d{1,2}):(\d\d)(?::(\d\d)(?:[.,](\d+))?)?"
 _ZONE = r"\s*(Z|z|[+-]\d\d:?\d\d|[A-Za-z]{2,5})?(?:\[.*)?$"
 
 #: Layouts of a timestamp text after padding is gone, each with the places of year, month, day, hour,
-#: minute, second, fraction and zone (or AM/PM) among its groups. The likeliest come first; no two fit one text.
+#: minute, second, fraction and zone (or AM/PM) among its groups. The likeliest come first; a text has one of them.
 LAYOUTS = {
     "ymd": (r"^(\d{4})[-/](\d{1,2})[-/](\d{1,2})[T ]" + _TIME + _ZONE, "$1|$2|$3|$4|$5|$6|$7|$8"),
     "epoch": (r"^(\d{9,19})(?:\.(\d+))?$", "$1||||||$2|"),
@@ -105,13 +105,19 @@ LAYOUTS = {
 }
 
 
+#: Layouts of readings that custom is against.
+UNUSUAL = ("dotted month first", "day first with AM/PM", "other year")
+
+
 def with_readings(df: DataFrame, text: str, received_us: str, zone: str, abbreviations: str) -> DataFrame:
     """``df`` with ``readings``, all valid readings of ``text`` as ``array<struct<layout, us, overlap>>``.
 
     Blanks, quotes and brackets around the text are ignored. ``overlap`` marks a local time that occurs twice in the
-    zone; the earlier instant is given. A slashed date without AM/PM that is valid day first and month first has two
-    readings. A yearless text takes the year that puts it nearest to ``received_us`` and has no reading without it. The
-    array is empty where the text gives no instant. Each row costs one regular expression per layout tried and one more.
+    zone; the earlier instant is given. The reading that custom favours comes first: slashed dates month first, dotted
+    dates day first, and the other order where it is a date too; a yearless text in the year that puts it nearest to
+    ``received_us``, then in the two beside; it has no reading without that. Readings which custom is against carry a
+    layout of ``UNUSUAL``; of a slashed date without AM/PM none is. Readings of the same instant count once. The array is
+    empty where the text gives no instant. Each row costs one regular expression per layout tried and one more.
     """
     kind = F.lit(None).cast("string")
     for name, (pattern, _) in reversed(LAYOUTS.items()):
@@ -132,17 +138,6 @@ def with_readings(df: DataFrame, text: str, received_us: str, zone: str, abbrevi
     clock = (hour, mi, s, frac)
     dated = k.isin("ymd", "slashed", "clf", "dotted", "rfc", "compact")
     received = F.timestamp_micros(got)
-    years = {
-        f"_y{i + 1}": F.when(
-            k == "yearless", to_utc(_local_us((F.year(received) + i).cast("string"), month, d, *clock))
-        )
-        for i in (-1, 0, 1)
-    }
-    near = F.array_min(
-        F.array_compact(
-            F.array(*(F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col(c) - got), F.col(c).alias("us"))) for c in ("_y0", "_y1", "_y2")))
-        )
-    )["us"]
     number = y.try_cast("decimal(20,0)").cast("bigint")
     epoch = F.when(
         (frac != "") & (epoch_unit(number) == "s"),
@@ -158,13 +153,12 @@ def with_readings(df: DataFrame, text: str, received_us: str, zone: str, abbrevi
     staged = bind(
         staged,
         _local=F.when(dated, _local_us(y, month, d, *clock)),
-        _swapped=F.when((k == "slashed") & (z == ""), _local_us(y, d, mo, *clock)),
+        _swapped=F.when(k.isin("slashed", "dotted") & (mo != d), _local_us(y, d, mo, *clock)),
         _epoch=F.when(k == "epoch", epoch),
         _zoned=zoned,
         _offset=offset,
-        **years,
+        _years=F.when(k == "yearless", F.array(*(_local_us((F.year(received) + i).cast("string"), month, d, *clock) for i in (-1, 0, 1)))),
     )
-    staged = bind(staged, _near=F.when(k == "yearless", near))
     zoned, offset = F.col("_zoned"), F.col("_offset")
 
     def placed(local: Column) -> Column:
@@ -180,15 +174,19 @@ def with_readings(df: DataFrame, text: str, received_us: str, zone: str, abbrevi
         return F.when(us.isNotNull(), F.struct(name.alias("layout"), us.alias("us"), overlap.alias("overlap")))
 
     local, swapped = F.col("_local"), F.col("_swapped")
-    wall = F.unix_micros(F.from_utc_timestamp(F.timestamp_micros(F.col("_near")), at))
-    later = F.unix_micros(F.from_utc_timestamp(F.timestamp_micros(F.col("_near") + hour_us), at))
+    custom = F.when(k == "slashed", "month first").otherwise(k)
+    other = F.when(k == "dotted", "dotted month first").when(z == "", "day first").otherwise("day first with AM/PM")
+    # the nearest year first; an empty zone stands for the source's
+    wall = F.filter("_years", lambda x: x.isNotNull())
+    by_year = F.array_sort(F.transform(wall, lambda x: F.struct(F.abs(to_utc(x) - got).alias("far"), to_utc(x).alias("us"), twice(x).alias("overlap"))))
     readings = (
         F.when(dated, F.array(
-            reading(F.when(k == "slashed", "month first").otherwise(k), placed(local), twice(local)),
-            reading(F.lit("day first"), placed(swapped), twice(swapped)),
+            reading(custom, placed(local), twice(local)),
+            reading(other, placed(swapped), twice(swapped)),
         ))
-        .when(k == "yearless", F.array(reading(k, F.col("_near"), wall == later)))
+        .when(k == "yearless", F.transform(by_year, lambda x, i: reading(
+            F.when(i == 0, "yearless").otherwise("other year"), F.when(x["far"].isNotNull(), x["us"]), x["overlap"])))
         .when(k == "epoch", F.array(reading(k, F.col("_epoch"), F.lit(False))))
     )
-    helpers = ["_s", "_k", "_p", "_local", "_swapped", "_y0", "_y1", "_y2", "_near", "_epoch", "_zoned", "_offset"]
+    helpers = ["_s", "_k", "_p", "_local", "_swapped", "_years", "_epoch", "_zoned", "_offset"]
     return staged.withColumn("readings", F.array_compact(F.coalesce(readings, F.array().cast("array<struct<layout:string,us:bigint,overlap:boolean>>")))).drop(*helpers)

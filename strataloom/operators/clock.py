@@ -3,7 +3,8 @@
 Method: expectation-maximisation over a mixture of layouts per source. Every value is read under each layout in which it
 is valid; a reading's likelihood is the weight of its layout in the source times that of its delay before reception.
 The posterior chooses among several readings; what stays undecided is marked. A value with a single reading needs no
-choice and only feeds the mixture.
+choice and only feeds the mixture. Custom (dotted dates day first, AM/PM month first, the nearest year) is a prior of
+99 to 1, which a source's own values can outweigh.
 """
 
 from __future__ import annotations
@@ -12,12 +13,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataloom.functions.instants import epoch_unit, epoch_us, ntz_us, with_readings, zones
+from strataloom.functions.instants import UNUSUAL, epoch_unit, epoch_us, ntz_us, with_readings, zones
 from strataloom.session import cut, ship, small
 
 #: Upper bounds, in seconds, of the classes of delay between an instant and its reception.
 DELAYS = (-86_400, -3_600, -60, 0, 60, 3_600, 86_400, 30 * 86_400)
 ROUNDS, SURE = 50, 0.9
+#: Prior of a reading that custom is against, to one that it favours.
+AGAINST_CUSTOM = 0.01
 
 
 def _delay_class(seconds: Column) -> Column:
@@ -43,7 +46,7 @@ def fit_mixture(signatures: pd.DataFrame) -> pd.DataFrame:
         posteriors = []
         w, d = dict.fromkeys(layouts, 0.5), dict.fromkeys(delays, 0.5)
         for o, n in zip(options, counts, strict=True):
-            p = [weight[a] * delay[b] for a, b in o]
+            p = [weight[a] * delay[b] * (AGAINST_CUSTOM if a in UNUSUAL else 1.0) for a, b in o]
             total = sum(p) or 1.0
             posteriors.append([x / total for x in p])
             for (a, b), x in zip(o, posteriors[-1], strict=True):
@@ -70,7 +73,8 @@ def text_instants(
 
     ``ambiguous`` marks a choice among layouts below a posterior of 0.9, and local times that the clock went through
     twice (of these the earlier is given). Null, empty and unreadable texts give no row. A null source, zone or
-    reception is allowed: the zone is then UTC, the delay unknown. Ties go to the reading listed first, month first.
+    reception is allowed: the zone is then UTC, the delay unknown. Ties go to the reading listed first, which is the one
+    that custom favours.
     """
     ship(spark)
     got = F.unix_micros(received) if dict(df.dtypes)[received] == "timestamp" else ntz_us(F.col(received))
@@ -100,6 +104,8 @@ def text_instants(
             "|",
         ),
     )
+    # written once: the texts are matched once only, for the fit and for the choice
+    signed = cut(signed.select("id", "source", "signature", "c"))
     one = signed.where(F.size("c") == 1).select(
         "id",
         F.col("c")[0]["us"].alias("utc_us"),
@@ -116,7 +122,7 @@ def text_instants(
     )
     many = (
         signed.where(F.size("c") > 1)
-        .join(fitted, F.col("source").eqNullSafe(F.col("em_source")) & (F.col("signature") == F.col("em_signature")))
+        .join(small(cut(fitted)), F.col("source").eqNullSafe(F.col("em_source")) & (F.col("signature") == F.col("em_signature")))
         .withColumn("x", F.expr("c[pick]"))
         .select(
             "id",

@@ -407,6 +407,21 @@ def test_mixture_chooses_by_source(spark):
     assert len(got) == len(rows)
 
 
+def test_mixture_goes_against_custom(spark):
+    """A source whose dotted dates are month first beyond doubt; one that leaves it open; one that follows custom."""
+    rows = [(i, 1, f"12.{13 + i}.2025 10:00:00", datetime(2025, 12, 13 + i, 10, 0, 5)) for i in range(18)]
+    rows += [(50, 1, "12.03.2025 10:00:00", datetime(2025, 12, 3, 10, 0, 5)), (51, 2, "12.03.2025 10:00:00", None)]
+    rows += [(60 + i, 3, f"{13 + i}.11.2025 10:00:00", datetime(2025, 11, 13 + i, 10, 0, 5)) for i in range(18)]
+    rows += [(90, 3, "12.03.2025 10:00:00", datetime(2025, 3, 12, 10, 0, 5)), (91, 3, "05.05.2025 10:00:00", datetime(2025, 5, 5, 10, 0, 5))]
+    df = spark.createDataFrame(rows, "id bigint, src bigint, logged string, got timestamp_ntz")
+    zones = spark.createDataFrame([], "log_source_id bigint, zone_name string")
+    got = {r["id"]: r for r in clock.text_instants(df, "id", "src", "logged", "got", zones, spark).collect()}
+    assert got[50]["layout"] == "dotted month first" and got[50]["utc_us"] == utc(2025, 12, 3, 10) and not got[50]["ambiguous"]
+    assert got[51]["layout"] == "dotted" and got[51]["utc_us"] == utc(2025, 3, 12, 10)
+    assert got[90]["layout"] == "dotted" and got[91]["posterior"] == 1.0
+    assert len(got) == len(rows)
+
+
 def test_numbers(spark):
     rows = [(1, None), (2, 0), (3, -1), (4, 1766933009), (5, 1766933009123), (6, 1766933009123456), (7, 1766933009123456789)]
     got = clock.number_instants(spark.createDataFrame(rows, "id bigint, n bigint"), "id", "n").collect()
