@@ -76,7 +76,17 @@ _TERMS = """w AS (SELECT id, file_group_id g, regexp_extract_all(lower(template)
  j AS (SELECT c.*, n_records, n_with_term, m FROM c JOIN d ON d.term = c.term AND d.g IS NOT DISTINCT FROM c.g
   JOIN z ON z.g IS NOT DISTINCT FROM c.g)"""
 
+_GRAMS = """w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') k FROM documents WHERE text IS NOT NULL)"""
+
 SQL = {
+    "p8_found": f"""WITH {_GRAMS}, d AS (SELECT doc_id, array_to_string(k[i:i + 11], ' ') g FROM (SELECT doc_id, k, unnest(range(1, len(k) - 10)) i FROM w)),
+ x AS (SELECT item_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') k FROM eval_items),
+ e AS (SELECT item_id, array_to_string(k[i:i + 11], ' ') g FROM (SELECT item_id, k, unnest(range(1, len(k) - 10)) i FROM x))
+ SELECT DISTINCT doc_id, item_id FROM d JOIN e USING (g)""",
+    "p10_found": f"""WITH {_GRAMS}, g AS (SELECT doc_id, len(k) n, i, row_number() OVER (PARTITION BY doc_id, array_to_string(k[i:i + 7], ' ') ORDER BY i) r
+   FROM (SELECT doc_id, k, unnest(range(1, len(k) - 6)) i FROM w WHERE len(k) >= 16)),
+ c AS (SELECT doc_id, n, unnest(range(i, i + 8)) p FROM g WHERE r > 1)
+ SELECT doc_id FROM c GROUP BY doc_id HAVING count(DISTINCT p) >= 0.25 * min(n)""",
     "p6_scores": f"""WITH {_TERMS} SELECT id AS pattern_id, g AS file_group_id, term, uses, n_records, n_with_term,
  round(uses * 2.2 / (uses + 1.2 * (0.25 + 0.75 * l / m)) * ln(1 + (n_records - n_with_term + 0.5) / (n_with_term + 0.5)), 6) AS score
  FROM j""",

@@ -2,7 +2,8 @@
 
 Method: weak supervision. Rules on repeated words, lines, sentences, paragraphs and short phrases vote repetitive, clean
 or abstain; expectation-maximisation over the vote patterns estimates how accurate each rule is, and every document gets
-the posterior probability of being repetitive.
+the posterior probability of being repetitive. Documents are selected by that posterior, not by any rule; the limit is the
+greatest at which no document of the share asked for is lost, found on the counts of the vote patterns of all documents.
 """
 
 from __future__ import annotations
@@ -123,13 +124,24 @@ def fit_votes(patterns: list[tuple[tuple[int, ...], int]]) -> dict[tuple[int, ..
     return {p: float(x) for (p, _), x in zip(patterns, post, strict=True)}
 
 
-def repetition(documents: DataFrame, key: str, text: str) -> DataFrame:
-    """``doc_id, n_words``, the six measures, ``votes`` and ``posterior`` of every document.
+def fit_limit(counts: list[tuple[tuple[int, ...], int, int]], posterior: dict[tuple[int, ...], float]) -> float:
+    """The greatest posterior limit that keeps every document of the share asked for; 0.5 where there is none.
+
+    ``counts``: vote pattern, documents, and how many of them have that share.
+    """
+    return min((posterior[p] for p, _, sought in counts if sought), default=0.5)
+
+
+def repetition(
+    documents: DataFrame, key: str, text: str, least_words: int = GRAM * 2, least_share: float = 0.25
+) -> DataFrame:
+    """``doc_id, n_words``, the six measures, ``votes``, ``posterior`` and ``selected`` of every document.
 
     ``word_share`` is the share of words that lie in 8 consecutive words which also start earlier in the document,
     overlap allowed. Null, empty and word-less texts have shares of 0 and only abstaining rules; equal texts get equal
-    values; a null key is kept. Texts of any length are measured whole. The rules' votes make at most 729 patterns, of
-    which the driver gets the counts.
+    values; a null key is kept. Texts of any length are measured whole. ``selected``: the posterior reaches the limit
+    that ``fit_limit`` finds for a ``word_share`` of ``least_share`` in ``least_words`` words. The rules' votes make at
+    most 729 patterns, of which the driver gets the counts.
     """
     slim = spread(documents.select(F.col(key).alias("doc_id"), F.col(text).alias("text")))
     kinds = ", ".join(["doc_id bigint", "n_words bigint", *(f"{m} double" for m in MEASURES)])
@@ -142,16 +154,21 @@ def repetition(documents: DataFrame, key: str, text: str) -> DataFrame:
         )
 
     voted = cut(measured.withColumn("votes", F.array(*(vote(r) for r in RULES))))
-    counts = [(tuple(r["votes"]), r["n"]) for r in voted.groupBy("votes").agg(F.count("*").alias("n")).collect()]
-    fitted = sorted(fit_votes(sorted(counts)).items())
+    sought = _sought(least_words, least_share)
+    grouped = voted.groupBy("votes").agg(F.count("*").alias("n"), F.count_if(sought).alias("s")).collect()  # <= 729 rows
+    counts = sorted((tuple(r["votes"]), r["n"], r["s"]) for r in grouped)
+    fitted = fit_votes([(p, n) for p, n, _ in counts])
+    limit = fit_limit(counts, fitted)
     table = documents.sparkSession.createDataFrame(
-        [(list(p), x) for p, x in fitted], "pattern array<int>, posterior double"
+        [(list(p), x, x >= limit) for p, x in sorted(fitted.items())], "pattern array<int>, posterior double, selected boolean"
     )
     return voted.join(F.broadcast(table), F.col("votes") == F.col("pattern"), "left").drop("pattern")  # <= 729 rows
 
 
-def repetitive(scored: DataFrame, least_words: int = 16, least_share: float = 0.25) -> DataFrame:
-    """Of the documents that some rule votes repetitive, those that the exact measure confirms."""
-    return scored.where(
-        F.exists("votes", lambda v: v == 1) & (F.col("n_words") >= least_words) & (F.col("word_share") >= least_share)
-    )
+def _sought(least_words: int, least_share: float):
+    return (F.col("n_words") >= least_words) & (F.col("word_share") >= least_share)
+
+
+def repetitive(scored: DataFrame, least_words: int = GRAM * 2, least_share: float = 0.25) -> DataFrame:
+    """Of the documents that the posterior selects, those that the exact measure confirms."""
+    return scored.where(F.col("selected") & _sought(least_words, least_share))

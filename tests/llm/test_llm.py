@@ -362,6 +362,25 @@ def test_repetition_equals_brute_force(spark):
     want = sorted(d for d, t in docs if brute_share(t)[0] >= 16 and brute_share(t)[1] >= 0.25)
     assert sorted(g["doc_id"] for g in repetition.repetitive(scored).collect()) == want
     assert repetition.repetition(df.limit(0), "doc_id", "text").count() == 0
+    # the posterior selects: nothing that is sought is lost
+    selected = {g["doc_id"] for g in scored.where("selected").collect()}
+    assert selected >= set(want)
+
+
+def test_without_posterior_nothing_is_found(spark, monkeypatch):
+    df = spark.createDataFrame([(1, "a b c d e f g h " * 9), (2, "some other words " + " ".join(map(str, range(40))))], "doc_id bigint, text string")
+    scored = repetition.repetition(df, "doc_id", "text")
+    assert [r["doc_id"] for r in scored.where("selected").collect()] == [1]
+    assert [r["doc_id"] for r in repetition.repetitive(scored).collect()] == [1]
+    monkeypatch.setattr(repetition, "fit_votes", lambda patterns: {})
+    monkeypatch.setattr(repetition, "fit_limit", lambda counts, posterior: 0.5)
+    assert repetition.repetitive(repetition.repetition(df, "doc_id", "text")).count() == 0
+
+
+def test_limit_keeps_what_is_sought():
+    post = {(1, 0): 0.9, (0, 1): 0.4, (0, 0): 0.2}
+    assert repetition.fit_limit([((1, 0), 5, 5), ((0, 1), 3, 1), ((0, 0), 9, 0)], post) == 0.4
+    assert repetition.fit_limit([((0, 0), 9, 0)], post) == 0.5
 
 
 def test_votes_are_fitted():
