@@ -1,12 +1,15 @@
 """Passages of evaluation items inside a corpus.
 
-Method: a BM25 inverted index of the items with block-max bounds in the manner of WAND. Every passage of every document
-is a query; bounds over all items, then over blocks of items, discard what can't reach an item's threshold; the rest is
-scored in full, and what passes is verified word by word.
+Method: a BM25 inverted index of the items, its postings cut into blocks that know their greatest impact, searched with
+block-max WAND. Terms are three words in a row, as single words say little of a passage. Every passage of every document is a
+query. Of its terms in ascending order of their greatest impact, those before the pivot, whose impacts together stay below
+the threshold, open no candidate; the others' blocks do. The bound of a candidate block is summed from the strongest term to
+the weakest and given up where what is left can't reach the threshold; blocks that reach it are scored in full, and what
+passes is verified word by word.
 
 A passage is 2n words long and starts every n words, so each run of n words lies in one. The threshold of an item is the
-least that any of its own runs of n words adds to the score. All weights are positive, so a passage that holds a run of
-the item reaches the threshold: nothing is lost by the search.
+least that the terms of any of its own runs of n words add to the score. All weights are positive, so a passage that holds
+a run of the item reaches the threshold: nothing is lost by the search.
 """
 
 from __future__ import annotations
@@ -19,33 +22,63 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataloom.llm.words import batch_words, gram_keys, portions, split_words
+from strataloom.llm.words import batch_words, gram_keys, mix, portions, split_words
 from strataloom.session import spread
 
-RUN, BLOCK = 12, 16
-#: Characters of items in one index; beyond that the items are cut into shards, each with a pass over the corpus.
-SHARD_CHARS = 64_000_000
+RUN, TERM, BLOCK = 12, 3, 16
+#: Bytes of one index about, which every Python worker holds; beyond that the items are cut into shards, each with a pass
+#: over the corpus. Bytes of an index per character of its items, at most about (measured, see the tests).
+INDEX_BYTES, BYTES_PER_CHAR = 128_000_000, 14
+#: Block entries that are looked at together.
+_ENTRIES = 2_000_000
 _SLACK = 1e-4
 
 
 @dataclass
 class ItemIndex:
-    """Impacts of each word in each item, divided by the item's threshold, so that the threshold is 1 for all.
+    """Impacts of each term in each item, divided by the item's threshold, so that the threshold is 1 for all.
 
-    ``rows`` are places in the postings (words in order of number); ``top`` the greatest impact of a word in any item,
-    ``block_top`` that within each block of items.
+    ``numbers`` are those of the words, ``terms`` the keys of the terms in order. ``items`` and ``impact`` are the
+    postings by term and item. A block entry stands for a term's postings in one block of items: ``keys`` (term times
+    blocks, plus block), ``block_top`` its greatest impact, ``first`` its first posting; ``rows`` are the first entries of
+    each term, ``top`` a term's greatest impact. ``text`` holds the words of all items in a row, ``run_keys`` and
+    ``run_at`` the keys of the runs in each item and their places.
     """
 
     numbers: dict[str, int]
     item_ids: np.ndarray
-    rows: np.ndarray
+    terms: np.ndarray
     items: np.ndarray
     impact: np.ndarray
-    top: np.ndarray
+    keys: np.ndarray
     block_top: np.ndarray
+    first: np.ndarray
+    rows: np.ndarray
+    top: np.ndarray
+    text: np.ndarray
     run_keys: np.ndarray
-    run_items: np.ndarray
-    run_words: np.ndarray
+    run_at: np.ndarray
+    blocks: int
+
+    @property
+    def nbytes(self) -> int:
+        """Bytes of the arrays, and about 120 of each word and its number."""
+        return sum(a.nbytes for a in vars(self).values() if isinstance(a, np.ndarray)) + 120 * len(self.numbers)
+
+    def coded(self, flat: list[str], starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the words of texts in a row, and of the terms that begin at them; what no item has gets the number
+        after the last."""
+        get, unknown = self.numbers.get, len(self.numbers)
+        words = np.fromiter((get(w, unknown) for w in flat), np.int64, len(flat))
+        terms = np.full(len(words), len(self.terms), np.int64)
+        known = np.concatenate([[0], np.cumsum(words == unknown)])
+        size = max(0, len(words) - TERM + 1)
+        text = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+        whole = np.flatnonzero((known[TERM:] == known[:size]) & (text[:size] == text[TERM - 1 :])) if size else np.zeros(0, np.int64)
+        keys = gram_keys(words[whole[:, None] + np.arange(TERM)].ravel(), TERM)[::TERM]
+        at = np.minimum(np.searchsorted(self.terms, keys), len(self.terms) - 1)
+        terms[whole] = np.where(self.terms[at] == keys, at, len(self.terms))
+        return words, terms
 
 
 def build_index(items: list[tuple[int, str]], n: int = RUN, k1: float = 1.2, b: float = 0.75) -> ItemIndex | None:
@@ -54,116 +87,134 @@ def build_index(items: list[tuple[int, str]], n: int = RUN, k1: float = 1.2, b:
     if not texts:
         return None
     numbers: dict[str, int] = {}
-    coded = [np.array([numbers.setdefault(x, len(numbers)) for x in w], np.int64) for _, w in texts]
-    length = np.array([len(c) for c in coded])
-    pairs = [np.unique(c, return_counts=True) for c in coded]
-    df = np.zeros(len(numbers), np.int64)
-    for words, _ in pairs:
-        df[words] += 1
+    coded = [np.array([numbers.setdefault(x, len(numbers)) for x in w], np.int32) for _, w in texts]
+    text_of = np.concatenate([[0], np.cumsum([len(c) for c in coded])])
+    term_keys = [gram_keys(c, TERM) for c in coded]
+    terms, flat = np.unique(np.concatenate(term_keys), return_inverse=True)
+    length = np.array([len(k) for k in term_keys])
+    numbered = np.split(flat.astype(np.int32), np.cumsum(length)[:-1])
+    pairs = [np.unique(c, return_counts=True) for c in numbered]
+    df = np.zeros(len(terms), np.int64)
+    for mine, _ in pairs:
+        df[mine] += 1
     idf = np.log(1 + (len(coded) - df + 0.5) / (df + 0.5))
-    word_of, item_of, weight = [], [], []
-    keys, key_items, key_words = [], [], []
-    for i, (c, (words, uses)) in enumerate(zip(coded, pairs, strict=True)):
-        w = idf[words] * uses * (k1 + 1) / (uses + k1 * (1 - b + b * length[i] / length.mean()))
-        each = w[np.searchsorted(words, c)]
-        sums = np.concatenate([[0], np.cumsum(each)])
-        word_of.append(words)
-        item_of.append(np.full(len(words), i))
-        weight.append(w / (sums[n:] - sums[:-n]).min())
-        keys.append(gram_keys(c, n))
-        key_items.append(np.full(len(c) - n + 1, i))
-        key_words.append(np.lib.stride_tricks.sliding_window_view(c, n))
-    word, item, impact = (np.concatenate(x) for x in (word_of, item_of, weight))
-    order = np.lexsort((item, word))
-    word, item, impact = word[order], item[order], impact[order].astype(np.float32)
-    v, blocks = len(numbers), -(-len(coded) // BLOCK)
-    rows = np.searchsorted(word, np.arange(v + 2))
-    block_top = np.zeros((v + 1, blocks), np.float32)  # the last row is for words of no item
-    np.maximum.at(block_top, (word, item // BLOCK), impact)
-    run_keys, run_items, run_words = np.concatenate(keys), np.concatenate(key_items), np.concatenate(key_words)
+    term_of, item_of, weight, keys, runs = [], [], [], [], []
+    for i, (c, t, (mine, uses)) in enumerate(zip(coded, numbered, pairs, strict=True)):
+        w = idf[mine] * uses * (k1 + 1) / (uses + k1 * (1 - b + b * length[i] / length.mean()))
+        sums = np.concatenate([[0], np.cumsum(w[np.searchsorted(mine, t)])])
+        span = n - TERM + 1
+        term_of.append(mine)
+        item_of.append(np.full(len(mine), i, np.int32))
+        weight.append((w / (sums[span:] - sums[:-span]).min()).astype(np.float32))
+        own, where = np.unique(gram_keys(c, n), return_index=True)
+        keys.append(_item_keys(own, i))
+        runs.append((where + text_of[i]).astype(np.int32))
+    term, item, impact = (np.concatenate(x) for x in (term_of, item_of, weight))
+    order = np.lexsort((item, term))
+    term, item, impact = term[order], item[order], impact[order]
+    v, blocks = len(terms), -(-len(coded) // BLOCK)
+    entry = term.astype(np.int64) * blocks + item // BLOCK
+    first = np.flatnonzero(np.diff(entry, prepend=-1))
+    block_top = np.maximum.reduceat(impact, first)
+    block_keys = entry[first]
+    rows = np.searchsorted(block_keys, np.arange(v + 2) * blocks).astype(np.int32)
+    top = np.zeros(v + 1, np.float32)  # the last one is for terms of no item
+    np.maximum.at(top, block_keys // blocks, block_top)
+    run_keys, run_at = np.concatenate(keys), np.concatenate(runs)
     by = np.argsort(run_keys, kind="stable")
     return ItemIndex(
-        numbers, np.array([i for i, _ in texts]), rows, item, impact, block_top.max(1), block_top,
-        run_keys[by], run_items[by], run_words[by],
+        numbers, np.array([i for i, _ in texts]), terms, item, impact, block_keys, block_top, np.append(first, len(item)).astype(np.int32),
+        rows, top, np.concatenate(coded), run_keys[by], run_at[by], blocks,
     )
 
 
-def _weights(index: ItemIndex, block: int) -> np.ndarray:
-    """Impacts of all words in the items of one block."""
-    v = len(index.top) - 1
-    out = np.zeros((v + 1, BLOCK), np.float32)
-    word = np.repeat(np.arange(v), np.diff(index.rows[: v + 1]))
-    mine = index.items // BLOCK == block
-    out[word[mine], index.items[mine] % BLOCK] = index.impact[mine]
-    return out
+def _item_keys(keys: np.ndarray, items: np.ndarray | int) -> np.ndarray:
+    """Keys of runs within items."""
+    return mix(keys ^ mix(np.asarray(items).astype(np.uint64) + np.uint64(1)))
+
 
+def _ranges(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which range, place) for all places of the ranges [lo, hi)."""
+    many = hi - lo
+    which = np.repeat(np.arange(len(lo)), many)
+    return which, np.repeat(lo - (np.cumsum(many) - many), many) + np.arange(many.sum())
 
-def retrieve(index: ItemIndex, ids: np.ndarray, starts: np.ndarray, n: int, cache: dict) -> tuple[np.ndarray, np.ndarray]:
+
+def retrieve(index: ItemIndex, terms: np.ndarray, starts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """(first word of a passage, item) for all passages that reach the item's threshold.
 
-    ``ids`` are word numbers of texts in a row, the index's size for words of no item.
+    ``terms`` are numbers of terms by the word that begins them, for texts in a row.
     """
     length = np.diff(starts)
     many = np.where(length >= n, np.maximum(1, -(-(length - n) // n)), 0)
-    text = np.repeat(np.arange(len(length)), many)
-    at = starts[text] + (np.arange(len(text)) - np.repeat(np.cumsum(many) - many, many)) * n
-    end = np.minimum(at + 2 * n, starts[text + 1])
+    text, step = _ranges(np.zeros(len(length), np.int64), many)
+    at = starts[text] + step * n
+    end = np.minimum(at + 2 * n, starts[text + 1]) - TERM + 1
     # bound over all items
-    sums = np.concatenate([[0], np.cumsum(index.top[ids], dtype=np.float64)])
+    sums = np.concatenate([[0], np.cumsum(index.top[terms], dtype=np.float64)])
     keep = np.flatnonzero(sums[end] - sums[at] >= 1 - _SLACK)
     at, end = at[keep], end[keep]
-    none = len(index.top) - 1
-    found_at, found_item = [], []
-    for lo in range(0, len(at), 4096):
-        a, e = at[lo : lo + 4096], end[lo : lo + 4096]
-        place = a[:, None] + np.arange(2 * n)
-        word = np.where(place < e[:, None], ids[np.minimum(place, len(ids) - 1)], none)
-        # bounds by block of items
-        bound = np.zeros((len(a), index.block_top.shape[1]), np.float32)
-        for j in range(2 * n):
-            bound += index.block_top[word[:, j]]
-        for block in np.flatnonzero((bound >= 1 - _SLACK).any(0)):
-            if block not in cache:
-                cache[block] = _weights(index, int(block))
-            hit = np.flatnonzero(bound[:, block] >= 1 - _SLACK)
-            score = np.zeros((len(hit), BLOCK), np.float32)
-            for j in range(2 * n):
-                score += cache[block][word[hit, j]]
-            p, i = np.nonzero(score >= 1 - _SLACK)
-            found_at.append(a[hit[p]])
-            found_item.append(block * BLOCK + i)
-    if not found_at:
+    out = []
+    for lo in range(0, len(at), 8192):
+        out += _wand(index, terms, at[lo : lo + 8192], end[lo : lo + 8192], 2 * n - TERM + 1)
+    if not out:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(found_at), np.concatenate(found_item)
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def _wand(index: ItemIndex, terms: np.ndarray, at: np.ndarray, end: np.ndarray, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    none = len(index.top) - 1
+    place = at[:, None] + np.arange(size)
+    term = np.where(place < end[:, None], terms[np.minimum(place, len(terms) - 1)], none)
+    # the strongest terms first
+    term = np.take_along_axis(term, np.argsort(-index.top[term], axis=1, kind="stable"), 1)
+    tops = index.top[term].astype(np.float64)
+    left = tops[:, ::-1].cumsum(1)[:, ::-1]  # of a term and all weaker ones
+    opens = (left >= 1 - _SLACK) & (tops > 0)
+    many = np.where(opens, index.rows[term + 1] - index.rows[term], 0).sum(1)
+    part = np.cumsum(many) // _ENTRIES
+    left = np.concatenate([left, np.zeros((len(left), 1))], 1)
+    for k in np.unique(part):
+        p, j = np.nonzero(opens & (part == k)[:, None])
+        w = term[p, j]
+        which, entry = _ranges(index.rows[w].astype(np.int64), index.rows[w + 1].astype(np.int64))
+        pair = np.unique(p[which] * index.blocks + index.keys[entry] % index.blocks)
+        p, block = pair // index.blocks, pair % index.blocks
+        bound = np.zeros(len(p))
+        for j in range(size):
+            key = term[p, j] * index.blocks + block
+            e = np.minimum(np.searchsorted(index.keys, key), len(index.keys) - 1)
+            bound += np.where(index.keys[e] == key, index.block_top[e], 0)
+            alive = bound + left[p, j + 1] >= 1 - _SLACK
+            if not alive.all():
+                p, block, bound = p[alive], block[alive], bound[alive]
+        if not len(p):
+            continue
+        key = term[p].astype(np.int64) * index.blocks + block[:, None]
+        e = np.minimum(np.searchsorted(index.keys, key.ravel()), len(index.keys) - 1)
+        hit = np.flatnonzero(index.keys[e] == key.ravel())
+        which, posting = _ranges(index.first[e[hit]].astype(np.int64), index.first[e[hit] + 1].astype(np.int64))
+        slot = (hit // size)[which] * BLOCK + index.items[posting] % BLOCK
+        score = np.bincount(slot, index.impact[posting], len(p) * BLOCK)
+        good = np.flatnonzero(score >= 1 - _SLACK)
+        yield at[p[good // BLOCK]], block[good // BLOCK] * BLOCK + good % BLOCK
 
 
 def verify(index: ItemIndex, ids: np.ndarray, starts: np.ndarray, at: np.ndarray, item: np.ndarray, n: int) -> np.ndarray:
     """(text, item) pairs of the retrieved passages that do share ``n`` consecutive words."""
     if not len(at):
         return np.zeros((0, 2), np.int64)
-    key = gram_keys(ids, n)
-    # passages without any run of any item go first; the sums count such runs up to a word
-    near = np.minimum(np.searchsorted(index.run_keys, key), len(index.run_keys) - 1)
-    sums = np.zeros(len(ids) + 2 * n, np.int64)
-    sums[1 : len(key) + 1] = np.cumsum(index.run_keys[near] == key)
-    sums[len(key) + 1 :] = sums[len(key)]
-    some = sums[at + n + 1] > sums[at]
-    at, item = at[some], item[some]
     text = np.searchsorted(starts, at, side="right") - 1
     places = at[:, None] + np.arange(n + 1)
-    ok = places + n <= starts[text + 1][:, None]
-    owner = np.repeat(np.arange(len(at)), ok.sum(1))
-    places = places[ok]
-    first = np.searchsorted(index.run_keys, key[places], side="left")
-    last = np.searchsorted(index.run_keys, key[places], side="right")
-    hits = last - first
-    at_run = np.repeat(first, hits) + (np.arange(hits.sum()) - np.repeat(np.cumsum(hits) - hits, hits))
-    owner, places = np.repeat(owner, hits), np.repeat(places, hits)
-    good = index.run_items[at_run] == item[owner]
-    owner, places, at_run = owner[good], places[good], at_run[good]
-    same = np.ones(len(places), bool)
-    for j in range(n):
-        same &= ids[places + j] == index.run_words[at_run, j]
+    inside = places + n <= starts[text + 1][:, None]
+    owner, places = np.nonzero(inside)[0], places[inside]
+    here, back = np.unique(places, return_inverse=True)
+    near = ids[here[:, None] + np.arange(n)]
+    key = _item_keys(gram_keys(near.ravel(), n)[::n][back], item[owner])
+    run = np.minimum(np.searchsorted(index.run_keys, key), len(index.run_keys) - 1)
+    hit = np.flatnonzero(index.run_keys[run] == key)
+    owner, back, run = owner[hit], back[hit], index.run_at[run[hit]].astype(np.int64)
+    same = (near[back] == index.text[run[:, None] + np.arange(n)]).all(1)
     owner = owner[same]
     return np.unique(np.stack([text[owner], item[owner]], 1), axis=0)
 
@@ -171,15 +222,12 @@ def verify(index: ItemIndex, ids: np.ndarray, starts: np.ndarray, at: np.ndarray
 def _search(shared, n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index: ItemIndex = shared.value
-        none = len(index.top) - 1
-        cache: dict[int, np.ndarray] = {}
         for batch in portions(batches, 1):
             flat, starts = batch_words(batch.column(1).to_pylist())
             if not flat:
                 continue
-            get = index.numbers.get
-            ids = np.fromiter((get(w, none) for w in flat), np.int64, len(flat))
-            pairs = verify(index, ids, starts, *retrieve(index, ids, starts, n, cache), n)
+            words, terms = index.coded(flat, starts)
+            pairs = verify(index, words, starts, *retrieve(index, terms, starts, n), n)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array(pairs[:, 0])), pa.array(index.item_ids[pairs[:, 1]], pa.int64())],
                 names=["doc_id", "item_id"],
@@ -190,13 +238,13 @@ def _search(shared, n: int):
 
 def leaks(
     documents: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str, n: int = RUN,
-    shard_chars: int = SHARD_CHARS,
+    index_bytes: int = INDEX_BYTES,
 ) -> DataFrame:
     """``doc_id, item_id``: documents that hold at least ``n`` consecutive words of an item; each pair once.
 
     Null or empty texts, and items shorter than ``n`` words, match nothing; repeated documents are found each, a
-    repeated item id counts with each of its texts. Only items reach the driver, ``shard_chars`` characters at a time,
-    the size of one index.
+    repeated item id counts with each of its texts. Only items reach the driver, as many at a time as make an index of
+    about ``index_bytes``, the size of what is broadcast.
     """
     spark = documents.sparkSession
     corpus = spread(
@@ -206,7 +254,7 @@ def leaks(
         "id is not null and t is not null"
     )
     chars = asked.agg(F.coalesce(F.sum(F.length("t")), F.lit(0))).first()[0]
-    shards = max(1, -(-2 * chars // shard_chars)) if chars > shard_chars else 1
+    shards = max(1, -(-chars * BYTES_PER_CHAR // index_bytes))
     out = None
     for k in range(shards):
         mine = asked if shards == 1 else asked.where(F.pmod(F.xxhash64("id", "t"), F.lit(shards)) == k)

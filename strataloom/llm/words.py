@@ -51,8 +51,8 @@ def codes(flat: list[str]) -> np.ndarray:
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    x = x.astype(np.uint64)
+def mix(x: np.ndarray | np.uint64) -> np.ndarray:
+    x = np.atleast_1d(x).astype(np.uint64)
     x = (x ^ (x >> np.uint64(30))) * _MIX[0]
     x = (x ^ (x >> np.uint64(27))) * _MIX[1]
     return x ^ (x >> np.uint64(31))

@@ -239,8 +239,8 @@ def brute_leaks(docs, items, n=12):
     return out
 
 
-@pytest.mark.parametrize("shard", [10**9, 900])
-def test_leaks_equal_brute_force(spark, shard):
+@pytest.mark.parametrize("size", [10**9, 9000])
+def test_leaks_equal_brute_force(spark, size):
     r = random.Random(13)
     vocab = [f"w{i}" for i in range(25)]
     items = [(i, " ".join(r.choices(vocab, k=r.choice([5, 12, 30, 60])))) for i in range(40)] + [(99, ""), (98, None), (1, "the " * 20)]
@@ -256,7 +256,7 @@ def test_leaks_equal_brute_force(spark, shard):
     docs += [(500, None), (501, ""), (502, "the " * 3000), (3, docs[7][1])]
     d = spark.createDataFrame(docs, "doc_id bigint, text string").withColumn("item_id", F.lit("clash"))
     q = spark.createDataFrame(items, "item_id bigint, text string")
-    got = leaks.leaks(d, "doc_id", "text", q, "item_id", "text", shard_chars=shard).collect()
+    got = leaks.leaks(d, "doc_id", "text", q, "item_id", "text", index_bytes=size).collect()
     assert len(got) == len(set(map(tuple, got)))
     assert set(map(tuple, got)) == brute_leaks(docs, items)
     assert leaks.leaks(d, "doc_id", "text", q.limit(0), "item_id", "text").count() == 0
@@ -267,11 +267,44 @@ def test_search_discards_passages():
     items = [(i, " ".join(f"i{i}w{k}" for k in range(40))) for i in range(40)]
     index = leaks.build_index(items)
     flat, starts = words.batch_words([items[3][1], "nothing of it " * 50, items[7][1][: len(items[7][1]) // 4]])
-    ids = np.array([index.numbers.get(w, len(index.top) - 1) for w in flat])
-    at, item = leaks.retrieve(index, ids, starts, 12, {})
+    at, item = leaks.retrieve(index, index.coded(flat, starts)[1], starts, 12)
     assert set(item.tolist()) == {3} and (at < 40).all()
 
 
+@pytest.mark.parametrize("entries", [50, 2_000_000])
+def test_search_loses_nothing(monkeypatch, entries):
+    """Every passage and item whose score, summed word by word, reaches the threshold is retrieved, and no other."""
+    monkeypatch.setattr(leaks, "_ENTRIES", entries)
+    r = random.Random(31)
+    vocab, often = [f"w{i}" for i in range(9)], [0.5**i for i in range(9)]
+    items = [(i, " ".join(r.choices(vocab, often, k=r.choice([12, 30, 60])))) for i in range(150)]
+    index = leaks.build_index(items)
+    texts = [" ".join(r.choices(vocab, often, k=90)) for _ in range(60)]
+    texts += [" ".join(r.choices(vocab, often, k=9) + items[i][1].split()[:14]) for i in range(0, 150, 7)]
+    flat, starts = words.batch_words(texts)
+    found = index.coded(flat, starts)[1]
+    weight = np.zeros((len(index.top), 150))
+    term = np.repeat(index.keys // index.blocks, np.diff(index.first))
+    weight[term, index.items] = index.impact
+    want = set()
+    for t in range(len(texts)):
+        n_words = starts[t + 1] - starts[t]
+        for k in range(max(1, -(-(n_words - 12) // 12))):
+            a = starts[t] + 12 * k
+            score = weight[found[a : min(a + 24, starts[t + 1]) - 2]].sum(0)
+            want |= {(int(a), int(i)) for i in np.flatnonzero(score >= 1 - 1e-4)}
+    at, item = leaks.retrieve(index, found, starts, 12)
+    got = list(zip(at.tolist(), item.tolist()))
+    assert len(got) == len(set(got)) and set(got) == want and want
+
+
+def test_index_is_as_small_as_stated():
+    r = random.Random(37)
+    vocab = ["".join(r.choices("abcdefghij", k=r.choice([2, 4, 7, 9]))) for _ in range(30_000)]
+    items = [(i, " ".join(r.choices(vocab, k=80))) for i in range(4000)]
+    assert leaks.build_index(items).nbytes <= leaks.BYTES_PER_CHAR * sum(len(t) for _, t in items)
+
+
 # 9 -------------------------------------------------------------------------------------------------------------------
 
 
