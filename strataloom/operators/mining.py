@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from strataloom.functions.bind import bind
 from strataloom.functions.stamps import extract_timestamp
 from strataloom.functions.tokens import PINNED, WILDCARD, entry_tokens, mask, render, variables
-from strataloom.session import ship, spread
+from strataloom.session import cut, ship, small, spread
 
 #: Fixed values of the fold: similarity to join a template, similarity that ends the search; templates of a leaf looked at in
 #: parity with the reference.
@@ -132,11 +132,46 @@ class PrefixTree:
         return len(self.templates) - 1
 
 
-def fold_templates(vectors: DataFrame, threshold: float = THRESHOLD, known: DataFrame | None = None) -> DataFrame:
+#: Distinct vectors that one task folds about.
+VECTORS_PER_FOLD = 50_000
+
+
+def fold_units(vectors: DataFrame, most: int = VECTORS_PER_FOLD, rounds: int = 3) -> DataFrame:
+    """``vectors`` (``group, masked``, ...) with ``size`` and ``unit``: vectors of different units never meet in the tree.
+
+    Where all vectors at a node of the tree have a wildcard next, or none has, nothing falls back, and the next tokens lead
+    to subtrees that know nothing of each other. So a group and token count is cut by its leading tokens up to the first
+    position at which only some have a wildcard, and what comes out is cut again in the same way, as long as more than
+    ``most`` vectors are together. Units are hashed into as many parts as ``most`` vectors a part ask for; several units in
+    one part don't disturb each other.
+    """
+    df = cut(vectors.withColumn("size", F.size("masked")).withColumn("unit", F.lit(0).cast("bigint")).withColumn("parts", F.lit(1).cast("bigint")))
+    key = ["group", "size", "unit"]
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in key]
+    for _ in range(rounds):
+        wild = [F.get("masked", F.lit(i)) == WILDCARD for i in range(PINNED)]
+        mixed = F.array(*(F.max(w) != F.min(w) for w in wild))
+        counted = df.groupBy(*(F.col(c).alias(f"_{c}") for c in key)).agg(mixed.alias("_mixed"), F.count("*").alias("_n"))
+        large = cut(counted.where(F.col("_n") > most).withColumn("_lead", F.coalesce(F.nullif(F.array_position("_mixed", True), F.lit(0)) - 1, F.lit(PINNED))))
+        if large.isEmpty():
+            break
+        # the parts of a group are those that its first round asks for
+        df = cut(
+            df.join(small(large), same, "left")
+            .withColumn("unit", F.when(F.col("_n").isNotNull(), F.xxhash64("unit", F.slice("masked", 1, F.col("_lead").cast("int")))).otherwise(F.col("unit")))
+            .withColumn("parts", F.greatest("parts", F.coalesce(F.ceil(F.col("_n") / most), F.lit(1))))
+            .drop("_mixed", "_n", "_lead", *(f"_{c}" for c in key))
+        )
+    return df.withColumn("unit", F.pmod("unit", "parts")).drop("parts")
+
+
+def fold_templates(
+    vectors: DataFrame, threshold: float = THRESHOLD, known: DataFrame | None = None, most: int = VECTORS_PER_FOLD
+) -> DataFrame:
     """``group, masked, template`` by a fold over the distinct vectors in order of first appearance.
 
-    The tree branches first by token count, so every (group, token count) is folded apart. ``known`` (``group,
-    template`` as token arrays) seeds the trees.
+    The tree branches first by token count, so every (group, token count) is folded apart, and those of more than
+    ``most`` vectors in the parts of ``fold_units``. ``known`` (``group, template`` as token arrays) seeds the trees.
     """
     if not 0 <= threshold <= 1:
         raise ValueError("threshold must be between 0 and 1")
@@ -167,8 +202,8 @@ def fold_templates(vectors: DataFrame, threshold: float = THRESHOLD, known: Data
             )
         )
     return (
-        slim.withColumn("size", F.size("masked"))
-        .groupBy("group", "size")
+        fold_units(slim, most)
+        .groupBy("group", "size", "unit")
         .applyInPandas(folded, "group string, masked array<string>, template array<string>")
     )
 

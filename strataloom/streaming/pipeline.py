@@ -21,7 +21,7 @@ from strataloom.sources.logs import read_lines, register
 from strataloom.store import Store
 
 
-def assign(vectors: DataFrame, known: DataFrame, threshold: float) -> DataFrame:
+def assign(vectors: DataFrame, known: DataFrame, threshold: float, most: int = mining.VECTORS_PER_FOLD) -> DataFrame:
     """``group, masked, pattern_id, tokens``: the vectors with their templates after all were taken in, and with null
     ``masked`` every template. Known templates keep their ids, however they evolve."""
 
@@ -51,8 +51,8 @@ def assign(vectors: DataFrame, known: DataFrame, threshold: float) -> DataFrame:
         "group", F.col("tokens").alias("masked"), F.lit(0).cast("bigint").alias("n"), F.lit("").alias("first_source"),
         F.lit(0).cast("bigint").alias("first_offset"), "pattern_id",
     )
-    both = fresh.unionByName(seeds).withColumn("size", F.size("masked"))
-    return both.groupBy("group", "size").applyInPandas(
+    both = mining.fold_units(fresh.unionByName(seeds), most)
+    return both.groupBy("group", "size", "unit").applyInPandas(
         folded, "group string, masked array<string>, pattern_id bigint, tokens array<string>"
     )
 

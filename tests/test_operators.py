@@ -128,6 +128,25 @@ def test_strict_equals_fold_up_to_28_tokens(spark, seed):
     assert show(mining.strict_templates(v)) == show(mining.fold_templates(v))
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_fold_in_parts_equals_fold_as_a_whole(spark, seed):
+    """Wildcards before and after literals, tokens that fall back on them, and templates that evolve."""
+    r = random.Random(100 + seed)
+    kinds = [["svc" + r.choice("abc"), r.choice(["x", "y", "<*>"]), r.choice("pqr")] for _ in range(8)]
+    vectors = []
+    for _ in range(900):
+        head = [*r.choice(kinds), *(r.choice(["k", "<*>", "m"]) if r.random() < 0.2 else "k" for _ in range(11))]
+        size = r.choice([6, 16, 30, 40])
+        vectors.append((head + [r.choice(["u", "v", "w", "<*>"]) for _ in range(40)])[:size])
+    df = masked_table(spark, vectors).withColumn("n", F.lit(1)).groupBy("group", "masked").agg(F.count("*").alias("n"), F.min(F.struct("source", "byte_offset")).alias("first"))
+    show = lambda t: sorted((tuple(x["masked"]), tuple(x["template"])) for x in t.collect())
+    whole = show(mining.fold_templates(df))
+    assert show(mining.fold_templates(df, most=25)) == whole
+    units = mining.fold_units(df, 25).groupBy("size").agg(F.count_distinct("unit").alias("u")).collect()
+    assert max(x["u"] for x in units) > 2
+    assert any("<*>" in t and "<*>" not in m for m, t in whole)
+
+
 def test_fold_of_distinct_equals_fold_of_all():
     vectors = random_vectors(3, 20, 45)
     a, b = mining.PrefixTree(), mining.PrefixTree()
