@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from strataloom.functions import tokens as tk
 from strataloom.functions.stamps import extract_timestamp
 from strataloom.operators import compare, correlate, dedup, mining, rank, search, structure, tags, tickets
-from strataloom.plans.corpora import DOCUMENT_LINES_SQL, EVENT_LINES_SQL, document_lines, event_lines
+from strataloom.plans.corpora import DOCUMENT_LINES_SQL, EVENT_LINES_SQL, EVOLVING_LINES_SQL, document_lines, event_lines, evolving_lines
 from strataloom.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,7 +57,18 @@ def tokenize_tokens(spark, sf_dir):
     return t.select("byte_offset", F.size("k").alias("n_tokens"), joined("k", "|").alias("tokens"))
 
 
-@query()
+# by pieces and running bracket depth, as brackets of any depth are no regular language
+_BY_DEPTH = """(list_reduce(list_transform(regexp_extract_all({0}, '[ \\t\\n\\f\\r]|[^ \\t\\n\\f\\r]+'), lambda p: {{'d': []::VARCHAR[], 'n': p, 'k': 0}}),
+ lambda a, x: CASE WHEN trim(x.n, ' ' || chr(9) || chr(10) || chr(12) || chr(13)) = '' AND a.k <= 0
+   THEN {{'d': CASE WHEN a.n = '' THEN a.d ELSE list_append(a.d, a.n) END, 'n': '', 'k': 0}}
+   ELSE {{'d': a.d, 'n': a.n || x.n, 'k': a.k + (2 * length(x.n) - length(replace(x.n, '(', '')) - length(replace(x.n, '[', ''))
+     - (2 * length(x.n) - length(replace(x.n, ')', '')) - length(replace(x.n, ']', ''))))::INT}} END,
+ {{'d': []::VARCHAR[], 'n': '', 'k': 0}}))"""
+_DOC_TOKENS = f"""r AS (SELECT "group", source, byte_offset, line, {_BY_DEPTH.format('line')} AS a FROM {DOCUMENT_LINES_SQL}),
+ l AS (SELECT "group", source, byte_offset, line, CASE WHEN a.n = '' THEN a.d ELSE list_append(a.d, a.n) END AS k FROM r)"""
+
+
+@query(f"WITH {_DOC_TOKENS} SELECT source, byte_offset, len(k) AS n_tokens, array_to_string(k, '|') AS tokens FROM l")
 def tokenize_documents(spark, sf_dir):
     t = document_lines(spark, sf_dir).select("source", "byte_offset", tk.tokenize(F.col("line")).alias("k"))
     return t.select("source", "byte_offset", F.size("k").alias("n_tokens"), joined("k", "|").alias("tokens"))
@@ -67,10 +78,10 @@ _SHAPE = """regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_r
  '[0-9]+', 'd', 'g'), ':+', ':', 'g'), '-+', '-', 'g'), '[*]+', '*', 'g')"""
 
 
-@query(f"WITH {_LINES} SELECT byte_offset, array_to_string(list_transform(k[1:3], lambda x: {_SHAPE.format('x')}), ' ') AS shapes FROM l")
+@query(f"WITH {_LINES} SELECT byte_offset, array_to_string(list_transform(k, lambda x: {_SHAPE.format('x')}), ' ') AS shapes FROM l")
 def token_shape(spark, sf_dir):
-    first = F.slice(tk.tokenize(F.col("line")), 1, 3)
-    return event_lines(spark, sf_dir).select("byte_offset", F.array_join(F.transform(first, tk.token_shape), " ").alias("shapes"))
+    k = tk.tokenize(F.col("line"))
+    return event_lines(spark, sf_dir).select("byte_offset", F.array_join(F.transform(k, tk.token_shape), " ").alias("shapes"))
 
 
 @query(f"WITH {_LINES} SELECT byte_offset, {_SHAPE.format('k[1]')} || '|' || {_SHAPE.format('k[2]')} AS fingerprint, false AS indented FROM l")
@@ -97,7 +108,21 @@ def _document_entries(spark, sf_dir) -> DataFrame:
     return structure.group_entries(marked, "source", "byte_offset", "next_offset", "line")
 
 
-@query()
+_DOC_SHAPES = f"""b AS (SELECT "group", source, byte_offset, line, regexp_matches(line, '^[ \\t]') AS i,
+  list_transform(list_filter(regexp_split_to_array(line, '[\\s\\x0b\\x{{85}}\\p{{Z}}]+'), lambda x: x <> '')[1:2], lambda x: string_split(
+   regexp_replace(regexp_replace(substr(x, 1, 20), '[A-Za-z]+', 'a', 'g'), '[0-9]+', 'd', 'g'), '')) AS c FROM {DOCUMENT_LINES_SQL}),
+ f AS (SELECT "group", source, byte_offset, line, i, array_to_string(list_transform(c, lambda s: array_to_string(list_transform(
+  list_filter(range(1, len(s) + 1), lambda j: j = 1 OR s[j] <> s[j - 1]), lambda j: s[j]), '')), '|') AS fp FROM b),
+ n AS (SELECT "group", fp, count(*) n FROM f WHERE NOT i AND fp <> '' GROUP BY ALL),
+ r AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY "group" ORDER BY n DESC, fp ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) b,
+  sum(n) OVER (PARTITION BY "group") t, row_number() OVER (PARTITION BY "group" ORDER BY n DESC, fp) q FROM n),
+ g AS (SELECT "group", fp FROM r WHERE q = 1 OR b < floor(t * 0.9)),
+ s AS (SELECT f.*, "group" NOT IN (SELECT "group" FROM g) OR (NOT i AND g.fp IS NOT NULL) AS start FROM f LEFT JOIN g USING ("group", fp)),
+ e AS (SELECT *, sum(start::INT) OVER (PARTITION BY source ORDER BY byte_offset) AS e FROM s)"""
+
+
+@query(f"""WITH {_DOC_SHAPES} SELECT source::VARCHAR AS source, min(byte_offset) AS byte_offset, max(byte_offset) + 1 AS next_offset,
+ arg_min(line, byte_offset) AS primary_line, count(*) - 1 AS n_more FROM e WHERE e > 0 GROUP BY source, e""")
 def group_entries(spark, sf_dir):
     """Entries of the documents, whose start shapes are learnt per language."""
     e = _document_entries(spark, sf_dir)
@@ -186,6 +211,35 @@ def mine_templates_drain(spark, sf_dir):
     return _mined(spark, sf_dir, drain=True)[2].select("group", "template", "occurrence_count")
 
 
+_STRICT = """(SELECT "group", size, pinned, i, CASE WHEN min(x) = max(x) THEN min(x) ELSE '<*>' END AS x FROM
+  (SELECT "group", size, pinned, unnest(t) AS x, unnest(range(1, size + 1)) AS i FROM v) GROUP BY ALL)"""
+_DOC_STRICT = f"""{_DOC_TOKENS}, v AS (SELECT "group", {_MASKED} AS t, len(k) AS size, array_to_string(({_MASKED})[1:14], ' ') AS pinned FROM l WHERE len(k) > 0),
+ c AS (SELECT "group", size, pinned, count(*) n FROM v GROUP BY ALL),
+ w AS (SELECT "group", size, pinned, string_agg(x, ' ' ORDER BY i) AS template FROM {_STRICT} GROUP BY ALL)
+ SELECT "group", template, sum(n)::BIGINT AS occurrence_count FROM c JOIN w USING ("group", size, pinned) GROUP BY ALL"""
+
+
+@query(f"WITH {_DOC_STRICT}")
+def mine_documents_strict(spark, sf_dir):
+    """As mine_documents_drain without any order; pinned tokens tell templates of one length apart."""
+    tokens = mining.tokenized(document_lines(spark, sf_dir), "group", "source", "byte_offset", "line")
+    vectors = mining.distinct_vectors(tokens)
+    return mining.mined_patterns(vectors, mining.strict_templates(vectors)).select("group", "template", "occurrence_count")
+
+
+@query(f"""WITH l AS {EVOLVING_LINES_SQL}, k AS (SELECT "group", family, {_TOKENS} AS k FROM l), m AS (SELECT "group", family, {_MASKED} AS t FROM k),
+ v AS (SELECT "group", family, len(t) AS size, unnest(t) AS x, unnest(range(1, len(t) + 1)) AS i FROM m),
+ w AS (SELECT "group", family, i, CASE WHEN min(x) = max(x) THEN min(x) ELSE '<*>' END AS x FROM v GROUP BY ALL),
+ a AS (SELECT "group", family, string_agg(x, ' ' ORDER BY i) AS template FROM w GROUP BY ALL),
+ c AS (SELECT "group", family, count(*) AS occurrence_count FROM m GROUP BY ALL)
+ SELECT "group", template, occurrence_count FROM a JOIN c USING ("group", family)""")
+def mine_templates_evolving(spark, sf_dir):
+    """Lines of 40 tokens of which the first 14 are the same: every leaf holds several templates, each of which evolves."""
+    tokens = mining.tokenized(evolving_lines(spark, sf_dir), "group", "source", "byte_offset", "line")
+    vectors = mining.distinct_vectors(tokens)
+    return mining.mined_patterns(vectors, mining.fold_templates(vectors)).select("group", "template", "occurrence_count")
+
+
 @query()
 def mine_documents_drain(spark, sf_dir):
     """Templates of the document lines per language, many of them beyond 28 tokens."""
@@ -247,9 +301,10 @@ def like_filter(spark, sf_dir):
     return rank.ranked(table(spark, sf_dir, "patterns"), table(spark, sf_dir, "file_groups"), None, ["timeout", "lost_", "<*>%at"])
 
 
-@query(_RANKED + " AND g.name IN (SELECT name FROM file_groups ORDER BY id LIMIT 3)")
+@query(_RANKED + " AND regexp_matches(g.name, '^[a-m]')")
 def ranked_filter_group(spark, sf_dir):
-    names = [r["name"] for r in table(spark, sf_dir, "file_groups").orderBy("id").limit(3).collect()]
+    """The groups whose names begin with a letter of the first half of the alphabet."""
+    names = [r["name"] for r in table(spark, sf_dir, "file_groups").where(F.col("name").rlike("^[a-m]")).collect()]  # file groups only
     return rank.ranked(table(spark, sf_dir, "patterns"), table(spark, sf_dir, "file_groups"), None, None, names)
 
 
@@ -455,16 +510,6 @@ def _plain_templates(spark, sf_dir) -> DataFrame:
     return dedup.template_tokens(table(spark, sf_dir, "patterns"))
 
 
-@query()
-def dedup_structural(spark, sf_dir):
-    return dedup.duplicate_classes(table(spark, sf_dir, "patterns"), "structural", 0.95)
-
-
-@query()
-def dedup_semantic(spark, sf_dir):
-    return dedup.duplicate_classes(table(spark, sf_dir, "patterns"), "semantic", 0.95)
-
-
 _BRACKETED = r"[(\[](?:[^()\[\]]|[(\[][^()\[\]]*[)\]])*[)\]]"
 _TOKEN_ROWS = f"""k AS (SELECT id, file_group_id g, regexp_extract_all(replace(template, chr(10), ' '),
  '(?:[^ \\t\\f\\r()\\[\\]]|{_BRACKETED})+') AS k FROM patterns)"""
@@ -498,6 +543,30 @@ def structural_pairs(spark, sf_dir):
     return dedup.structural_pairs(_plain_templates(spark, sf_dir), 0.8).withColumn("similarity", F.round("similarity", 6))
 
 
+# labels spread along pairs (e: a, b in both directions) until each is the least of its component
+_LABELS = """e AS (SELECT a, b FROM q UNION ALL SELECT b, a FROM q),
+ h(id, l) AS (SELECT DISTINCT a, a FROM e UNION SELECT e.b, h.l FROM h JOIN e ON e.a = h.id WHERE h.l < e.b),
+ m AS (SELECT id, min(l) AS component FROM h GROUP BY id)"""
+_CLASSES = """SELECT id, component, n_links FROM m JOIN (SELECT a AS id, count(*) AS n_links FROM e GROUP BY a) USING (id)"""
+_ALIKE = f"""{_TOKEN_ROWS}, q AS (SELECT x.id a, y.id b FROM k x JOIN k y ON x.g = y.g AND len(x.k) = len(y.k) AND x.id < y.id WHERE len(x.k) > 0
+  AND len(list_filter(range(1, len(x.k) + 1), lambda i: x.k[i] = y.k[i] OR x.k[i] = '<*>' OR y.k[i] = '<*>')) / len(x.k) >= 0.95)"""
+
+
+@query(f"WITH RECURSIVE {_ALIKE}, {_LABELS} {_CLASSES}")
+def dedup_structural(spark, sf_dir):
+    return dedup.duplicate_classes(table(spark, sf_dir, "patterns"), "structural", 0.95)
+
+
+def _semantic(threshold: float):
+    return lambda spark, sf_dir: dedup.duplicate_classes(table(spark, sf_dir, "patterns"), "semantic", threshold)
+
+
+# the command's default, which few templates of these tables reach, and a lower one
+for _name, _threshold in (("dedup_semantic", 0.95), ("dedup_semantic_loose", 0.8)):
+    QUERIES[_name] = _semantic(_threshold)
+    SQL[_name] = f"WITH RECURSIVE {_VECTORS}, q AS (SELECT a, b FROM p WHERE c >= {_threshold} - 1e-9), {_LABELS} {_CLASSES}"
+
+
 @query(f"""WITH {_TIMED}, e AS (SELECT t.id, t.pattern_id p, q.file_group_id g, s FROM t JOIN patterns q ON q.id = t.pattern_id WHERE s IS NOT NULL AND q.occurrence_count >= 10),
  c AS (SELECT p, count(*) c FROM e GROUP BY p), z AS (SELECT greatest(max(s) - min(s), 1) z FROM e),
  l AS (SELECT least(x.p, y.p) a, greatest(x.p, y.p) b, y.s - x.s lag FROM e x JOIN e y ON y.s >= x.s AND y.s <= x.s + 60 AND x.g <> y.g
@@ -534,7 +603,11 @@ def shared_value_pairs_all(spark, sf_dir):
     return correlate.shared_value_pairs(correlate.shared_values(index))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_INDEX_ALL}, q AS (SELECT x.p AS a, z.p AS b FROM x JOIN x z ON z.v = x.v AND x.p < z.p JOIN k ON k.v = x.v GROUP BY ALL HAVING count(*) >= 3),
+ {_LABELS}, o AS (SELECT component, v FROM x JOIN k USING (v) JOIN m ON m.id = x.p GROUP BY component, v HAVING count(*) >= 2),
+ s AS (SELECT component, v, row_number() OVER (PARTITION BY component ORDER BY v) AS r FROM o), w AS (SELECT component, string_agg(v, '|' ORDER BY v) AS "values" FROM s WHERE r <= 10 GROUP BY ALL)
+ SELECT component AS cluster, count(*) AS n_patterns, string_agg(id, ',' ORDER BY id) AS patterns, any_value("values") AS "values"
+ FROM m LEFT JOIN w USING (component) GROUP BY component ORDER BY n_patterns DESC, cluster LIMIT 20""")
 def cluster_shared_vars(spark, sf_dir):
     c = correlate.clusters(table(spark, sf_dir, "occurrences"), table(spark, sf_dir, "patterns"))
     return c.select("cluster", "n_patterns", F.array_join(F.transform("patterns", lambda x: x.cast("string")), ",").alias("patterns"), F.array_join("values", "|").alias("values"))
