@@ -15,6 +15,12 @@ from pyspark.sql import functions as F
 MIN_CHUNK, MOST_CHUNKS = 100_000, 8_192
 
 
+#: Rows that one range of the order column holds about, and ranges at least and at most.
+RANGE_ROWS, LEAST_RANGES, MOST_RANGES = 1_000_000, 64, 4_096
+#: Bounds that one tree of comparisons takes; more of them are looked up in two steps.
+_TREE = 64
+
+
 def _bucket(col: Column, bounds: list[float], low: int = 0) -> Column:
     """Index of the range of ``col`` as a balanced tree of comparisons."""
     if not bounds:
@@ -25,17 +31,32 @@ def _bucket(col: Column, bounds: list[float], low: int = 0) -> Column:
     )
 
 
-def number_by_key(df: DataFrame, key: str, order: list[str], ranges: int = 64) -> DataFrame:
+def _place(col: Column, bounds: list[float]) -> Column:
+    """Index of the range of ``col``: the number of bounds that it reaches."""
+    if len(bounds) <= _TREE:
+        return _bucket(col, bounds)
+    # a tree finds the stretch of bounds, and of those the reached ones are counted
+    each = -(-len(bounds) // _TREE)
+    stretches = F.array(*(F.array(*map(F.lit, bounds[i : i + each])) for i in range(0, len(bounds), each)))
+    stretch = _bucket(col, bounds[each::each])
+    return stretch * each + F.size(F.filter(F.get(stretches, stretch), lambda x: x <= col))
+
+
+def number_by_key(df: DataFrame, key: str, order: list[str], ranges: int | None = None) -> DataFrame:
     """``df`` with ``_no``, the row's exact number (from 0) within its key by ``order``, and ``_n``, the key's rows.
 
     ``order[0]`` must be numeric; the ranges are its approximate quantiles, of which ``ranges`` - 1 numbers reach the
-    driver. No task holds more of a key than its part of one range. Null keys are numbered like any other key; null
-    order values come first; rows tied on all of ``order`` get distinct numbers in no particular order.
+    driver: by default as many as make ranges of ``RANGE_ROWS`` rows, between 64 and 4,096. No task holds more of a key than
+    its part of one range. Null keys are numbered like any other key; null order values come first, in a range of their
+    own; rows tied on all of ``order`` get distinct numbers in no particular order.
     """
+    if ranges is None:
+        ranges = min(MOST_RANGES, max(LEAST_RANGES, -(-df.count() // RANGE_ROWS)))
     cuts = df.select(F.col(order[0]).cast("double").alias("o")).stat.approxQuantile(
         "o", [i / ranges for i in range(1, ranges)], 0.25 / ranges
     )
-    placed = df.withColumn("_range", _bucket(F.col(order[0]).cast("double"), sorted(set(cuts))))
+    first = F.col(order[0]).cast("double")
+    placed = df.withColumn("_range", F.when(first.isNull(), -1).otherwise(_place(first, sorted(set(cuts)))))
     counted = placed.groupBy("_range", F.col(key).alias("_key")).agg(F.count("*").alias("_c"))
     by_key = W.partitionBy("_key")
     offsets = counted.select(
@@ -56,7 +77,7 @@ def number_by_key(df: DataFrame, key: str, order: list[str], ranges: int = 64) -
 
 
 def per_key_profile(
-    df: DataFrame, key: str, order: list[str], time: Column, min_chunk: int = MIN_CHUNK, ranges: int = 64
+    df: DataFrame, key: str, order: list[str], time: Column, min_chunk: int = MIN_CHUNK, ranges: int | None = None
 ) -> DataFrame:
     """One row per key: rows, first, last, least and greatest time, steps back in time and the longest step ahead.
 
@@ -68,6 +89,7 @@ def per_key_profile(
     slim = df.select(F.col(key).alias("k"), *[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], time.alias("t"))
     total = slim.count()
     size = max(min_chunk, -(-total // MOST_CHUNKS))
+    ranges = ranges or min(MOST_RANGES, max(LEAST_RANGES, -(-total // RANGE_ROWS)))
     chunk = number_by_key(slim, "k", [f"o{i}" for i in range(len(order))], ranges).withColumn(
         "chunk", F.floor(F.col("_no") / size)
     )

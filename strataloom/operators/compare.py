@@ -99,6 +99,12 @@ def diff(before: DataFrame, after: DataFrame) -> DataFrame:
     )
 
 
+def in_order(differences: DataFrame) -> DataFrame:
+    """New patterns by their count, then resolved ones by theirs, then changed ones by the size of the change."""
+    place = F.when(F.col("kind") == "new", 0).when(F.col("kind") == "resolved", 1).otherwise(2)
+    return differences.orderBy(place, F.desc(F.abs("delta")), "group", "template")
+
+
 _GATE = "name string, threshold double, actual double, passed boolean"
 
 

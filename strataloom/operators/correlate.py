@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 
 from strataloom.operators.graph import components, forest
 from strataloom.operators.rank import seconds
-from strataloom.session import cut
+from strataloom.session import cut, small
 
 #: Parts into which the patterns are divided for counting pairs, per core; every set of patterns is sent once to each part.
 PARTS_PER_CORE = 4
+#: Rows (pattern, second) of a bin that one task pairs with the bin's others.
+BIN_ROWS = 5_000
 
 
 def correlations(
@@ -31,7 +33,8 @@ def correlations(
     ``min_count`` and occurrences with a time take part; ``earliest`` (off by default) keeps so many by time.
 
     Occurrences are counted per pattern and second first; seconds are joined by bins of the window's width, so the join
-    is an equi-join and its size is that of the pairs of (pattern, second).
+    is an equi-join and its size is that of the pairs of (pattern, second). A bin is divided among tasks by the earlier
+    pattern, in as many parts as its seconds ask for, and the later ones are sent to each of its parts.
     """
     p = patterns.where(F.col("occurrence_count") >= min_count).select(F.col("id").alias("pid"), F.col("file_group_id").alias("grp"))
     timed = (
@@ -47,18 +50,26 @@ def correlations(
     per_second = timed.groupBy("pid", "grp", "ts").agg(F.count("*").alias("n"))
     width = max(window, 1)
     bin_of = F.floor(F.col("ts") / width)
-    first = per_second.select(
-        F.col("pid").alias("p1"), F.col("grp").alias("g1"), F.col("ts").alias("t1"), F.col("n").alias("n1"), bin_of.alias("bin")
-    )
-    second = per_second.select(
-        F.col("pid").alias("p2"), F.col("grp").alias("g2"), F.col("ts").alias("t2"), F.col("n").alias("n2"),
-        F.explode(F.array(bin_of, bin_of - 1)).alias("bin2"),
+    binned = cut(per_second.withColumn("bin", bin_of))
+    # parts of the bins whose pairs are too many for a task; all other bins are whole
+    full = small(cut(binned.groupBy(F.col("bin").alias("fb")).agg(F.count("*").alias("m")).where(F.col("m") > BIN_ROWS).select("fb", F.ceil(F.col("m") / BIN_ROWS).cast("int").alias("parts"))))
+    first = binned.join(full, F.col("bin") == F.col("fb"), "left").select(
+        F.col("pid").alias("p1"), F.col("grp").alias("g1"), F.col("ts").alias("t1"), F.col("n").alias("n1"), "bin",
+        F.pmod(F.xxhash64("pid"), F.coalesce("parts", F.lit(1))).alias("part"),
+    )
+    second = (
+        binned.select(
+            F.col("pid").alias("p2"), F.col("grp").alias("g2"), F.col("ts").alias("t2"), F.col("n").alias("n2"),
+            F.explode(F.array(F.col("bin"), F.col("bin") - 1)).alias("bin2"),
+        )
+        .join(full, F.col("bin2") == F.col("fb"), "left")
+        .withColumn("part2", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("parts", F.lit(1)).cast("bigint") - 1)))
     )
     later = (F.col("t2") > F.col("t1")) | ((F.col("t2") == F.col("t1")) & (F.col("p1") < F.col("p2")))
     lags = (
         first.join(
             second,
-            (F.col("bin") == F.col("bin2")) & (F.col("g1") != F.col("g2")) & later & (F.col("t2") - F.col("t1") <= window),
+            (F.col("bin") == F.col("bin2")) & (F.col("part") == F.col("part2")) & (F.col("g1") != F.col("g2")) & later & (F.col("t2") - F.col("t1") <= window),
         )
         .groupBy(F.least("p1", "p2").alias("a"), F.greatest("p1", "p2").alias("b"), (F.col("t2") - F.col("t1")).alias("lag"))
         .agg(F.sum(F.col("n1") * F.col("n2")).alias("n"))
@@ -87,6 +98,35 @@ def correlations(
     return out if top is None else out.limit(top)
 
 
+def preview(template, most: int = 80):
+    """The beginning of a template on one line; three dots stand for what is cut."""
+    line = F.regexp_replace(template, r"\s*\n\s*", " ")
+    return F.when(F.length(line) <= most, line).otherwise(F.concat(F.substring(line, 1, most - 3), F.lit("...")))
+
+
+def described(pairs: DataFrame, patterns: DataFrame, groups: DataFrame) -> DataFrame:
+    """Correlated pairs (``a, b`` and more) with ``group_a, template_a, group_b, template_b``, in the same order."""
+    g = groups.select(F.col("id").alias("gid"), F.col("name").alias("group"))
+    p = patterns.join(g, F.col("file_group_id") == F.col("gid"), "left")
+    out = pairs
+    for side in ("a", "b"):
+        names = p.select(F.col("id").alias("_i"), F.col("group").alias(f"group_{side}"), preview(F.col("template")).alias(f"template_{side}"))
+        out = out.join(names, F.col(side) == F.col("_i"), "left").drop("_i")
+    return out.orderBy(F.desc("confidence"), "a", "b")
+
+
+def described_clusters(found: DataFrame, patterns: DataFrame, most: int = 10) -> DataFrame:
+    """Clusters with ``templates``, the beginnings of the templates of their first ``most`` patterns."""
+    p = patterns.select(F.col("id").alias("_i"), preview(F.col("template")).alias("_t"))
+    shown = (
+        found.select(F.col("cluster").alias("_c"), F.explode(F.slice("patterns", 1, most)).alias("_p"))
+        .join(p, F.col("_p") == F.col("_i"))
+        .groupBy("_c")
+        .agg(F.transform(F.array_sort(F.collect_list(F.struct("_p", "_t"))), lambda x: x["_t"]).alias("templates"))
+    )
+    return found.join(shown, F.col("cluster") == F.col("_c"), "left").drop("_c").orderBy(F.desc("n_patterns"), "cluster")
+
+
 def variable_index(occurrences: DataFrame, patterns: DataFrame, top_patterns: int | None = None) -> DataFrame:
     """``pattern_id, value``: distinct variable values of the patterns, without noise (single bytes and numbers below
     1,000). ``top_patterns`` (off by default) keeps only so many by their stored count."""

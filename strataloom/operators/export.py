@@ -27,7 +27,7 @@ def export_rows(
     best = ranked(patterns, groups, top, filters, in_groups)
     if suppressed is not None:
         best = best.join(suppressed.select(F.col("pattern_id").alias("_x")), F.col("pattern_id") == F.col("_x"), "left_anti")
-    keys = F.broadcast(best.select(F.col("pattern_id").alias("_k")))  # top rows
+    keys = best.select(F.col("pattern_id").alias("_k"))
     wanted = occurrences.join(keys, F.col("pattern_id") == F.col("_k"), "left_semi")
     shown = samples(wanted, patterns, sources, n_samples).groupBy(F.col("pattern_id").alias("sp")).agg(
         *(F.max(F.when(F.col("rank") == i, F.col("text"))).alias(f"sample_{i}") for i in range(1, n_samples + 1))
@@ -38,6 +38,33 @@ def export_rows(
     )
 
 
+def export_nested(
+    patterns: DataFrame, groups: DataFrame, occurrences: DataFrame, sources: DataFrame, suppressed: DataFrame | None = None,
+    top: int | None = 500, n_samples: int = 5, filters: list[str] | None = None, in_groups: list[str] | None = None,
+) -> DataFrame:
+    """As ``export_rows`` with ``samples`` as an array of ``text, source``; patterns without samples have an empty one."""
+    best = ranked(patterns, groups, top, filters, in_groups)
+    if suppressed is not None:
+        best = best.join(suppressed.select(F.col("pattern_id").alias("_x")), F.col("pattern_id") == F.col("_x"), "left_anti")
+    wanted = occurrences.join(best.select(F.col("pattern_id").alias("_k")), F.col("pattern_id") == F.col("_k"), "left_semi")
+    shown = samples(wanted, patterns, sources, n_samples).groupBy(F.col("pattern_id").alias("sp")).agg(
+        F.array_sort(F.collect_list(F.struct("rank", "text", "source"))).alias("s")  # n_samples at most
+    )
+    plain = F.transform(F.coalesce("s", F.array().cast("array<struct<rank:int,text:string,source:string>>")), lambda x: F.struct(x["text"].alias("text"), x["source"].alias("source")))
+    return best.join(shown, F.col("pattern_id") == F.col("sp"), "left").select(
+        F.col("pattern_id").alias("id"), "group", "template", "occurrence_count", plain.alias("samples")
+    ).orderBy(F.desc("occurrence_count"), "id")
+
+
+def write_array(rows: DataFrame, path: str) -> None:
+    """The rows as one JSON array in a file on the driver, which holds a partition of them at a time."""
+    with open(path, "x", encoding="utf-8") as f:
+        f.write("[")
+        for i, r in enumerate(rows.select(F.to_json(F.struct(*rows.columns))).toLocalIterator()):
+            f.write(("," if i else "") + "\n" + r[0])
+        f.write("\n]\n")
+
+
 def csv_lines(rows: DataFrame) -> DataFrame:
     """``line``: the rows as CSV, quoted only where needed. The header is the column names."""
     return rows.select(F.concat_ws(",", *(csv_cell(F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in rows.columns)).alias("line"))

@@ -95,10 +95,10 @@ def time_series(occurrences: DataFrame, bucket: str = "auto") -> DataFrame:
     return timed.groupBy("pattern_id", label.alias("bucket")).agg(F.count("*").alias("n"))
 
 
-def samples(occurrences: DataFrame, patterns: DataFrame, sources: DataFrame, n: int = 5) -> DataFrame:
+def samples(occurrences: DataFrame, patterns: DataFrame, sources: DataFrame, n: int = 5, full_path: bool = False) -> DataFrame:
     """``pattern_id, rank, text, source``: the first ``n`` occurrences with variables of each pattern, written out.
 
-    The order is source, offset, id; a pattern without variables has none.
+    The order is source, offset, id; a pattern without variables has none. ``source`` is the file's name or full path.
     """
     w = W.partitionBy("pattern_id").orderBy("log_source_id", "byte_offset", "id")
     first = (
@@ -116,7 +116,7 @@ def samples(occurrences: DataFrame, patterns: DataFrame, sources: DataFrame, n:
             "pattern_id",
             "rank",
             reconstruct(F.col("template"), F.split("variables", "\t")).alias("text"),
-            base_name(F.col("file_path")).alias("source"),
+            (F.col("file_path") if full_path else base_name(F.col("file_path"))).alias("source"),
         )
     )
 
@@ -131,6 +131,7 @@ def report(
     n_samples: int = 5,
     bucket: str = "auto",
     suppressed: DataFrame | None = None,
+    full_path: bool = False,
 ) -> DataFrame:
     """The ranked patterns with ``samples``, ``trend``, ``distribution``, ``tags`` and ``suppressed`` in one plan.
 
@@ -138,7 +139,7 @@ def report(
     occurrence has a time.
     """
     best = ranked(patterns, groups, top)
-    keys = F.broadcast(best.select(F.col("pattern_id").alias("k")))  # top rows
+    keys = best.select(F.col("pattern_id").alias("k"))  # sent to all tasks where Spark finds it small
     wanted = occurrences.join(keys, F.col("pattern_id") == F.col("k"), "left_semi")
     series = time_series(wanted, bucket).groupBy(F.col("pattern_id").alias("tp")).agg(
         F.array_sort(F.collect_list(F.struct("bucket", "n"))).alias("series")
@@ -146,7 +147,7 @@ def report(
     spread = distribution(wanted, sources).groupBy(F.col("pattern_id").alias("dp")).agg(
         F.array_sort(F.collect_list(F.struct("source", "log_source_id", "n"))).alias("distribution")
     )
-    shown = samples(wanted, patterns, sources, n_samples).groupBy(F.col("pattern_id").alias("sp")).agg(
+    shown = samples(wanted, patterns, sources, n_samples, full_path).groupBy(F.col("pattern_id").alias("sp")).agg(
         F.array_sort(F.collect_list(F.struct("rank", "text", "source"))).alias("samples")
     )
     out = (

@@ -680,7 +680,8 @@ def marker_parse(spark, sf_dir):
 @query(f"""WITH {_TICKETS} SELECT p.id AS pattern_id, p.occurrence_count, t.key,
  CASE WHEN t.key IS NULL THEN 'create' WHEN t.n = p.occurrence_count THEN 'unchanged' ELSE 'update' END AS action FROM patterns p LEFT JOIN t ON t.id = p.id""")
 def ticket_plan(spark, sf_dir):
-    return tickets.plan(table(spark, sf_dir, "patterns"), _tickets(spark, sf_dir), "main")
+    planned = tickets.plan(table(spark, sf_dir, "patterns"), _tickets(spark, sf_dir), "main")
+    return planned.select("pattern_id", "occurrence_count", "key", "action")
 
 
 @query(f"""WITH {_TICKETS}, a AS (SELECT count(*) FILTER (WHERE occurrence_count > 0) AS total FROM patterns),

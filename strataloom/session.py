@@ -62,7 +62,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a temporary one where that is unset (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``, or a temporary one where that is unset in local mode."""
     sc = spark.sparkContext
     where = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if where:
@@ -70,6 +70,8 @@ def shared_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(where)
         return where
     if not sc._jsc.sc().getCheckpointDir().isDefined():
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="strataloom-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
@@ -101,10 +103,16 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if 2 * df.rdd.getNumPartitions() <= cores else df
 
 
-#: Rows up to which a side of a join is sent to every task.
-SMALL_ROWS = 100_000
+#: Rows and bytes up to which a side of a join is sent to every task.
+SMALL_ROWS, SMALL_BYTES = 100_000, 64 << 20
 
 
-def small(df: DataFrame, most: int = SMALL_ROWS) -> DataFrame:
-    """A materialised side of a join, marked for broadcast if its rows, counted here, are few; else as it is."""
-    return F.broadcast(df) if df.count() <= most else df
+def small(df: DataFrame, most: int = SMALL_ROWS, most_bytes: int = SMALL_BYTES) -> DataFrame:
+    """A materialised side of a join, marked for broadcast if its rows and the bytes of its values, both measured here,
+    are few; else as it is. Which of the two plans is taken changes no result."""
+    sizes = [F.octet_length(c) if t == "string" else F.octet_length(F.to_json(F.struct(c))) if t.startswith(("array", "map", "struct")) else F.lit(16) for c, t in df.dtypes]
+    width = F.lit(16)
+    for x in sizes:
+        width = width + F.coalesce(x, F.lit(16))
+    rows, taken = df.agg(F.count("*"), F.coalesce(F.sum(width), F.lit(0))).first()
+    return F.broadcast(df) if rows <= most and taken <= most_bytes else df

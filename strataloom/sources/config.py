@@ -23,6 +23,8 @@ class Config:
     max_anomaly_score: float | None = None
     max_new_patterns: int | None = None
     needles: list[str] = field(default_factory=list)
+    #: url, project, label, kind and issue_type of the ticket system; see ``TicketConfig``.
+    tickets: dict[str, str] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         for name in ("threshold", "dedup_threshold"):

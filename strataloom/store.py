@@ -1,4 +1,9 @@
-"""The pattern store: Parquet tables in versions, written whole and switched by their success marker."""
+"""The pattern store: Parquet tables in versions, switched by their success marker.
+
+``sources, open_lines`` and ``tags`` are written whole per version. ``templates, fingerprints`` and ``occurrences`` get
+what a version changes or adds, and are now and then written whole up to a version, so that neither a step nor a reader
+pays for the number of versions before.
+"""
 
 from __future__ import annotations
 
@@ -17,45 +22,99 @@ SCHEMAS = {
 }
 
 
+#: Tables of which a version holds what it changed or added, with the key of which the newest row counts (none: all rows).
+CHANGES = {"templates": "pattern_id", "fingerprints": None, "occurrences": None}
+#: Versions after which the changes are written whole.
+VERSIONS_APART = 32
+
+
 class Store:
-    """State tables are replaced per version; occurrences are added per version, each to a folder of its own, so that
-    a version written again replaces itself."""
+    """A version written again replaces itself."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
+        self.name = self.path.rsplit("/", 1)[-1]
 
     def _fs(self, path: str):
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
-    def versions(self, name: str) -> list[int]:
+    def versions(self, name: str, what: str = "version") -> list[int]:
         fs, root = self._fs(f"{self.path}/{name}")
         if not fs.exists(root):
             return []
         out = []
         for s in fs.listStatus(root):
             part = s.getPath().getName()
-            if part.startswith("version=") and fs.exists(self._fs(f"{self.path}/{name}/{part}/_SUCCESS")[1]):
+            if part.startswith(what + "=") and fs.exists(self._fs(f"{self.path}/{name}/{part}/_SUCCESS")[1]):
                 out.append(int(part.split("=")[1]))
         return sorted(out)
 
     def next_version(self) -> int:
         return max([-1, *self.versions("sources")]) + 1
 
+    def size(self) -> int:
+        """Bytes of all files of the store."""
+        fs, root = self._fs(self.path)
+        return fs.getContentSummary(root).getLength() if fs.exists(root) else 0
+
+    def _folder(self, name: str, part: str, number: int) -> DataFrame:
+        return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.path}/{name}/{part}={number}")
+
+    def read_version(self, name: str, version: int) -> DataFrame:
+        """What a version holds; empty if there is none."""
+        return self._folder(name, "version", version) if version in self.versions(name) else self.spark.createDataFrame([], SCHEMAS[name])
+
     def read(self, name: str, before: int | None = None) -> DataFrame:
-        """The newest version of a state table (before ``before``), or all of the occurrences; empty if there is none."""
+        """A table as of its newest finished version (before ``before``); empty if there is none."""
         have = [v for v in self.versions(name) if before is None or v < before]
-        if name == "occurrences":  # those of steps that were finished
-            have = sorted(set(have) & set(self.versions("sources")))
-        if not have:
-            return self.spark.createDataFrame([], SCHEMAS[name])
-        if name == "occurrences":
-            paths = [f"{self.path}/{name}/version={v}" for v in have]
-            return self.spark.read.schema(SCHEMAS[name]).parquet(*paths)
-        return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.path}/{name}/version={have[-1]}")
-
-    def write(self, name: str, df: DataFrame, version: int) -> None:
-        df.write.mode("overwrite").parquet(f"{self.path}/{name}/version={version}")
+        if name not in CHANGES:
+            return self._folder(name, "version", have[-1]) if have else self.spark.createDataFrame([], SCHEMAS[name])
+        whole = [v for v in self.versions(name, "whole") if before is None or v < before][-1:]
+        # those of steps that were finished
+        have = sorted(v for v in set(have) & set(self.versions("sources")) if not whole or v > whole[0])
+        key = CHANGES[name]
+        parts = [self._folder(name, "whole", v) for v in whole]
+        if have and not key:
+            parts.append(self.spark.read.schema(SCHEMAS[name]).parquet(*(f"{self.path}/{name}/version={v}" for v in have)))
+        elif have:
+            dated = [self._folder(name, "version", v).withColumn("_v", F.lit(v)) for v in have]
+            dated += [p.withColumn("_v", F.lit(-1)) for p in parts]
+            both = dated[0]
+            for other in dated[1:]:
+                both = both.unionByName(other)
+            rest = [c for c in both.columns if c not in (key, "_v")]
+            newest = both.groupBy(key).agg(F.max_by(F.struct(*rest), "_v").alias("_r"))
+            return newest.select(key, *(F.col(f"_r.{c}").alias(c) for c in rest))
+        out = parts[0] if parts else self.spark.createDataFrame([], SCHEMAS[name])
+        for other in parts[1:]:
+            out = out.unionByName(other)
+        return out
+
+    def write(self, name: str, df: DataFrame, version: int, part: str = "version") -> None:
+        df.write.mode("overwrite").parquet(f"{self.path}/{name}/{part}={version}")
+
+    def compact(self, before: int | None = None) -> None:
+        """Write the tables of changes whole, up to the newest finished version (before ``before``), and drop what went
+        into that. Readers that began earlier must have ended; a failure in between leaves all as it was."""
+        done = [v for v in self.versions("sources") if before is None or v < before]
+        if not done:
+            return
+        for name in CHANGES:
+            if done[-1] in self.versions(name, "whole"):
+                continue
+            self.write(name, self.read(name, before), done[-1], "whole")
+            for part in ("version", "whole"):
+                for v in self.versions(name, part):
+                    if v < done[-1] or (part == "version" and v == done[-1]):
+                        fs, p = self._fs(f"{self.path}/{name}/{part}={v}")
+                        fs.delete(p, True)
+
+    def tidy(self, version: int) -> None:
+        """``compact`` before ``version``, where enough versions have come since the last time."""
+        last = max([-1, *self.versions("templates", "whole")])
+        if version - last > VERSIONS_APART:
+            self.compact(version)
 
     def replace_tags(self, tags: DataFrame) -> None:
         self.write("tags", tags, max([-1, *self.versions("tags")]) + 1)

@@ -23,7 +23,7 @@ from strataloom.store import Store
 
 def assign(vectors: DataFrame, known: DataFrame, threshold: float, most: int = mining.VECTORS_PER_FOLD) -> DataFrame:
     """``group, masked, pattern_id, tokens``: the vectors with their templates after all were taken in, and with null
-    ``masked`` every template. Known templates keep their ids, however they evolve."""
+    ``masked`` every template of their groups and token counts. Known templates keep their ids, however they evolve."""
 
     def folded(pdf: pd.DataFrame) -> pd.DataFrame:
         tree = mining.PrefixTree(threshold)
@@ -47,7 +47,9 @@ def assign(vectors: DataFrame, known: DataFrame, threshold: float, most: int = m
         "group", "masked", "n", F.col("first.source").alias("first_source"), F.col("first.byte_offset").alias("first_offset"),
         mining.pattern_id(F.col("group"), render(F.col("masked"))).alias("pattern_id"),
     )
-    seeds = known.select(
+    met = vectors.select(F.col("group").alias("_g"), F.size("masked").alias("_s")).distinct()
+    near = known.join(met, F.col("group").eqNullSafe(F.col("_g")) & (F.size("tokens") == F.col("_s")), "left_semi")
+    seeds = near.select(
         "group", F.col("tokens").alias("masked"), F.lit(0).cast("bigint").alias("n"), F.lit("").alias("first_source"),
         F.lit(0).cast("bigint").alias("first_offset"), "pattern_id",
     )
@@ -64,6 +66,7 @@ def step(store: Store, lines: DataFrame, version: int, last: bool = False, thres
     position follows.
     """
     before = version
+    store.tidy(version)
     new = cut(lines)
     positions = store.read("sources", before)
     # a replaced file begins anew: what is held back of the old one is a unit of its own, and complete
@@ -84,7 +87,8 @@ def step(store: Store, lines: DataFrame, version: int, last: bool = False, thres
     known = store.read("fingerprints", before)
     learnt = structure.entry_fingerprints(all_lines, "source", "line")
     unseen = learnt.join(known.select(F.col("source").alias("_k")).distinct(), F.col("source") == F.col("_k"), "left_anti")
-    prints = cut(known.unionByName(unseen))
+    unseen = cut(unseen)
+    prints = known.unionByName(unseen)
     marked = structure.mark_starts(all_lines, "source", "line", prints)
     if last:
         ready, kept = marked, None
@@ -103,7 +107,8 @@ def step(store: Store, lines: DataFrame, version: int, last: bool = False, thres
         groups.withColumnRenamed("source", "_g"), F.col("source") == F.col("_g")
     )
     tokens = cut(mining.tokenized(entries, "group", "source", "byte_offset", "primary_line", "continuation", syslog_year))
-    found = cut(assign(mining.distinct_vectors(tokens), store.read("templates", before), threshold))
+    templates = store.read("templates", before)
+    found = cut(assign(mining.distinct_vectors(tokens), templates, threshold))
     by_vector = found.where("masked is not null").select(
         F.col("group").alias("_vg"), F.col("masked").alias("_m"), "pattern_id", F.col("tokens").alias("_t")
     )
@@ -111,8 +116,10 @@ def step(store: Store, lines: DataFrame, version: int, last: bool = False, thres
         "pattern_id", "group", "source", "byte_offset", "entry_timestamp", variables(F.col("_t"), F.col("tokens")).alias("variables")
     )
     store.write("occurrences", occurrences, version)
-    store.write("templates", found.where("masked is null").select("pattern_id", "group", "tokens"), version)
-    store.write("fingerprints", prints, version)
+    old = templates.select(F.col("pattern_id").alias("_p"), F.col("tokens").alias("_was"))
+    changed = found.where("masked is null").join(old, (F.col("pattern_id") == F.col("_p")) & (F.col("tokens") == F.col("_was")), "left_anti")
+    store.write("templates", changed.select("pattern_id", "group", "tokens"), version)
+    store.write("fingerprints", unseen, version)
     store.write("open_lines", kept if kept is not None else new.limit(0), version)
     old = positions.select(F.col("source").alias("_o"), F.col("group").alias("_og"), F.col("position").alias("_op"))
     reached = new.groupBy("source").agg(F.min("group").alias("group"), F.max("next_offset").alias("position"))
@@ -153,8 +160,10 @@ def watch(
     syslog_year: int = 2026,
     trigger: dict | None = None,
     alert: Callable[[DataFrame], None] | None = None,
+    tell: Callable[[DataFrame], None] | None = None,
 ):
-    """Follow files as a stream; returns the running query. ``alert`` gets the store's anomalies after each batch."""
+    """Follow files as a stream; returns the running query. ``alert`` gets the store's anomalies after each batch, and
+    ``tell`` the batch's new entries as ``source, new_entries``, where there are any."""
     register(spark)
     positions = {r["source"]: r["position"] for r in store.read("sources").collect()}  # one row per file
     first = _first_version(spark, store, checkpoint)
@@ -162,6 +171,10 @@ def watch(
 
     def take(batch: DataFrame, batch_id: int) -> None:
         step(store, placed_lines(batch, group), first + batch_id, False, threshold, syslog_year)
+        if tell is not None:
+            new = store.read_version("occurrences", first + batch_id).groupBy("source").agg(F.count("*").alias("new_entries"))
+            if not new.isEmpty():
+                tell(new.orderBy("source"))
         if alert is not None:
             from strataloom.operators.compare import anomalies
 

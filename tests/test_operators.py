@@ -1,5 +1,6 @@
 """Catalogue operators against brute force and on odd input."""
 
+import json
 import math
 import random
 from collections import Counter
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from strataloom.operators import compare, correlate, dedup, graph, mining, rank, search, structure, tags, tickets
 from strataloom.session import cut
-from strataloom.operators.export import csv_lines, read_baseline, render_page, save_baseline
+from strataloom.operators.export import csv_lines, export_nested, read_baseline, render_page, save_baseline, write_array
 
 
 def brute_components(nodes, edges):
@@ -370,6 +371,19 @@ def test_search(spark, query, want):
     assert [r["pattern_id"] for r in search.search(df, query).collect()] == want
 
 
+@pytest.mark.parametrize(
+    ("query", "want"),
+    [
+        ("NEAR(e d, 3)", [1]), ("NEAR(e d, 2)", []), ('NEAR("c d" "e f", 3)', [1]), ("NEAR(a d e, 6)", [1]), ("NEAR(a d e, 5)", []),
+        ("NEAR(b a)", [1, 2]), ("template: a NOT e", [2]), ("template:(z OR f)", [1, 3]), ("-template: a", []), ("{template}: z", [3]), ("^a", [1, 2]),
+        ("^b", []), ("NEAR(a q, 100)", []),
+    ],
+)
+def test_search_groups_and_columns(spark, query, want):
+    p = spark.createDataFrame([(1, "A B C D x x x E F x"), (2, "a b"), (3, "z"), (4, ""), (5, None)], "id bigint, template string")
+    assert [r["pattern_id"] for r in search.search(p, query).collect()] == want
+
+
 @pytest.mark.parametrize("query", ["", "a NEAR b", "(a", "a )", "title:a", "OR"])
 def test_search_refuses(spark, query):
     with pytest.raises(ValueError):
@@ -390,6 +404,40 @@ def test_tags(spark, tmp_path):
     assert show(tags.read_tag_file(spark, str(f))) == []
 
 
+def test_previews(spark):
+    p = spark.createDataFrame([(1, 1, "a\n  b"), (2, None, "x" * 90), (3, 1, None)], "id bigint, file_group_id bigint, template string")
+    g = spark.createDataFrame([(1, "g")], "id bigint, name string")
+    pairs = spark.createDataFrame([(1, 2, 3.0), (1, 3, 4.0)], "a bigint, b bigint, confidence double")
+    got = [tuple(r) for r in correlate.described(pairs, p, g).select("b", "group_a", "template_a", "group_b", "template_b").collect()]
+    assert got == [(3, "g", "a b", "g", None), (2, "g", "a b", None, "x" * 77 + "...")]
+    c = spark.createDataFrame([(1, 3, [1, 2, 3])], "cluster bigint, n_patterns bigint, patterns array<bigint>")
+    assert correlate.described_clusters(c, p, 2).first()["templates"] == ["a b", "x" * 77 + "..."]
+
+
+def test_correlations_in_parts_are_the_same(spark, monkeypatch):
+    r = random.Random(8)
+    occ = [(i, r.randrange(9), 1_760_000_000 + int(r.random() ** 3 * 900)) for i in range(700)]
+    o = spark.createDataFrame(occ, "id bigint, pattern_id bigint, entry_timestamp bigint")
+    p = spark.createDataFrame([(i, i % 3, 50) for i in range(9)], "id bigint, file_group_id bigint, occurrence_count bigint")
+    show = lambda: [tuple(x) for x in correlate.correlations(o, p, 60, 1, None, min_confidence=0.0).collect()]
+    whole = show()
+    monkeypatch.setattr(correlate, "BIN_ROWS", 20)
+    assert show() == whole and len(whole) > 20
+
+
+def test_export_nested(spark, tmp_path):
+    p = spark.createDataFrame([(1, 1, "user <*> in", 3), (2, 1, "off", 1)], "id bigint, file_group_id bigint, template string, occurrence_count bigint")
+    g = spark.createDataFrame([(1, "g")], "id bigint, name string")
+    s = spark.createDataFrame([(5, "/var/log/a.log")], "id bigint, file_path string")
+    o = spark.createDataFrame([(1, 5, 1, 0, "x"), (2, 5, 1, 9, "y")], "id bigint, log_source_id bigint, pattern_id bigint, byte_offset bigint, variables string")
+    path = tmp_path / "out.json"
+    write_array(export_nested(p, g, o, s), str(path))
+    assert json.loads(path.read_text()) == [
+        {"id": 1, "group": "g", "template": "user <*> in", "occurrence_count": 3, "samples": [{"text": "user x in", "source": "a.log"}, {"text": "user y in", "source": "a.log"}]},
+        {"id": 2, "group": "g", "template": "off", "occurrence_count": 1, "samples": []},
+    ]
+
+
 def test_select_patterns(spark):
     p = spark.createDataFrame([(1, "ERROR user <*> login failed", 100), (2, "WARN timeout after <*>ms", 50), (3, "INFO request completed", 500), (4, "ERROR database connection lost", 10)], "id bigint, template string, occurrence_count bigint")
     t = spark.createDataFrame([(1, "critical"), (4, "suppressed")], "pattern_id bigint, tag string")

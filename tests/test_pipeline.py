@@ -143,10 +143,25 @@ def test_command_line_and_server(spark, tmp_path):
     assert run("diff", store, store)[1] == []
     for command in (["dedup"], ["dedup", "--mode", "semantic"], ["anomalies"], ["correlate"], ["cluster"]):
         assert run(*command)[0] == 0
+    before = rows[0]["n_occurrences"]
+    assert run("compact")[0] == 0
+    assert run("process", str(folder / "*"))[1][0]["n_occurrences"] == before  # counted from the table written whole
+    sizes = [r for r in run("stats")[1] if "bytes" in r or "processed" in r]
+    assert [r["processed"] for r in sizes[:-1]] == ["100.0%"] * 3 and sizes[-1]["bytes"] > 0
+    some = Store(spark, store).model()["patterns"].where("template like '%Operation%'").first()["id"]
+    (tmp_path / "tags.json").write_text(json.dumps({str(p["id"]): ["suppress"] for p in Store(spark, store).model()["patterns"].where("template like '%Operation%'").collect()}))
+    assert some and run("check", "--fail-on", "Operation", "--tags-file", str(tmp_path / "tags.json"))[0] == 0
+    assert run("check", "--fail-on", "Operation", "--group", "other.log")[0] == 1
+    assert {r["group"] for r in run("anomalies", "--group", "app.log")[1]} <= {"app.log"}
+    assert run("anomalies", "--filter", "no such text")[1] == []
+    assert run("dedup", "--group", "nothing")[1] == []
+    out = io.StringIO()
+    assert cli.run(["-d", store, "stats", "--format", "text"], spark, out) == 0 and out.getvalue().startswith("n_patterns\t")
     run("report", "--output", str(tmp_path / "r.html"))
     assert "const DATA" in (tmp_path / "r.html").read_text()
     run("export", "--format", "csv", "--output", str(tmp_path / "csv"), "--filter", "operation")
     assert run("export", "--output", str(tmp_path / "json"))[0] == 0
+    assert {"id", "group", "template", "occurrence_count", "samples"} == set(json.loads((tmp_path / "json").read_text())[0])
 
     http = server(Store(spark, store), 0)
     threading.Thread(target=http.serve_forever, daemon=True).start()

@@ -47,6 +47,17 @@ def test_numbers_are_exact(spark):
         assert sorted(g["n"]) == list(range(g["c"]))
 
 
+@pytest.mark.parametrize("ranges", [7, 300])
+def test_numbers_follow_the_order(spark, ranges):
+    r = random.Random(6)
+    rows = [(r.choice([1, 1, 2]), r.choice([None, r.randrange(10**6)]), i) for i in range(2000)]
+    df = spark.createDataFrame(rows, "key int, o bigint, tie int")
+    got = {x["tie"]: x["_no"] for x in balanced.number_by_key(df, "key", ["o", "tie"], ranges).collect()}
+    for key in (1, 2):
+        mine = sorted((o is not None, o or 0, t) for k, o, t in rows if k == key)  # nulls first
+        assert [got[t] for _, _, t in mine] == list(range(len(mine)))
+
+
 def test_profile_of_nothing(spark):
     df = spark.createDataFrame([], "id bigint, key bigint, t bigint")
     assert balanced.per_key_profile(df, "key", ["id"], F.col("t")).count() == 0
