@@ -214,6 +214,16 @@ def test_structural_pairs_brute(spark, threshold):
     assert got == want
 
 
+@pytest.mark.parametrize("threshold", [0.6, 0.8])
+def test_structural_pairs_of_mostly_open_templates(spark, threshold):
+    r = random.Random(12)
+    words = lambda n, p: ["<*>" if r.random() < p else r.choice("abc") for _ in range(n)]
+    rows = [(i, r.choice([1, 1, None]), words(r.choice([4, 6]), r.choice([0.1, 0.5, 0.9]))) for i in range(160)]
+    df = spark.createDataFrame(rows, "id bigint, group bigint, tokens array<string>")
+    got = {(g["a"], g["b"]) for g in dedup.structural_pairs(df, threshold).collect()}
+    assert got == {(a[0], b[0]) for a, b in combinations(rows, 2) if a[1] == b[1] and alike(a[2], b[2]) >= threshold}
+
+
 @pytest.mark.parametrize("threshold", [0.5, 0.9])
 def test_semantic_pairs_brute(spark, threshold):
     rows = template_rows(6, 80)

@@ -175,7 +175,10 @@ def test_command_line_and_server(spark, tmp_path):
         urllib.request.urlopen(urllib.request.Request(url + "/api/tags", body))
         assert ["x"] in [p["tags"] for p in get("/api/patterns")["patterns"] if p.get("tags")]
         assert [p["tags"] for p in get("/api/patterns?tag=x&sort=template")["patterns"]] == [["x"]]
-        assert isinstance(get("/api/anomalies"), list) and get("/api/export?format=json")
+        assert isinstance(get("/api/anomalies"), list)
+        exported = get("/api/export?format=json")["patterns"]
+        assert {s["source"] for p in exported for s in p.get("samples", [])} <= {str(folder / n) for n in ("app.log", "app.log.1", "other-2026-01-01.log")}
+        assert any(p.get("samples") for p in exported) and len(get("/api/summary?sources=2")["sources"]) == 2
         with pytest.raises(urllib.error.HTTPError):
             get("/api/export?format=csv")
         assert b"<html" in urllib.request.urlopen(url + "/").read()
