@@ -13,6 +13,7 @@ import os
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -56,11 +57,13 @@ def apportion(weights: list[float], caps: list[int], seats: int) -> list[int]:
     return out
 
 
-def _count_tokens(path: str):
+def _count_tokens(name: str):
+    """Tokens per text; ``name`` is that of a vocabulary file which the session has sent to the executors."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import tiktoken
 
-        with open(path, "rb") as f:
+        with open(SparkFiles.get(name), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
         encoding = tiktoken.Encoding("own", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={})
         for batch in batches:
@@ -92,6 +95,7 @@ class Mixture:
         shard_rows: int = SHARD_ROWS,
     ):
         self.spark, self.block, self.seed = documents.sparkSession, block, seed
+        self.spark.sparkContext.addFile(tokenizer)  # the executors need no copy of their own
         wanted = (
             targets.select(
                 source_name(F.col("source")).alias("source"),
@@ -112,7 +116,7 @@ class Mixture:
                     F.col(doc_id).cast("bigint").alias("doc_id"), source_name(F.col(source)).alias("source"), F.col(text).alias("text")
                 ).where(F.col("source").isin(names) & F.col("text").isNotNull())
             )
-            .mapInArrow(_count_tokens(tokenizer), "doc_id bigint, source string, tokens bigint")
+            .mapInArrow(_count_tokens(os.path.basename(tokenizer)), "doc_id bigint, source string, tokens bigint")
             .where("tokens > 0")
         )
         self.counted = cut(counted)

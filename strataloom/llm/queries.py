@@ -76,6 +76,18 @@ _TERMS = """w AS (SELECT id, file_group_id g, regexp_extract_all(lower(template)
  j AS (SELECT c.*, n_records, n_with_term, m FROM c JOIN d ON d.term = c.term AND d.g IS NOT DISTINCT FROM c.g
   JOIN z ON z.g IS NOT DISTINCT FROM c.g)"""
 
+_RUNS = """WITH o AS (SELECT log_source_id s, byte_offset b, arg_min(pattern_id, id) p, arg_min({ 't': entry_timestamp }, id).t x FROM occurrences
+  WHERE log_source_id IS NOT NULL AND byte_offset IS NOT NULL AND pattern_id IS NOT NULL GROUP BY ALL),
+ t AS (SELECT id, file_group_id g, list_filter(regexp_split_to_array(template, '\\s+'), lambda x: x <> '') k FROM patterns),
+ e AS (SELECT s, b, p, CASE WHEN x >= 946684800 AND x < 4102444800 THEN x * 1000000 WHEN x >= 946684800000 AND x < 4102444800000 THEN x * 1000
+  WHEN x >= 946684800000000 AND x < 4102444800000000 THEN x WHEN x >= 946684800000000000 AND x < 4102444800000000000 THEN x // 1000 END AS e FROM o),
+ n AS (SELECT s, b, p, e, lag(p) OVER (PARTITION BY s ORDER BY b) q FROM e),
+ d AS (SELECT DISTINCT p, q FROM n WHERE p <> q),
+ a AS (SELECT d.p, d.q FROM d JOIN t x ON x.id = d.p JOIN t y ON y.id = d.q WHERE x.g = y.g AND len(x.k) = len(y.k)
+  AND len(list_filter(range(1, len(x.k) + 1), lambda i: x.k[i] <> y.k[i] AND x.k[i] <> '<*>' AND y.k[i] <> '<*>')) = 0),
+ m AS (SELECT n.*, CASE WHEN n.p = n.q OR a.p IS NOT NULL THEN 0 ELSE 1 END f FROM n LEFT JOIN a ON a.p = n.p AND a.q = n.q),
+ c AS (SELECT *, sum(f) OVER (PARTITION BY s ORDER BY b) r FROM m)"""
+
 _GRAMS = """w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') k FROM documents WHERE text IS NOT NULL)"""
 
 SQL = {
@@ -106,17 +118,11 @@ SQL = {
  c(a, l) AS (SELECT DISTINCT f, f FROM r UNION SELECT e.b, c.l FROM c JOIN e ON e.a = c.a WHERE c.l < e.b),
  g AS (SELECT a, min(l) l FROM c GROUP BY a)
  SELECT DISTINCT r.id, min(g.l) OVER (PARTITION BY r.id) AS group_id FROM r JOIN g ON g.a = r.f""",
-    "p1_found": """WITH o AS (SELECT log_source_id s, byte_offset b, arg_min(pattern_id, id) p FROM occurrences
-  WHERE log_source_id IS NOT NULL AND byte_offset IS NOT NULL AND pattern_id IS NOT NULL GROUP BY ALL),
- t AS (SELECT id, file_group_id g, list_filter(regexp_split_to_array(template, '\\s+'), lambda x: x <> '') k FROM patterns),
- n AS (SELECT s, b, p, lag(p) OVER (PARTITION BY s ORDER BY b) q FROM o),
- d AS (SELECT DISTINCT p, q FROM n WHERE p <> q),
- a AS (SELECT d.p, d.q FROM d JOIN t x ON x.id = d.p JOIN t y ON y.id = d.q WHERE x.g = y.g AND len(x.k) = len(y.k)
-  AND len(list_filter(range(1, len(x.k) + 1), lambda i: x.k[i] <> y.k[i] AND x.k[i] <> '<*>' AND y.k[i] <> '<*>')) = 0),
- m AS (SELECT n.*, CASE WHEN n.p = n.q OR a.p IS NOT NULL THEN 0 ELSE 1 END f FROM n LEFT JOIN a ON a.p = n.p AND a.q = n.q),
- c AS (SELECT *, sum(f) OVER (PARTITION BY s ORDER BY b) r FROM m)
- SELECT s AS log_source_id, min(b) AS first_byte_offset, max(b) AS last_byte_offset FROM c GROUP BY s, r
+    "p1_found": f"""{_RUNS} SELECT s AS log_source_id, min(b) AS first_byte_offset, max(b) AS last_byte_offset FROM c GROUP BY s, r
  HAVING count(*) >= 3""",
+    "p1_runs": f"""{_RUNS}, z AS (SELECT s, r, min(b) lo, max(b) hi, count(*) n, min(e) t0, max(e) t1 FROM c GROUP BY s, r)
+ SELECT s AS log_source_id, lo AS first_byte_offset, hi AS last_byte_offset, n AS n_events, t0 AS first_us, t1 AS last_us, t1 - t0 AS duration_us
+ FROM z WHERE n >= 3""",
 }
 
 QUERIES = {f.__name__: f for f in (p1_runs, p1_found, p4_found, p6_scores, p6_found, p8_found, p9_mixture, p9_shares, p10_scores, p10_found)}
