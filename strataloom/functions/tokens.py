@@ -151,7 +151,8 @@ def base_name(path: Column) -> Column:
 
 
 def percent_change(before: Column, after: Column) -> Column:
-    return F.format_string("%+.0f%%", (after - before) * 100.0 / before)
+    """Signed whole percent, halves to the even number; nothing for a ``before`` of 0."""
+    return F.format_string("%+.0f%%", F.bround((after - before) * 100.0 / before, 0))
 
 
 def group_name(path: Column) -> Column:

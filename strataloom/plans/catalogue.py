@@ -6,6 +6,7 @@ as values; queries without SQL are iterative, or too slow in plain SQL, and are
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -642,6 +643,50 @@ def inverted_index(spark, sf_dir):
     return search.inverted_index(table(spark, sf_dir, "patterns"), "id", "template")
 
 
+@query(r"""WITH b AS (SELECT b.*, row_number() OVER (ORDER BY confidence DESC, a, b) r FROM (""" + SQL["correlations"] + r""") b),
+ t AS (SELECT p.id, g.name, regexp_replace(template, '\s*\n\s*', ' ', 'g') x FROM patterns p LEFT JOIN file_groups g ON g.id = p.file_group_id)
+ SELECT a, b, x.name AS group_a, CASE WHEN length(x.x) <= 80 THEN x.x ELSE substr(x.x, 1, 77) || '...' END AS template_a,
+  y.name AS group_b, CASE WHEN length(y.x) <= 80 THEN y.x ELSE substr(y.x, 1, 77) || '...' END AS template_b FROM b JOIN t x ON x.id = a JOIN t y ON y.id = b""")
+def correlations_described(spark, sf_dir):
+    """The strongest correlations with the groups and the beginnings of the templates."""
+    p, g, o, _ = _model(spark, sf_dir)
+    return correlate.described(correlate.correlations(o, p), p, g).select("a", "b", "group_a", "template_a", "group_b", "template_b")
+
+
+@query("SELECT id AS pattern_id, template FROM patterns WHERE len(list_filter(range(1, len({0}) + 1), lambda i: ({0})[i] = 'timeout' AND list_contains(({0})[i + 1:i + 6], 'reply') OR ({0})[i] = 'reply' AND list_contains(({0})[i + 1:i + 6], 'timeout'))) > 0".format(_TERM_LIST))
+def search_near(spark, sf_dir):
+    """Two terms with at most five others between them."""
+    return search.search(table(spark, sf_dir, "patterns"), "template: NEAR(timeout reply, 5)")
+
+
+# Exports -------------------------------------------------------------------------------------------------------------
+
+
+@query(f"""SELECT id || ',' || CASE WHEN regexp_matches(template, '[,"\n\r]') THEN '"' || replace(template, '"', '""') || '"' ELSE template END AS line FROM patterns""")
+def csv_rows(spark, sf_dir):
+    from strataloom.operators.export import csv_lines
+
+    return csv_lines(table(spark, sf_dir, "patterns").select("id", "template"))
+
+
+@query(f"""WITH {_SAMPLES}, b AS ({_RANKED} ORDER BY p.occurrence_count DESC, p.id LIMIT 500)
+ SELECT b.pattern_id AS id, b."group", b.template, b.occurrence_count, coalesce(string_agg(source || ': ' || text, chr(10) ORDER BY rank), '') AS samples
+ FROM b LEFT JOIN samples USING (pattern_id) GROUP BY ALL""")
+def export_samples(spark, sf_dir):
+    """The nested export with its samples as lines."""
+    from strataloom.operators.export import export_nested
+
+    p, g, o, s = _model(spark, sf_dir)
+    lines = F.array_join(F.transform("samples", lambda x: F.concat(x["source"], F.lit(": "), x["text"])), "\n")
+    return export_nested(p, g, o, s).withColumn("samples", lines)
+
+
+@query(f"""WITH {_SIDES} SELECT "group", template, printf('%+.0f%%', (a - b) * 100.0 / b) AS percent FROM n
+ WHERE a > 0 AND b > 0 AND (a > 2 * b OR 2 * a < b)""")
+def diff_percent(spark, sf_dir):
+    return compare.diff(*snapshots(spark, sf_dir)).where("kind = 'changed'").select("group", "template", "percent")
+
+
 # Tags and tickets ----------------------------------------------------------------------------------------------------
 
 
@@ -691,6 +736,34 @@ def ticket_status(spark, sf_dir):
     return tickets.status(table(spark, sf_dir, "patterns"), _tickets(spark, sf_dir), "main")
 
 
+_FACTS = f"""{_TIMED}, s AS (SELECT pattern_id p, min(s) lo, max(s) hi FROM t WHERE s IS NOT NULL GROUP BY ALL),
+ r AS (SELECT pattern_id p, replace(variables, chr(9), ' | ') v, row_number() OVER (PARTITION BY pattern_id ORDER BY log_source_id, byte_offset, id) r
+  FROM occurrences WHERE variables <> ''), v AS (SELECT p, string_agg(v, chr(10) ORDER BY r) v FROM r WHERE r <= 5 GROUP BY p),
+ f AS (SELECT p.id, template, coalesce(g.name, '') g, occurrence_count n, strftime(make_timestamp(lo * 1000000), '%Y-%m-%d %H:%M:%S UTC') lo,
+  strftime(make_timestamp(hi * 1000000), '%Y-%m-%d %H:%M:%S UTC') hi, v FROM patterns p LEFT JOIN file_groups g ON g.id = p.file_group_id
+  LEFT JOIN s ON s.p = p.id LEFT JOIN v ON v.p = p.id WHERE occurrence_count > 0)"""
+
+
+@query(f"""WITH {_FACTS} SELECT id AS pattern_id, concat_ws(chr(10) || chr(10), 'h3. Pattern' || chr(10) || '{{noformat}}' || chr(10) || template || chr(10) || '{{noformat}}',
+ concat_ws(chr(10), '*Occurrences:* ' || format('{{:,}}', n), '*First seen:* ' || lo, '*Last seen:* ' || hi, '*File group:* ' || g),
+ 'h3. Sample Log Lines' || chr(10) || '{{noformat}}' || chr(10) || v || chr(10) || '{{noformat}}',
+ '{{code:title=pattern-marker}}' || chr(10) || 'pattern:db=main;pattern_id=' || id || ';occurrences=' || n || chr(10) || '{{code}}') AS description FROM f""")
+def ticket_bodies(spark, sf_dir):
+    p, g, o, _ = _model(spark, sf_dir)
+    about = tickets.facts(p.where("occurrence_count > 0"), g, o)
+    return tickets.body(about, "main").select("pattern_id", "description")
+
+
+@query(f"""WITH {_FACTS} SELECT id AS pattern_id, '[pattern sync] Updated now' || chr(10) || '* Occurrences: ' || format('{{:,}}', n // 3) || ' -> ' || format('{{:,}}', n) || ' (+' ||
+ format('{{:,}}', n - n // 3) || ')' || chr(10) || '* Last seen: ' || coalesce(hi, 'unknown') AS comment FROM f""")
+def ticket_comments(spark, sf_dir):
+    """What tickets are told whose patterns have three times the occurrences noted."""
+    p, g, o, _ = _model(spark, sf_dir)
+    about = tickets.facts(p.where("occurrence_count > 0"), g, o)
+    noted = F.floor(F.col("occurrence_count") / 3)
+    return about.select("pattern_id", tickets.change_comment(noted, F.col("occurrence_count"), F.col("last_seen"), F.lit("now")).alias("comment"))
+
+
 # The store -----------------------------------------------------------------------------------------------------------
 
 
@@ -709,3 +782,34 @@ def store_increments(spark, sf_dir):
     m = store.model()
     groups = m["file_groups"].select(F.col("id").alias("gid"), F.col("name").alias("group"))
     return m["patterns"].join(groups, F.col("file_group_id") == F.col("gid")).select("group", "template", "occurrence_count")
+
+
+def _event_files(spark, sf_dir) -> str:
+    """The event log written as three files; their paths."""
+    from strataloom.session import scratch
+
+    path = scratch(spark, "lines")
+    event_lines(spark, sf_dir).select("line").repartition(3).write.text(path)
+    return ",".join(re.sub("^file:/+", "/", f) for f in sorted(spark.read.text(path).inputFiles()))
+
+
+@query(f"SELECT line, strlen(line) + 1 AS n_bytes FROM {EVENT_LINES_SQL}")
+def scan_lines(spark, sf_dir):
+    """Log files read as lines with byte offsets."""
+    from strataloom.sources.logs import read_lines
+
+    return read_lines(spark, _event_files(spark, sf_dir)).select("line", (F.col("next_offset") - F.col("byte_offset")).alias("n_bytes"))
+
+
+@query(f"""WITH {_MINED} SELECT template, sum(occurrence_count)::BIGINT AS occurrence_count FROM p GROUP BY template""")
+def stream_store(spark, sf_dir):
+    """Log files followed as a stream until all is read, and the store that comes out."""
+    from strataloom.session import scratch
+    from strataloom.store import Store
+    from strataloom.streaming.pipeline import finish, watch
+
+    store = Store(spark, scratch(spark, "followed"))
+    q = watch(spark, store, _event_files(spark, sf_dir), scratch(spark, "followed-state"), "events.log", trigger={"availableNow": True})
+    q.awaitTermination()
+    finish(store)
+    return store.model()["patterns"].select("template", "occurrence_count")
