@@ -50,7 +50,7 @@ def distinct_vectors(tokens: DataFrame) -> DataFrame:
 
 
 def strict_templates(vectors: DataFrame) -> DataFrame:
-    """``group, masked, template`` without any order: vectors of one length, the same first 14 tokens and the same line
+    """``group, masked, n, template`` without any order: vectors of one length, the same first 14 tokens and the same line
     breaks share a template, which has a wildcard wherever they differ.
 
     Equal to the fold for up to 28 tokens as long as no literal falls back on a wildcard's branch.
@@ -61,11 +61,12 @@ def strict_templates(vectors: DataFrame) -> DataFrame:
     keyed = vectors.select(
         "group",
         "masked",
+        "n",
         F.size("masked").alias("size"),
         F.slice("masked", 1, PINNED).alias("pinned"),
         breaks.alias("breaks"),
     )
-    short = keyed.where(F.col("size") <= PINNED).select("group", "masked", F.col("masked").alias("template"))
+    short = keyed.where(F.col("size") <= PINNED).select("group", "masked", "n", F.col("masked").alias("template"))
     key = ["group", "size", "pinned", "breaks"]
     long = keyed.where(F.col("size") > PINNED)
     tails = (
@@ -76,7 +77,7 @@ def strict_templates(vectors: DataFrame) -> DataFrame:
         .groupBy(*key)
         .agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "token"))), lambda x: x["token"]).alias("template"))
     )
-    return short.unionByName(long.join(tails, key).select("group", "masked", "template"))
+    return short.unionByName(long.join(tails, key).select("group", "masked", "n", "template"))
 
 
 class PrefixTree:
@@ -168,7 +169,7 @@ def fold_units(vectors: DataFrame, most: int = VECTORS_PER_FOLD, rounds: int = 3
 def fold_templates(
     vectors: DataFrame, threshold: float = THRESHOLD, known: DataFrame | None = None, most: int = VECTORS_PER_FOLD
 ) -> DataFrame:
-    """``group, masked, template`` by a fold over the distinct vectors in order of first appearance.
+    """``group, masked, n, template`` by a fold over the distinct vectors in order of first appearance.
 
     The tree branches first by token count, so every (group, token count) is folded apart, and those of more than
     ``most`` vectors in the parts of ``fold_units``. ``known`` (``group, template`` as token arrays) seeds the trees.
@@ -184,7 +185,7 @@ def fold_templates(
             tree.seed(list(v))
         rows = pdf[pdf["n"] > 0].sort_values(["first_source", "first_offset"], kind="stable")
         at = [tree.add(list(v)) for v in rows["masked"]]
-        return pd.DataFrame({"group": rows["group"], "masked": rows["masked"], "template": [tree.templates[i] for i in at]})
+        return pd.DataFrame({"group": rows["group"], "masked": rows["masked"], "n": rows["n"], "template": [tree.templates[i] for i in at]})
 
     slim = vectors.select(
         "group",
@@ -204,7 +205,7 @@ def fold_templates(
     return (
         fold_units(slim, most)
         .groupBy("group", "size", "unit")
-        .applyInPandas(folded, "group string, masked array<string>, template array<string>")
+        .applyInPandas(folded, "group string, masked array<string>, n bigint, template array<string>")
     )
 
 
@@ -213,12 +214,11 @@ def pattern_id(group, template):
     return F.xxhash64(group, template)
 
 
-def mined_patterns(vectors: DataFrame, templates: DataFrame) -> DataFrame:
-    """``pattern_id, group, template, tokens, occurrence_count``; templates of equal text are one pattern."""
-    v = vectors.select(F.col("group").alias("g"), F.col("masked").alias("m"), "n")
+def mined_patterns(templates: DataFrame) -> DataFrame:
+    """``pattern_id, group, template, tokens, occurrence_count`` of the vectors with their templates, as both ways of
+    mining give them; templates of equal text are one pattern."""
     return (
-        templates.join(v, (F.col("group") == F.col("g")) & (F.col("masked") == F.col("m")))
-        .groupBy("group", F.col("template").alias("tokens"))
+        templates.groupBy("group", F.col("template").alias("tokens"))
         .agg(F.sum("n").alias("occurrence_count"))
         .withColumn("template", render(F.col("tokens")))
         .groupBy("group", "template")

@@ -199,7 +199,7 @@ def _mined(spark, sf_dir, drain: bool = False) -> tuple[DataFrame, DataFrame, Da
     tokens = _event_tokens(spark, sf_dir)
     vectors = mining.distinct_vectors(tokens)
     templates = mining.fold_templates(vectors) if drain else mining.strict_templates(vectors)
-    return tokens, templates, mining.mined_patterns(vectors, templates)
+    return tokens, templates, mining.mined_patterns(templates)
 
 
 @query(f'WITH {_MINED} SELECT "group", template, occurrence_count FROM p')
@@ -225,7 +225,7 @@ def mine_documents_strict(spark, sf_dir):
     """As mine_documents_drain without any order; pinned tokens tell templates of one length apart."""
     tokens = mining.tokenized(document_lines(spark, sf_dir), "group", "source", "byte_offset", "line")
     vectors = mining.distinct_vectors(tokens)
-    return mining.mined_patterns(vectors, mining.strict_templates(vectors)).select("group", "template", "occurrence_count")
+    return mining.mined_patterns(mining.strict_templates(vectors)).select("group", "template", "occurrence_count")
 
 
 @query(f"""WITH l AS {EVOLVING_LINES_SQL}, k AS (SELECT "group", family, {_TOKENS} AS k FROM l), m AS (SELECT "group", family, {_MASKED} AS t FROM k),
@@ -238,7 +238,7 @@ def mine_templates_evolving(spark, sf_dir):
     """Lines of 40 tokens of which the first 14 are the same: every leaf holds several templates, each of which evolves."""
     tokens = mining.tokenized(evolving_lines(spark, sf_dir), "group", "source", "byte_offset", "line")
     vectors = mining.distinct_vectors(tokens)
-    return mining.mined_patterns(vectors, mining.fold_templates(vectors)).select("group", "template", "occurrence_count")
+    return mining.mined_patterns(mining.fold_templates(vectors)).select("group", "template", "occurrence_count")
 
 
 @query()
@@ -246,7 +246,7 @@ def mine_documents_drain(spark, sf_dir):
     """Templates of the document lines per language, many of them beyond 28 tokens."""
     tokens = mining.tokenized(document_lines(spark, sf_dir), "group", "source", "byte_offset", "line")
     vectors = mining.distinct_vectors(tokens)
-    return mining.mined_patterns(vectors, mining.fold_templates(vectors)).select("group", "template", "occurrence_count")
+    return mining.mined_patterns(mining.fold_templates(vectors)).select("group", "template", "occurrence_count")
 
 
 @query(f'WITH {_MINED} SELECT "group", template, occurrence_count FROM p ORDER BY occurrence_count DESC, "group", template LIMIT 100')

@@ -79,7 +79,7 @@ def test_generator_structure(spark, count, n_lines, n_entries, n_templates):
     assert e.count() == n_entries
     v = mining.distinct_vectors(mining.tokenized(e, "group", "source", "byte_offset", "primary_line", "continuation"))
     for templates in (mining.strict_templates(v), mining.fold_templates(v)):
-        assert mining.mined_patterns(v, templates).count() == n_templates
+        assert mining.mined_patterns(templates).count() == n_templates
 
 
 def test_two_start_shapes(spark):
@@ -89,7 +89,7 @@ def test_two_start_shapes(spark):
     e = entries_of(spark, line_table(spark, text)).withColumn("group", F.lit("g"))
     assert e.count() == 100
     v = mining.distinct_vectors(mining.tokenized(e, "group", "source", "byte_offset", "primary_line", "continuation"))
-    assert mining.mined_patterns(v, mining.strict_templates(v)).count() == 54
+    assert mining.mined_patterns(mining.strict_templates(v)).count() == 54
 
 
 def test_leading_orphans_and_blank_lines(spark):
