@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -57,30 +59,64 @@ def mark_starts(lines: DataFrame, source: str, line: str, prints: DataFrame) ->
 _ENTRY = "source string, byte_offset bigint, next_offset bigint, primary_line string, continuation array<string>, head boolean, seam boolean"
 
 
-def _fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Entries of one sorted partition; the rows before its first start and its last entry are marked as seams."""
-    now: list | None = None
+def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Entries of one sorted partition; the rows before its first start and its last entry are marked as seams.
+
+    Rows are never looked at one by one: an entry is a slice of the columns. The rows of the last entry wait for the next
+    batch with a start.
+    """
+    waiting: list[pa.RecordBatch] = []
     opening = None
-    for pdf in batches:
-        out = []
-        for source, at, after, line, start in pdf.itertuples(index=False, name=None):
-            if opening is None:
-                opening = (source,)
-            if start or now is None or now[0] != source:
-                if now is not None:
-                    out.append(tuple(now))
-                now = None
-                if start:
-                    now = [source, at, after, line, [], True, False]
-                elif (source,) == opening:
-                    now = [source, at, after, None, [line], False, True]
-            else:
-                now[2] = after
-                now[4].append(line)
-        yield pd.DataFrame(out, columns=["source", "byte_offset", "next_offset", "primary_line", "continuation", "head", "seam"])
-    if now is not None:
-        now[6] = True
-        yield pd.DataFrame([tuple(now)], columns=["source", "byte_offset", "next_offset", "primary_line", "continuation", "head", "seam"])
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if opening is None:
+            opening = batch.column(0)[0].as_py()
+        began = batch.column(0)[0].as_py()
+        goes_on = waiting and waiting[-1].column(0)[-1].as_py() == began and pc.all(pc.equal(batch.column(0), began)).as_py()
+        if goes_on and not pc.any(batch.column(4)).as_py():
+            waiting.append(batch)
+            continue
+        rows = pa.Table.from_batches([*waiting, batch]).combine_chunks()
+        edges = _edges(rows)
+        yield from _entries(rows, edges[:-1], opening, False)
+        waiting = rows.slice(edges[-2]).to_batches()
+    if waiting:
+        rows = pa.Table.from_batches(waiting).combine_chunks()
+        yield from _entries(rows, _edges(rows), opening, True)
+
+
+def _edges(rows: pa.Table) -> np.ndarray:
+    """First rows of the pieces, and the number of rows."""
+    source = rows.column(0).combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+    first = rows.column(4).to_numpy().astype(bool)
+    first[0] = True
+    first[1:] |= source[1:] != source[:-1]
+    return np.append(np.flatnonzero(first), len(source))
+
+
+def _entries(rows: pa.Table, edges: np.ndarray, opening: str, last: bool) -> Iterator[pa.RecordBatch]:
+    """The pieces between ``edges``; those without a start are dropped, but for that of the partition's first source."""
+    lo, hi = edges[:-1], edges[1:]
+    if not len(lo):
+        return
+    head = rows.column(4).to_numpy().astype(bool)[lo]
+    kept = np.flatnonzero(head | np.asarray(pc.equal(rows.column(0).take(pa.array(lo)), opening)))
+    seam = ~head
+    seam[-1] |= last
+    lo, hi, head, seam = lo[kept], hi[kept], head[kept], seam[kept]
+    line = rows.column(3).combine_chunks()
+    size = hi - lo - head
+    more = np.repeat(lo + head - (np.cumsum(size) - size), size) + np.arange(size.sum())
+    offsets = pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32())
+    yield pa.RecordBatch.from_arrays(
+        [
+            rows.column(0).combine_chunks().take(pa.array(lo)), rows.column(1).combine_chunks().take(pa.array(lo)),
+            rows.column(2).combine_chunks().take(pa.array(hi - 1)), line.take(pa.array(lo, mask=~head)),
+            pa.ListArray.from_arrays(offsets, line.take(pa.array(more))), pa.array(head), pa.array(seam),
+        ],
+        names=["source", "byte_offset", "next_offset", "primary_line", "continuation", "head", "seam"],
+    )
 
 
 def group_entries(lines: DataFrame, source: str, offset: str, after: str, line: str, start: str = "is_start") -> DataFrame:
@@ -98,7 +134,7 @@ def group_entries(lines: DataFrame, source: str, offset: str, after: str, line:
         F.coalesce(F.col(line), F.lit("")).alias("line"),
         F.col(start).alias("start"),
     )
-    pieces = slim.repartitionByRange("source", "at").sortWithinPartitions("source", "at").mapInPandas(_fold, _ENTRY)
+    pieces = slim.repartitionByRange("source", "at").sortWithinPartitions("source", "at").mapInArrow(_fold, _ENTRY)
     place = F.when(~F.col("seam"), F.col("byte_offset"))
     w = W.partitionBy("source", "seam", "place").orderBy("byte_offset")
     return (

@@ -101,6 +101,29 @@ def test_leading_orphans_and_blank_lines(spark):
     assert entries_of(spark, blank).count() == 2
 
 
+@pytest.mark.parametrize("size", ["3", "10000"])
+def test_entries_equal_brute_force(spark, size):
+    """Sources of any length over tasks and batches; null lines are empty ones, a null start is none."""
+    r = random.Random(int(size))
+    rows = [(s, i, i + 1, r.choice(["a", "b", "", None]), r.choice([True, False, False, False, None])) for s in "abcdefg" for i in range(r.choice([1, 2, 60]))]
+    rows += [("z", i, i + 1, str(i), i == 0) for i in range(90)] + [("y", i, i + 1, "x", False) for i in range(40)] + [(None, 1, 2, "x", True), ("a", None, 2, "x", True)]
+    want, now = [], None
+    for s, at, after, line, start in sorted((x for x in rows if x[0] is not None and x[1] is not None), key=lambda x: x[:2]):
+        if start:
+            now = [s, at, after, line or "", []]
+            want.append(now)
+        elif now is not None and now[0] == s:
+            now[2] = after
+            now[4].append(line or "")
+    df = spark.createDataFrame(rows, "s string, at bigint, after bigint, line string, is_start boolean")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    try:
+        got = sorted((list(x) for x in structure.group_entries(df, "s", "at", "after", "line").collect()), key=lambda x: (x[0], x[1]))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == want
+
+
 # Mining --------------------------------------------------------------------------------------------------------------
 
 
