@@ -157,7 +157,7 @@ def fold_units(vectors: DataFrame, most: int = VECTORS_PER_FOLD, rounds: int = 3
         if large.isEmpty():
             break
         # the parts of a group are those that its first round asks for
-        df = cut(
+        df = (
             df.join(small(large), same, "left")
             .withColumn("unit", F.when(F.col("_n").isNotNull(), F.xxhash64("unit", F.slice("masked", 1, F.col("_lead").cast("int")))).otherwise(F.col("unit")))
             .withColumn("parts", F.greatest("parts", F.coalesce(F.ceil(F.col("_n") / most), F.lit(1))))
